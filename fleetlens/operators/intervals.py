@@ -177,9 +177,9 @@ KINDS = ("executing", "charging", "waiting", "observed")
 
 
 def _boundary_steps(intervals: DataFrame, key: str, kind: str, window: WindowSpec) -> DataFrame:
-    """+1 at the start and -1 at the end of each clipped, non-empty interval."""
+    """+1 at the start and -1 at the end of each clipped interval; an empty one only leaves a cut point."""
     clipped = clip(intervals.select(key, "start_time", "end_time"), window).filter(
-        F.col("start_time") < F.col("end_time")
+        F.col("start_time") <= F.col("end_time")
     )
     step = F.explode(
         F.array(
@@ -295,19 +295,28 @@ def active_robots(robot_dim: DataFrame, robots: Sequence[str] | None = None) ->
 
 def state_intervals(
     events: DataFrame, battery: DataFrame, queue: DataFrame, window: WindowSpec,
-    gap_seconds: int = V.BATTERY_MAX_GAP_SECONDS,
+    gap_seconds: int = V.BATTERY_MAX_GAP_SECONDS, merged: bool = True,
 ) -> dict[str, DataFrame]:
-    """The four interval sets of a window, read from the event, battery and queue facts."""
+    """The four interval sets of a window, read from the event, battery and queue facts.
+
+    ``merged`` gives the fewest, longest intervals.  State seconds do not need
+    that: the sweep counts how many intervals are active, so overlapping ones
+    and sample-to-sample spans give the same states.
+    """
     executions = execution_events(events)
     executing = pair_events(executions, window=window)
     samples = charging_samples(battery).filter(
         (F.col("sample_time") >= lit_ts(window.start) - F.expr(f"INTERVAL {int(gap_seconds)} SECONDS"))
         & (F.col("sample_time") < lit_ts(window.end))
     )
-    observed = sample_spans(samples, ["robot_code"], "sample_time", "is_charging", gap_seconds)
     waiting = queue_to_first_start(
         queue, executions.filter(F.col("source_event_part") == V.EVENT_START), window
     )
+    if merged:
+        executing, waiting = (merge_intervals(rows, ["robot_code"]) for rows in (executing, waiting))
+        observed = state_islands(samples, ["robot_code"], "sample_time", "is_charging", gap_seconds)
+    else:
+        observed = sample_spans(samples, ["robot_code"], "sample_time", "is_charging", gap_seconds)
     return {
         "executing": executing,
         "charging": observed.filter("is_charging"),
@@ -329,7 +338,8 @@ def state_trend_from_events(
     """Exact state seconds and task events per active robot and bucket."""
     grain = minutes or window.grain
     scope = active_robots(robot_dim, robots)
-    segments = atomic_segments(scope, window, grain, state_intervals(events, battery, queue, window, gap_seconds))
+    sets = state_intervals(events, battery, queue, window, gap_seconds, merged=False)
+    segments = atomic_segments(scope, window, grain, sets)
     states = attribute_states(segments)
     counts = bucket_event_counts(events, grain, window)
     names = list(V.EVENT_TYPE_COUNTS)

@@ -88,7 +88,9 @@ class DriverTables:
 
     @cached_property
     def robot_dim(self) -> DataFrame:
-        return self.robot_master.select(
+        """Robots that have reported telemetry."""
+        reporting = self._events.select(F.col("user_id").alias("id")).distinct()
+        return self.robot_master.join(reporting, ["id"], "left_semi").select(
             F.col("name").alias("robot_code"), F.col("id").cast("string").alias("robot_id"),
             (F.col("is_active") == " y ").alias("is_enabled"),
         )
