@@ -45,7 +45,8 @@ def minutes_between(start: ColumnOrName, end: ColumnOrName) -> Column:
 def age_minutes(earlier: ColumnOrName, later: ColumnOrName) -> Column:
     """Fractional, never negative age; an absent reading is infinitely old."""
     micros = F.unix_micros(as_col(later)) - F.unix_micros(as_col(earlier))
-    return F.coalesce(F.greatest(F.lit(0.0), micros / F.lit(6.0e7)), F.lit(float("inf")))
+    # greatest() skips NULLs, so absence is settled first.
+    return F.when(micros.isNull(), F.lit(float("inf"))).otherwise(F.greatest(F.lit(0.0), micros / F.lit(6.0e7)))
 
 
 # --------------------------------------------------------------------------

@@ -91,7 +91,7 @@ def _parts(text: object) -> Iterable[str]:
 
 def split_list(column: Column, as_type: str = "string") -> Column:
     """Column form of ``parse_list``: a comma list as a distinct array."""
-    parts = F.filter(F.transform(F.split(column, ","), F.trim), lambda item: item != "")
+    parts = F.filter(F.transform(F.split(column, ","), lambda item: F.trim(item)), lambda item: item != "")
     if as_type == "int":
         parts = F.filter(F.transform(parts, lambda item: item.try_cast("int")), lambda item: item.isNotNull())
     return F.array_distinct(parts)
