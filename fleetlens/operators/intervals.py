@@ -35,7 +35,7 @@ def merge_intervals(
     longest = (
         df.filter(F.col(end) >= F.col(start)).groupBy(*keys, F.col(start)).agg(F.max(end).alias(end))
     )
-    seen = with_running_max(longest, keys, start, end, "_prior", "_overall", chunk_seconds)
+    seen = with_running_max(longest, keys, start, end, "_prior", "_overall", chunk_seconds, keep_chunk=True)
     openings = seen.filter(F.col("_prior").isNull() | (F.col("_prior") < F.col(start)))
     closed = with_neighbours(
         openings, keys, start, following={"_closing": "_prior"}, chunk_seconds=chunk_seconds
@@ -62,6 +62,7 @@ def state_islands(
     seen = with_neighbours(
         single, keys, time,
         preceding={"_prior_time": time, "_prior_state": state}, key_max={"_final": time}, chunk_seconds=chunk_seconds,
+        keep_chunk=True,
     )
     openings = seen.filter(
         F.col("_prior_time").isNull()

@@ -39,15 +39,17 @@ def lookup(
       part of ``facts`` is spread over several tasks;
     * large: shuffle join, where adaptive execution splits skewed partitions.
 
-    ``balanced`` states that no key holds many rows, so salting is left out
-    and a partitioning the facts already have is kept.
+    ``balanced`` states that no key holds many rows: a plain join, whose way
+    Spark chooses itself and which keeps a partitioning the facts already have.
     """
+    keys = list(on)
+    if balanced:
+        return facts.join(dim, keys, how)
     conf = facts.sparkSession.conf
     size = plan_bytes(dim)
-    keys = list(on)
     if size <= int(conf.get(BROADCAST_BYTES_CONF, str(DEFAULT_BROADCAST_BYTES))):
         return facts.join(F.broadcast(dim), keys, how)
-    if balanced or size > int(conf.get(SALTED_BYTES_CONF, str(DEFAULT_SALTED_BYTES))):
+    if size > int(conf.get(SALTED_BYTES_CONF, str(DEFAULT_SALTED_BYTES))):
         return facts.join(dim, keys, how)
     salts = int(conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
     # The partition number keeps identical rows of different input splits

@@ -28,6 +28,26 @@ def chunk_of(ts: ColumnOrName, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> Co
     return F.floor(F.unix_seconds(as_col(ts)) / int(chunk_seconds)).alias(CHUNK)
 
 
+def _chunked(df: DataFrame, keys: Sequence[str], time: str, chunk_seconds: int) -> DataFrame:
+    """Rows with their chunk; rows without key or time have no place in any order.
+
+    Saying so for all readers of ``df`` also lets them share its shuffle: the
+    join below would otherwise filter NULLs on one of its sides only.  Rows
+    that kept their chunk from an earlier scan are still partitioned by it.
+    """
+    if CHUNK in df.columns:
+        return df
+    placed = F.col(CHUNK).isNotNull()
+    for key in keys:
+        placed = placed & F.col(key).isNotNull()
+    return df.withColumn(CHUNK, chunk_of(time, chunk_seconds)).filter(placed)
+
+
+def _kept(df: DataFrame, keep_chunk: bool) -> list[str]:
+    """Columns a scan passes on."""
+    return [name for name in df.columns if name != CHUNK] + ([CHUNK] if keep_chunk else [])
+
+
 def _packed(columns: Mapping[str, ColumnOrName]) -> Column:
     return F.struct(*[as_col(value).alias(name) for name, value in columns.items()])
 
@@ -40,14 +60,16 @@ def with_neighbours(
     preceding: Mapping[str, ColumnOrName] | None = None,
     key_max: Mapping[str, ColumnOrName] | None = None,
     chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """Values of the next and previous row of the key, and maxima over the whole key.
 
-    ``df`` must hold at most one row per key and ``time``.
+    ``df`` must hold at most one row per key and ``time``.  ``keep_chunk``
+    leaves the chunk in the result for another scan over the same time column.
     """
     keys = list(keys)
     following, preceding, key_max = following or {}, preceding or {}, key_max or {}
-    rows = df.withColumn(CHUNK, chunk_of(time, chunk_seconds))
+    rows = _chunked(df, keys, time, chunk_seconds)
 
     edge_aggregates = [F.count(F.lit(1)).alias("_n")]
     if following:
@@ -71,7 +93,7 @@ def with_neighbours(
     if preceding:
         rows = rows.withColumn("_prev", F.lag(_packed(preceding)).over(inside))
     joined = lookup(rows, edges, [*keys, CHUNK], "left", balanced=True)
-    out = [F.col(name) for name in df.columns]
+    out = [F.col(name) for name in _kept(df, keep_chunk)]
     if following:
         found = F.coalesce(F.col("_next"), F.col("_after"))
         out += [found[name].alias(name) for name in following]
@@ -90,10 +112,11 @@ def with_running_max(
     prior: str,
     overall: str,
     chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """``prior``: largest ``value`` of all earlier rows of the key; ``overall``: of all its rows."""
     keys = list(keys)
-    rows = df.withColumn(CHUNK, chunk_of(time, chunk_seconds))
+    rows = _chunked(df, keys, time, chunk_seconds)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     tops = (
         rows.groupBy(*keys, CHUNK)
@@ -107,7 +130,7 @@ def with_running_max(
     inside = Window.partitionBy(*keys, CHUNK).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.max(value).over(inside))
     return lookup(local, tops, [*keys, CHUNK], "left", balanced=True).select(
-        *df.columns, F.greatest("_local", "_carry").alias(prior), overall
+        *_kept(df, keep_chunk), F.greatest("_local", "_carry").alias(prior), overall
     )
 
 
