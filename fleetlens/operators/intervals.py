@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.scalar import count_if, lower_trim, percent, upper_trim
-from ..functions.time import (
-    WindowSpec, bucket_spine, bucket_start, lit_ts, seconds_between,
-)
-from .joins import clip, lookup, pair_events
+from ..functions.time import WindowSpec, bucket_start, lit_ts, seconds_between
+from .joins import clip, pair_events
 from .scan import DEFAULT_CHUNK_SECONDS, asof_after, with_neighbours, with_running_max
 
 STATES = ("executing", "charging", "waiting", "no_task", "data_unavailable")
@@ -177,57 +175,84 @@ def queue_to_first_start(
 KINDS = ("executing", "charging", "waiting", "observed")
 
 
-def _boundary_steps(intervals: DataFrame, key: str, kind: str, window: WindowSpec) -> DataFrame:
-    """+1 at the start and -1 at the end of each clipped interval; an empty one only leaves a cut point."""
-    clipped = clip(intervals.select(key, "start_time", "end_time"), window).filter(
-        F.col("start_time") <= F.col("end_time")
-    )
-    step = F.explode(
-        F.array(
-            F.struct(F.col("start_time").alias("at"), F.lit(1).cast("long").alias("step")),
-            F.struct(F.col("end_time").alias("at"), F.lit(-1).cast("long").alias("step")),
-        )
-    )
+def _boundary_steps(intervals: DataFrame, key: str, kinds: dict[str, Column], window: WindowSpec) -> DataFrame:
+    """+1 at the start and -1 at the end of each clipped interval, for every kind whose condition holds.
+
+    An empty interval only leaves a cut point.
+    """
+    clipped = clip(intervals, window).filter(F.col("start_time") <= F.col("end_time"))
     zero = F.lit(0).cast("long")
-    exploded = clipped.select(key, step.alias("_s"))
-    return exploded.select(
-        key, F.col("_s.at").alias("at"), *[(F.col("_s.step") if name == kind else zero).alias(name) for name in KINDS]
-    ).filter(F.col("at") < lit_ts(window.end))
+    weights = [F.when(kinds[kind], F.lit(1).cast("long")).otherwise(zero) if kind in kinds else zero for kind in KINDS]
 
+    def step(time: str, sign: int) -> Column:
+        return F.struct(F.col(time).alias("at"), *[(w * sign).alias(kind) for kind, w in zip(KINDS, weights)])
 
-def atomic_segments(
-    robots: DataFrame, window: WindowSpec, minutes: int, intervals: dict[str, DataFrame], key: str = "robot_code"
-) -> DataFrame:
+    steps = F.explode(F.array(step("start_time", 1), step("end_time", -1)))
+    return clipped.select(key, steps.alias("_s")).select(key, "_s.*").filter(F.col("at") < lit_ts(window.end))
+
+
+def sweep(
+    robots: DataFrame, window: WindowSpec, minutes: int, intervals: dict[str, DataFrame], key: str = "robot_code",
+    busy_buckets: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Pieces between consecutive cut points, with the number of active intervals of each kind.
 
+    Returns the pieces of busy buckets, those with an interval bound or listed
+    in ``busy_buckets``, and the silent buckets, which are one piece each.
+
     Every bucket border is a cut point, so a piece never leaves its bucket and
-    the sweep runs per (robot, bucket).  What is active when a bucket opens is
-    the sum of all steps in earlier buckets.  Robots without any interval get
-    one piece per bucket.
+    busy buckets are swept per (robot, bucket).  What is active when one opens
+    is the sum of all earlier steps, carried over busy buckets only; a silent
+    bucket repeats the state the busy bucket before it ended in, so it needs
+    neither sorting nor a shuffle.  Robots without any interval are silent
+    throughout.  Without charging intervals, ``observed`` must tell by
+    ``is_charging`` which of its intervals are charging.
     """
     kinds = list(KINDS)
     steps = None
-    for kind in kinds:
-        if kind in intervals:
-            part = _boundary_steps(intervals[kind], key, kind, window)
-            steps = part if steps is None else steps.unionByName(part)
-    bucket = bucket_start("at", minutes)
-    steps = steps.groupBy(key, bucket.alias("bucket_start"), "at").agg(*[F.sum(kind).alias(kind) for kind in kinds])
-
-    opened = steps.groupBy(key, "bucket_start").agg(*[F.sum(kind).alias(kind) for kind in kinds])
-    frame = robots.select(key).distinct().withColumn("bucket_start", F.explode(bucket_spine(window, minutes)))
-    before = Window.partitionBy(key).orderBy("bucket_start").rowsBetween(Window.unboundedPreceding, -1)
-    openings = frame.join(opened, [key, "bucket_start"], "left").select(
+    for kind, frame in intervals.items():
+        held = {kind: F.lit(True)}
+        if kind == "observed" and "charging" not in intervals:
+            held["charging"] = F.col("is_charging")
+        part = _boundary_steps(frame, key, held, window)
+        steps = part if steps is None else steps.unionByName(part)
+    width = F.expr(f"INTERVAL {int(minutes)} MINUTES")
+    first_bucket, after_last = bucket_start(lit_ts(window.start), minutes), lit_ts(window.end)
+    steps = steps.groupBy(key, bucket_start("at", minutes).alias("bucket_start"), "at").agg(
+        *[F.sum(kind).alias(kind) for kind in kinds]
+    )
+
+    zeros = [F.lit(0).cast("long").alias(kind) for kind in kinds]
+    known = robots.select(key).distinct().select(
+        key, first_bucket.alias("bucket_start"), *zeros, F.lit(True).alias("_known")
+    )
+    totals = steps.select(key, "bucket_start", *kinds, F.lit(False).alias("_known")).unionByName(known)
+    if busy_buckets is not None:
+        totals = totals.unionByName(busy_buckets.select(key, "bucket_start", *zeros, F.lit(False).alias("_known")))
+    by_bucket = Window.partitionBy(key).orderBy("bucket_start")
+    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    busy = (
+        totals.groupBy(key, "bucket_start")
+        .agg(*[F.sum(kind).alias(kind) for kind in kinds], F.max("_known").alias("_known"))
+        .select(
+            key, "bucket_start", *kinds,
+            *[F.coalesce(F.sum(kind).over(before), F.lit(0).cast("long")).alias(f"{kind}_in") for kind in kinds],
+            F.lead("bucket_start").over(by_bucket).alias("_next"),
+            F.max("_known").over(Window.partitionBy(key)).alias("_known"),
+        )
+        .filter("_known")
+    )
+
+    openings = busy.select(
         key, "bucket_start", F.greatest(F.col("bucket_start"), lit_ts(window.start)).alias("at"),
-        *[F.coalesce(F.sum(kind).over(before), F.lit(0).cast("long")).alias(kind) for kind in kinds],
-        F.lit(0).alias("_side"),
+        *[F.col(f"{kind}_in").alias(kind) for kind in kinds], F.lit(0).alias("_side"),
     )
     points = openings.unionByName(steps.withColumn("_side", F.lit(1)))
     ordered = Window.partitionBy(key, "bucket_start").orderBy("at", "_side")
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bucket_end = F.least(F.col("bucket_start") + F.expr(f"INTERVAL {int(minutes)} MINUTES"), lit_ts(window.end))
+    bucket_end = F.least(F.col("bucket_start") + width, after_last)
     in_scope = F.min("_side").over(Window.partitionBy(key, "bucket_start")) == 0
-    return (
+    pieces = (
         points.select(
             key, "bucket_start", F.col("at").alias("start_time"),
             F.coalesce(F.lead("at").over(ordered), bucket_end).alias("end_time"),
@@ -238,24 +263,52 @@ def atomic_segments(
         .drop("_in_scope")
     )
 
+    first_silent = F.col("bucket_start") + width
+    last_silent = F.coalesce(F.col("_next"), bucket_start(after_last - F.expr("INTERVAL 1 MICROSECOND"), minutes) + width) - width
+    silent = (
+        busy.filter(first_silent <= last_silent)
+        .select(
+            key, F.explode(F.sequence(first_silent, last_silent, width)).alias("bucket_start"),
+            *[(F.col(f"{kind}_in") + F.col(kind)).alias(kind) for kind in kinds],
+        )
+        .select(key, "bucket_start", F.col("bucket_start").alias("start_time"), bucket_end.alias("end_time"), *kinds)
+    )
+    return pieces, silent
 
-def attribute_states(segments: DataFrame, key: str = "robot_code") -> DataFrame:
-    """Seconds of each state per bucket: executing, charging, waiting, idle, unobserved, in this order."""
-    state = (
+
+def atomic_segments(
+    robots: DataFrame, window: WindowSpec, minutes: int, intervals: dict[str, DataFrame], key: str = "robot_code"
+) -> DataFrame:
+    """All pieces of the window, see ``sweep``."""
+    pieces, silent = sweep(robots, window, minutes, intervals, key)
+    return pieces.unionByName(silent)
+
+
+def _state() -> Column:
+    """Executing before charging before waiting before idle; unobserved otherwise."""
+    return (
         F.when(F.col("executing") > 0, F.lit("executing"))
         .when(F.col("charging") > 0, F.lit("charging"))
         .when(F.col("waiting") > 0, F.lit("waiting"))
         .when(F.col("observed") > 0, F.lit("no_task"))
         .otherwise(F.lit("data_unavailable"))
     )
-    timed = segments.select(
-        key, "bucket_start", state.alias("_state"), seconds_between("start_time", "end_time").alias("_s")
+
+
+def _seconds_in(name: str) -> Column:
+    return F.when(F.col("_state") == name, F.col("_s")).otherwise(F.lit(0).cast("long"))
+
+
+def _timed(segments: DataFrame, key: str) -> DataFrame:
+    return segments.select(
+        key, "bucket_start", _state().alias("_state"), seconds_between("start_time", "end_time").alias("_s")
     )
-    return timed.groupBy(key, "bucket_start").agg(
-        *[
-            F.sum(F.when(F.col("_state") == name, F.col("_s")).otherwise(F.lit(0))).alias(f"{name}_seconds")
-            for name in STATES
-        ]
+
+
+def attribute_states(segments: DataFrame, key: str = "robot_code") -> DataFrame:
+    """Seconds of each state per robot and bucket."""
+    return _timed(segments, key).groupBy(key, "bucket_start").agg(
+        *[F.sum(_seconds_in(name)).alias(f"{name}_seconds") for name in STATES]
     )
 
 
@@ -298,7 +351,7 @@ def state_intervals(
     events: DataFrame, battery: DataFrame, queue: DataFrame, window: WindowSpec,
     gap_seconds: int = V.BATTERY_MAX_GAP_SECONDS, merged: bool = True,
 ) -> dict[str, DataFrame]:
-    """The four interval sets of a window, read from the event, battery and queue facts.
+    """The interval sets of a window, read from the event, battery and queue facts.
 
     ``merged`` gives the fewest, longest intervals.  State seconds do not need
     that: the sweep counts how many intervals are active, so overlapping ones
@@ -318,12 +371,7 @@ def state_intervals(
         observed = state_islands(samples, ["robot_code"], "sample_time", "is_charging", gap_seconds)
     else:
         observed = sample_spans(samples, ["robot_code"], "sample_time", "is_charging", gap_seconds)
-    return {
-        "executing": executing,
-        "charging": observed.filter("is_charging"),
-        "waiting": waiting,
-        "observed": observed,
-    }
+    return {"executing": executing, "waiting": waiting, "observed": observed}
 
 
 def state_trend_from_events(
@@ -340,11 +388,16 @@ def state_trend_from_events(
     grain = minutes or window.grain
     scope = active_robots(robot_dim, robots)
     sets = state_intervals(events, battery, queue, window, gap_seconds, merged=False)
-    segments = atomic_segments(scope, window, grain, sets)
-    states = attribute_states(segments)
     counts = bucket_event_counts(events, grain, window)
+    pieces, silent = sweep(scope, window, grain, sets, busy_buckets=counts)
     names = list(V.EVENT_TYPE_COUNTS)
-    return lookup(states, counts, ["robot_code", "bucket_start"], "left").select(
-        F.col("bucket_start").alias("stat_hour"), "robot_code", *STATE_COLUMNS,
-        *[F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in names],
+    zero = F.lit(0).cast("long")
+    busy = attribute_states(pieces).join(counts, ["robot_code", "bucket_start"], "left").select(
+        "robot_code", "bucket_start", *STATE_COLUMNS, *[F.coalesce(name, zero).alias(name) for name in names]
+    )
+    # A silent bucket is one piece in one state, without events.
+    quiet = _timed(silent, "robot_code").select(
+        "robot_code", "bucket_start", *[_seconds_in(name).alias(f"{name}_seconds") for name in STATES],
+        *[zero.alias(name) for name in names],
     )
+    return busy.unionByName(quiet).withColumnRenamed("bucket_start", "stat_hour")
