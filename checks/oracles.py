@@ -183,6 +183,17 @@ oracle("status_coverage", f"""
     FROM scope s LEFT JOIN inwin h
       ON h.robot_code = s.robot_code OR h.robot_code = CAST(s.master_robot_id AS VARCHAR)
     GROUP BY 1, 2""", **in_hours("status_hourly"))
+oracle("overlay_robots", """
+    SELECT master_robot_id, robot_code, CAST(soc AS DOUBLE) / 100 AS battery_soc,
+           CASE WHEN wifi_freshness_status = 'CURRENT' THEN CAST(rssi_centi AS DOUBLE) / 100 END AS current_rssi,
+           CASE WHEN wifi_freshness_status = 'CURRENT' THEN wi_n ELSE 0 END AS wifi_sample_count, wifi_freshness_status,
+           greatest(coalesce(st_time, source_event_time), ba_time, wi_time) AS latest_data_time
+    FROM fleet""", **FLEET)
+oracle("offline_ids", """
+    SELECT count(*) AS robot_count, (SELECT string_agg(robot_code, ', ' ORDER BY robot_code) FROM (
+               SELECT robot_code FROM fleet WHERE online_status <> 'ONLINE' ORDER BY robot_code LIMIT 6)) AS ids,
+           greatest(count(*) - 6, 0) AS more_count
+    FROM fleet WHERE online_status <> 'ONLINE'""", **FLEET)
 oracle("text_search", """
     SELECT s.master_robot_id, s.robot_code, m.serial_number AS robot_serial_number
     FROM scope s JOIN robot_master m ON m.id = s.master_robot_id
@@ -312,6 +323,12 @@ oracle("workload_assessment", f"""
            CAST(0 AS BIGINT) AS currently_observable_idle_robot_count
     FROM (SELECT count(*) FILTER (total_assigned_tasks > 0 AND top_robot_share_percent >= 60 AND robot_count >= 3) AS c,
                  {big('sum(zero_task_robot_count)')} AS z FROM grp)""", **WORKLOAD)
+oracle("workload_highlights", """
+    SELECT w.robot_code AS robot_id, w.assigned_task_count,
+           CASE WHEN g.top_robot_id = w.robot_code AND g.top_robot_share_percent >= 60 AND g.robot_count >= 3
+                THEN 'CONCENTRATED' ELSE 'BALANCED' END AS classification
+    FROM workload w JOIN grp g USING (robot_type) WHERE w.assigned_task_count > 0
+    ORDER BY w.assigned_task_count DESC, w.robot_code LIMIT 6""", **WORKLOAD)
 oracle("profile_task_breakdown", f"""
     SELECT CASE WHEN job_type_code = '__ALL__' THEN 'ALL TASK OUTCOMES'
                 ELSE coalesce(nullif(trim(job_type_code), ''), 'NOT_REPORTED') END AS job_type_code,
@@ -421,6 +438,17 @@ METRICS = {
 }
 oracle("operational_metrics", "SELECT * FROM metrics", **METRICS)
 
+oracle("on_time_ranking", f"""
+    SELECT robot_code, {percent('on_time_count', 'duration_reference_count')} AS value,
+           CASE WHEN on_time_count * 100 >= duration_reference_count * 90 THEN 'healthy' ELSE 'warning' END AS tone
+    FROM timing WHERE duration_reference_count > 0""", **RUNS)
+oracle("queue_wait_ranking", """
+    SELECT robot_code, avg_queue_wait_seconds AS value,
+           CASE WHEN avg_queue_wait_seconds > 300 THEN 'warning' ELSE 'blue' END AS tone FROM waits""", **RUNS)
+oracle("battery_share_ranking", """
+    SELECT robot_code, above_60_time_share_percent AS value,
+           CASE WHEN window_coverage_percent >= 80 THEN 'violet' ELSE 'muted' END AS tone FROM share""", **RUNS)
+
 # -- readiness ---------------------------------------------------------------------
 
 oracle("event_audit_coverage", """
@@ -483,6 +511,37 @@ oracle("measurement_gaps", """
                     WHEN incident_row_count > 0 AND incident_evidence_row_count > 0 THEN 'SUPPORTED' ELSE 'PARTIAL' END
         FROM ready
         UNION ALL SELECT 8, 'Task cumulative mileage', 'NOT_MEASURABLE')""", **METRICS, **READY)
+ASSESSMENT = {
+    **METRICS, **READY, **WORKLOAD, **DIAGNOSIS, **in_hours("status_hourly"),
+    "covered": """
+        SELECT count(DISTINCT s.master_robot_id) AS c FROM scope s JOIN inwin h
+          ON h.robot_code = s.robot_code OR h.robot_code = CAST(s.master_robot_id AS VARCHAR)""",
+    "jobwin": ROLLUP["inwin"],
+}
+ASSESSMENT["workload"] = WORKLOAD["workload"].replace("inwin", "jobwin")
+ASSESSMENT = {name: ASSESSMENT[name] for name in sorted(
+    ASSESSMENT, key=lambda name: (name in ("workload", "grp"), name == "grp"))}
+oracle("fleet_assessment", f"""
+    SELECT CASE WHEN crit > 0 THEN 'CRITICAL' WHEN n > 0 OR conc > 0 THEN 'WARNING' ELSE 'HEALTHY' END AS severity,
+           CASE WHEN cov < total THEN 'LIMITED' ELSE 'SUPPORTED' END AS confidence,
+           CASE WHEN cov = total THEN 'HEALTHY' ELSE 'WARNING' END AS data_quality_severity,
+           {percent('cov', 'total', 1)} AS status_coverage_percent, n AS diagnostic_count, crit AS critical_count,
+           CAST(0 AS BIGINT) AS rssi_measurement_unavailable_robot_count,
+           CAST(0 AS BIGINT) AS unresolved_disconnect_count, cov AS status_coverage_robot_count,
+           total AS total_robot_count, nm AS not_measurable_count,
+           CASE WHEN conc > 0 THEN 'WARNING' WHEN z > 0 THEN 'WATCH' ELSE 'HEALTHY' END AS workload_severity,
+           CASE WHEN conc = 0 THEN 'NO_SEVERE_CONCENTRATION' WHEN z > 0 THEN 'CAPACITY_EVIDENCE_LIMITED'
+                ELSE 'UNRESOLVED' END AS cause_status
+    FROM (SELECT (SELECT count(*) FROM rated) AS n, (SELECT count(*) FROM rated WHERE severity = 'CRITICAL') AS crit,
+                 (SELECT c FROM covered) AS cov, (SELECT count(*) FROM scope) AS total,
+                 (SELECT count(*) FROM grp WHERE total_assigned_tasks > 0 AND top_robot_share_percent >= 60
+                    AND robot_count >= 3) AS conc,
+                 (SELECT {big('sum(zero_task_robot_count)')} FROM grp) AS z,
+                 (SELECT CAST(1 + (duration_reference_count = 0)::INT + (duration_complete_count = 0)::INT
+                         + (linked_queue_count = 0)::INT + (completed_segment_count = 0)::INT
+                         + (battery_measured_robot_count = 0)::INT AS BIGINT) FROM metrics)
+                 + (SELECT CAST((dispatch_assignment_row_count = 0)::INT + (operation_event_row_count = 0)::INT AS BIGINT)
+                    FROM ready) AS nm)""", **ASSESSMENT)
 oracle("coverage_profile", """
     SELECT count(*) AS task_row_count, count(start_time) AS start_time_row_count, count(end_time) AS end_time_row_count,
            count(*) FILTER (subjob_id > 0) AS subjob_row_count, min(start_time) AS first_time, max(start_time) AS last_time
@@ -661,6 +720,13 @@ oracle("robot_breakdown", f"""
     SELECT robot_master_id, coalesce(robot_name, 'Unmapped robot') AS robot_name, count(*) AS queue_count,
            count(DISTINCT job_id) AS task_count, {OUTCOME_COUNTS}, {OPEN_COUNT}, {EXECUTED}, {AVERAGE},
            max(event_time) AS latest_event_time FROM sq GROUP BY 1, 2""", **PROJECT)
+oracle("completion_totals", f"""
+    SELECT queue_count, completed_count, unsuccessful_count, execution_seconds,
+           {percent('completed_count', 'completed_count + unsuccessful_count')} AS completion_rate_percent
+    FROM (SELECT count(*) AS queue_count, {OUTCOME_COUNTS}, {EXECUTED} FROM sq)""", **PROJECT)
+oracle("project_robot_scope", """
+    SELECT robot_code AS robot_id, master_robot_id, severity FROM rated
+    WHERE robot_code IN (SELECT robot_name FROM sq)""", **PROJECT, **DIAGNOSIS)
 oracle("project_trend", f"""
     SELECT bucket_start AS stat_hour, coalesce(robot_name, 'Unmapped robot') AS robot_name, count(*) AS queue_count,
            {OUTCOME_COUNTS}, {EXECUTED} FROM sq GROUP BY 1, 2""", **PROJECT)
@@ -788,6 +854,15 @@ oracle("rssi_reaggregate", f"""
            {ratio(f'sum({CENTI} * valid_signal_sample_count)', 'sum(valid_signal_sample_count) * 100', 6)}
              AS average_valid_rssi
     FROM bypair GROUP BY 1""", **RUNNING)
+oracle("rssi_trend_reaggregate", f"""
+    SELECT bucket_start, {big('sum(sample_count)')} AS sample_count,
+           {big('sum(valid_signal_sample_count)')} AS valid_signal_sample_count,
+           {big('sum(zero_signal_sample_count)')} AS zero_signal_sample_count,
+           min(minimum_valid_rssi) AS minimum_valid_rssi, count(DISTINCT robot_code) AS robot_count,
+           {ratio(f'sum({CENTI} * valid_signal_sample_count)', 'sum(valid_signal_sample_count) * 100', 6)}
+             AS average_valid_rssi
+    FROM (SELECT robot_code, poi_target, bucket_start, count(*) AS sample_count, {SIGNAL} FROM smp GROUP BY 1, 2, 3)
+    GROUP BY 1""", **RUNNING)
 oracle("point_comparison", f"""
     SELECT robot_code, {big('sum(sample_count)')} AS sample_count,
            {big('coalesce(sum(valid_signal_sample_count) FILTER (average_valid_rssi IS NOT NULL), 0)')}
@@ -852,13 +927,14 @@ PAIRS = {
                      PARTITION BY robot_code ORDER BY start_time, end_time, source_ods_row_id ROWS UNBOUNDED PRECEDING)
                     AS grp FROM exo""",
 }
+INNER = ("TIMESTAMP '2024-01-01 07:02:30'", "TIMESTAMP '2024-01-30 17:01:10'")
 SIX = ("TIMESTAMP '2024-01-30 17:02:00'", "TIMESTAMP '2024-01-30 23:01:00'")
 MONTH = ("TIMESTAMP '2024-01-01 00:00:00'", "TIMESTAMP '2024-02-01 00:00:00'")
 oracle("pair_events", "SELECT * FROM ex", **PAIRS)
 oracle("pair_events_clipped", f"""
-    SELECT source_schema, source_table, source_ods_row_id, robot_code, greatest(start_time, {SIX[0]}) AS start_time,
-           least(end_time, {SIX[1]}) AS end_time
-    FROM ex WHERE start_time < {SIX[1]} AND end_time > {SIX[0]}""", **PAIRS)
+    SELECT source_schema, source_table, source_ods_row_id, robot_code, greatest(start_time, {INNER[0]}) AS start_time,
+           least(end_time, {INNER[1]}) AS end_time
+    FROM ex WHERE start_time < {INNER[1]} AND end_time > {INNER[0]}""", **PAIRS)
 oracle("merge_intervals", """
     SELECT robot_code, min(start_time) AS start_time, max(end_time) AS end_time FROM exg GROUP BY robot_code, grp""",
        **PAIRS)
@@ -976,4 +1052,4 @@ oracle("state_trend_hour", TREND, **timeline(MONTH, 60))
 oracle("state_trend_day", TREND, **timeline(MONTH, 1440))
 oracle("atomic_segments", """
     SELECT robot_code, bucket_start, s AS start_time, e AS end_time, executing, charging, waiting, observed FROM flag""",
-       **timeline(SIX, 5))
+       **timeline(INNER, 60))

@@ -13,12 +13,16 @@ from fleetlens.functions import scalar as S
 from fleetlens.functions import vocab as V
 from fleetlens.functions.time import WindowSpec, hours_before, trailing
 from fleetlens.operators import fleet, intervals, joins, rssi, rules, scope, tasks, work
+from fleetlens.plans import project_analytics
 from fleetlens.sources import profile
 from fleetlens.sources.driver_tables import DriverTables
 
 AS_OF = datetime(2024, 1, 31)
 TIMEOUT = 1440
 TELEMETRY = WindowSpec(datetime(2024, 1, 1), datetime(2024, 2, 1))
+# Bounds that cut intervals at both ends of the telemetry.
+INNER = WindowSpec(datetime(2024, 1, 1, 7, 2, 30), datetime(2024, 1, 30, 17, 1, 10))
+# The 5-minute grain exists for windows of at most six hours.
 SIX_HOURS = WindowSpec(datetime(2024, 1, 30, 17, 2), datetime(2024, 1, 30, 23, 1))
 ORDERS = WindowSpec(datetime(1995, 1, 1), datetime(2002, 1, 1))
 # The benchmark telemetry has hours between samples, so gaps up to 12 h count.
@@ -219,6 +223,23 @@ def status_coverage(t):
     return fleet.status_coverage(_scope(t), _bridge(t), _in_hours(t, "status_hourly"))
 
 
+@query
+def overlay_robots(t):
+    """Robots with their signal row laid over them."""
+    latest = fleet.wifi_latest(_scope(t), _bridge(t), t["wifi_hourly"], AS_OF, TIMEOUT)
+    merged = joins.overlay(_fleet(t), fleet.wifi_robot_rows(latest), "master_robot_id")
+    newest = S.row_max(F.coalesce("status_event_time", "source_event_time"), "battery_event_time", "latest_wifi_time")
+    return merged.select(
+        "master_robot_id", "robot_code", "battery_soc", "current_rssi", "wifi_sample_count", "wifi_freshness_status",
+        newest.alias("latest_data_time"),
+    )
+
+
+@query
+def offline_ids(t):
+    return rules.id_list(_fleet(t), F.col("online_status") != "ONLINE", 6)
+
+
 @query
 def text_search(t):
     robots = _fleet(t)
@@ -321,6 +342,13 @@ def workload_assessment(t):
     return rules.workload_assessment(rules.workload_groups(_work(t), _fleet(t))).drop("title")
 
 
+@query
+def workload_highlights(t):
+    return rules.workload_highlights(rules.classify_workload(_work(t), _fleet(t))).select(
+        "robot_id", "assigned_task_count", "classification"
+    )
+
+
 @query
 def profile_task_breakdown(t):
     return work.task_breakdown(t["job_daily"])
@@ -377,6 +405,39 @@ def operational_metrics(t):
     )
 
 
+def _rankings(t):
+    return rules.metric_rankings(
+        work.task_timing(_runs(t), t["duration_limit"], _scope(t)),
+        work.queue_wait(_runs(t), t["queue_source"], _scope(t)), _share(t),
+    )
+
+
+@query
+def on_time_ranking(t):
+    return _rankings(t)["on_time"]
+
+
+@query
+def queue_wait_ranking(t):
+    return _rankings(t)["queue_wait"]
+
+
+@query
+def battery_share_ranking(t):
+    return _rankings(t)["battery_share"]
+
+
+@query
+def fleet_assessment(t):
+    robots = _fleet(t)
+    groups = rules.workload_groups(_work(t), robots)
+    gaps = rules.measurement_gaps(profile.readiness(t, _scope(t), 90), operational_metrics(t))
+    coverage = fleet.status_coverage(_scope(t), _bridge(t), _in_hours(t, "status_hourly"))
+    return rules.fleet_assessment(
+        rules.diagnose(robots, AS_OF, TIMEOUT), robots, coverage, rules.workload_assessment(groups), gaps
+    ).drop("headline", "title", "rule_version")
+
+
 # -- readiness -------------------------------------------------------------------
 
 @query
@@ -556,6 +617,22 @@ def robot_breakdown(t):
     return work.robot_breakdown(_cells(t))
 
 
+@query
+def completion_totals(t):
+    return project_analytics.completion_totals(work.robot_breakdown(_cells(t)))
+
+
+@query
+def project_robot_scope(t):
+    """Diagnoses of the robots that carried work of the projects."""
+    derived = work.robot_breakdown(_cells(t)).filter(F.col("robot_name") != V.UNMAPPED_ROBOT)
+    robots = _fleet(t)
+    members = scope.display_robots(robots, derived)
+    return scope.restrict(rules.diagnose(robots, AS_OF, TIMEOUT), "master_robot_id", members).select(
+        "robot_id", "master_robot_id", "severity"
+    )
+
+
 @query
 def project_trend(t):
     return work.project_trend(_cells(t))
@@ -628,6 +705,11 @@ def rssi_reaggregate(t):
     return rssi.reaggregate_rssi(rssi.stats_by_robot_target(_histogram(t)), ["poi_target"])
 
 
+@query
+def rssi_trend_reaggregate(t):
+    return rssi.reaggregate_rssi(rssi.stats_trend(_histogram(t)), ["bucket_start"])
+
+
 @query
 def point_comparison(t):
     return rssi.point_comparison(rssi.stats_by_robot_target(_histogram(t)))
@@ -678,7 +760,7 @@ def pair_events(t):
 
 @query
 def pair_events_clipped(t):
-    return joins.pair_events(_executions(t), window=SIX_HOURS)
+    return joins.pair_events(_executions(t), window=INNER)
 
 
 @query
@@ -706,7 +788,7 @@ def _interval_sets(t, window):
 @query
 def atomic_segments(t):
     robots = intervals.active_robots(t["robot_dim"])
-    return intervals.atomic_segments(robots, SIX_HOURS, 5, _interval_sets(t, SIX_HOURS)).select(
+    return intervals.atomic_segments(robots, INNER, 60, _interval_sets(t, INNER)).select(
         "robot_code", "bucket_start", "start_time", "end_time",
         *[(F.col(kind) > 0).alias(kind) for kind in intervals.KINDS],
     )

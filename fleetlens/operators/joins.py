@@ -116,6 +116,9 @@ def latest_per_key(
     before the shuffle, so a key with very many rows costs no more than others.
     """
     kept = [name for name in (columns or df.columns) if name not in keys]
+    if len(kept) == len(order_desc) == 1:
+        # Without structs the aggregate can hash fixed-width values instead of sorting.
+        return df.groupBy(*keys).agg(F.max_by(kept[0], as_col(order_desc[0])).alias(kept[0]))
     newest = F.max_by(F.struct(*kept), F.struct(*[as_col(order).alias(f"o{i}") for i, order in enumerate(order_desc)]))
     return df.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*")
 

@@ -203,12 +203,15 @@ def load_jdbc(
 
 
 def write_model(df: DataFrame, base: str, name: str, key: str | None = None) -> None:
-    """Store a model table by day, sorted by key and time inside files for range skipping."""
-    time = PARTITION_TIME.get(name)
-    writer = df
-    if time:
-        writer = writer.withColumn("day", F.to_date(time)).repartition("day", *( [key] if key else []))
-        writer = writer.sortWithinPartitions(*([key] if key else []), time)
-        writer.write.mode("overwrite").partitionBy("day").parquet(f"{base.rstrip('/')}/{name}")
-    else:
-        writer.write.mode("overwrite").parquet(f"{base.rstrip('/')}/{name}")
+    """Store a model table by day, sorted by key and time inside files for range skipping.
+
+    Ranges, not hashes, divide the rows, so a busy robot or day is spread over
+    several files.
+    """
+    path, time = f"{base.rstrip('/')}/{name}", PARTITION_TIME.get(name)
+    if time is None:
+        df.write.mode("overwrite").parquet(path)
+        return
+    order = ["day", *([key] if key else []), time]
+    dated = df.withColumn("day", F.to_date(time))
+    dated.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("day").parquet(path)
