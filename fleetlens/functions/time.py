@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -97,6 +97,23 @@ def trailing(ts: ColumnOrName, anchor: Column, amount: int, unit: str, closed: s
     return (column >= lower if lower_closed else column > lower) & (column <= anchor)
 
 
+# Tables stored by day carry their folder's date in this column.
+DAY_COLUMN = "day"
+
+
+def prune_days(df: DataFrame, lower: Column, upper: Column) -> DataFrame:
+    """Read only the day folders between two times; no effect on tables not stored by day."""
+    if DAY_COLUMN not in df.columns:
+        return df
+    return df.filter((F.col(DAY_COLUMN) >= F.to_date(lower)) & (F.col(DAY_COLUMN) <= F.to_date(upper)))
+
+
+def in_trailing(df: DataFrame, ts: str, anchor: Column, amount: int, unit: str, closed: str) -> DataFrame:
+    """Rows of a trailing window, see ``trailing``."""
+    lower = anchor - F.expr(f"INTERVAL {int(amount)} {unit}")
+    return prune_days(df.filter(trailing(ts, anchor, amount, unit, closed)), lower, anchor)
+
+
 # --------------------------------------------------------------------------
 # adaptive grain
 # --------------------------------------------------------------------------
@@ -164,6 +181,11 @@ class WindowSpec:
         return (column >= lit_ts(self.start)) & (column < lit_ts(self.end))
 
 
+def in_window(df: DataFrame, ts: str, window: WindowSpec) -> DataFrame:
+    """Rows whose time lies in the window."""
+    return prune_days(df.filter(window.contains(ts)), lit_ts(window.start), lit_ts(window.end))
+
+
 _LOCAL_TIME = re.compile(r"(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(?::(\d{2})(?:\.(\d{1,6}))?)?")
 
 

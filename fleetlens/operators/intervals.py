@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.scalar import count_if, lower_trim, percent, upper_trim
-from ..functions.time import WindowSpec, bucket_start, lit_ts, seconds_between
+from ..functions.time import WindowSpec, bucket_start, in_window, lit_ts, seconds_between
 from .joins import clip, pair_events
 from .scan import DEFAULT_CHUNK_SECONDS, asof_after, with_neighbours, with_running_max
 
@@ -320,7 +321,8 @@ def bucket_event_counts(events: DataFrame, minutes: int, window: WindowSpec, key
         matches = F.col("event_type") == event_type
         counts.append(count_if(matches & succeeded if name == "task_completed_count" else matches).alias(name))
     return (
-        events.filter(window.contains("event_time") & F.col("event_type").isin(*V.EVENT_TYPE_COUNTS.values()))
+        in_window(events, "event_time", window)
+        .filter(F.col("event_type").isin(*V.EVENT_TYPE_COUNTS.values()))
         .groupBy(key, bucket_start("event_time", minutes).alias("bucket_start"))
         .agg(*counts)
     )
@@ -359,10 +361,8 @@ def state_intervals(
     """
     executions = execution_events(events)
     executing = pair_events(executions, window=window)
-    samples = charging_samples(battery).filter(
-        (F.col("sample_time") >= lit_ts(window.start) - F.expr(f"INTERVAL {int(gap_seconds)} SECONDS"))
-        & (F.col("sample_time") < lit_ts(window.end))
-    )
+    lookback = WindowSpec(window.start - timedelta(seconds=gap_seconds), window.end)
+    samples = charging_samples(in_window(battery, "sample_time", lookback))
     waiting = queue_to_first_start(
         queue, executions.filter(F.col("source_event_part") == V.EVENT_START), window
     )

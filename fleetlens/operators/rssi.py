@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import vocab as V
 from ..functions.scalar import percent, ratio
-from ..functions.time import bucket_start, hour_start
+from ..functions.time import bucket_start, hour_start, prune_days
 from .joins import attach_dim, lookup, strict_time_join
 
 
@@ -28,6 +28,7 @@ def running_samples(
     dropped only after that choice.  ``[start, end)`` bounds both sources.
     """
     inside = (F.col("pc_timestamp") >= start) & (F.col("pc_timestamp") < end)
+    job_history, wifi_history = (prune_days(df, start, end) for df in (job_history, wifi_history))
     robots = scope.select(F.col("master_robot_id").alias("amr_id"))
     jobs = lookup(
         job_history.filter((F.col("job_status") == V.RUNNING_JOB_STATUS) & inside).select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import vocab as V
 from ..functions.scalar import count_if
-from ..functions.time import WindowSpec, bucket_start
+from ..functions.time import WindowSpec, bucket_start, in_window
 from .intervals import STATE_COLUMNS
 from .joins import attach_dim, lookup, one_row
 from .scan import asof_before
@@ -130,7 +130,7 @@ def queue_labels(
     queue: DataFrame, master: DataFrame, task_dim: DataFrame, window: WindowSpec, robots: Sequence[str] | None = None
 ) -> DataFrame:
     """Queue events of known robots with their calling-box and task labels."""
-    events = queue.filter(window.contains("event_time")).select(
+    events = in_window(queue, "event_time", window).select(
         "queue_id", "event_time", "queue_status", "calling_box_id", "calling_box_name",
         S.try_int("robot_id").alias("_robot"), S.try_int("job_id").alias("job_id"),
     )

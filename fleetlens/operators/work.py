@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import vocab as V
 from ..functions.scalar import count_if, percent, ratio
-from ..functions.time import WindowSpec, bucket_start, millis_between, seconds_between
+from ..functions.time import WindowSpec, bucket_start, in_window, millis_between, seconds_between
 from .joins import attach_by_reference, attach_dim, latest_per_key, lookup
 
 
@@ -283,7 +283,8 @@ def execution_per_queue(runs: DataFrame, window: WindowSpec) -> DataFrame:
     """Closed execution seconds and run counts of each queue record in the window."""
     closed = F.when(F.col("end_time").isNotNull(), seconds_between("start_time", "end_time")).otherwise(_zero())
     return (
-        runs.filter(F.col("queue_id").isNotNull() & window.contains("start_time"))
+        in_window(runs, "start_time", window)
+        .filter(F.col("queue_id").isNotNull())
         .groupBy("queue_id")
         .agg(
             F.sum(closed).alias("execution_seconds"),
@@ -305,7 +306,7 @@ def scoped_queue(
     """
     grain = minutes or window.grain
     status = F.lower("queue_status") if case_insensitive else F.col("queue_status")
-    base = queue.filter(window.contains("event_time")).select(
+    base = in_window(queue, "event_time", window).select(
         "queue_fact_id", "queue_id", "event_time", bucket_start("event_time", grain).alias("bucket_start"),
         S.try_int("project_id").alias("project_id"), S.try_int("job_id").alias("job_id"),
         S.try_int("robot_id").alias("_robot"), status.alias("queue_status"), "calling_box_name",

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import vocab as V
 from ..functions.time import (
-    WindowSpec, clamp_days, clamp_hours, clamp_int, days_before, grain_for, lit_ts, minutes_between, parse_wifi_window,
-    trailing,
+    WindowSpec, clamp_days, clamp_hours, clamp_int, days_before, grain_for, in_trailing, in_window, lit_ts,
+    minutes_between, parse_wifi_window,
 )
 from ..operators import fleet, intervals, joins, rssi, rules, scope, work
 from ..session import cut
@@ -48,12 +48,12 @@ def _anchors(tables, bridge: DataFrame, robots: DataFrame) -> dict[str, object]:
     ).first().asDict()
 
 
-def _upto(time: str, anchor: object, amount: int, unit: str, closed: str) -> Column:
+def _upto(df: DataFrame, time: str, anchor: object, amount: int, unit: str, closed: str) -> DataFrame:
     """Trailing window before a known anchor; nothing when the source is empty."""
     if anchor is None:
-        return F.lit(False)
+        return df.filter(F.lit(False))
     literal = lit_ts(anchor) if isinstance(anchor, datetime) else F.lit(anchor)
-    return trailing(time, literal, amount, unit, closed)
+    return in_trailing(df, time, literal, amount, unit, closed)
 
 
 def running_wifi(
@@ -111,9 +111,9 @@ def dashboard(
 ) -> Report:
     """All named results of the dashboard.
 
-    ``as_of`` stands for the current time.  One small job finds the newest
-    reading of every source, so that all windows are literals the scans can
-    use to skip files; everything else runs when a result is read.
+    ``as_of`` stands for the current time.  One job over the time columns finds
+    the newest reading of every source, so that all windows are literals the
+    scans use to skip files; everything else runs when a result is read.
     ``rollup="as_is"`` sums rollup and detail rows of the daily jobs together.
     """
     hours, days = clamp_hours(hours), clamp_days(days)
@@ -126,10 +126,10 @@ def dashboard(
     anchors = _anchors(tables, bridge, robots)
 
     def in_hours(table: str, anchor: str) -> DataFrame:
-        return scope.in_scope(tables[table].filter(_upto("stat_hour", anchors[anchor], hours, "HOURS", "buckets")), bridge)
+        return scope.in_scope(_upto(tables[table], "stat_hour", anchors[anchor], hours, "HOURS", "buckets"), bridge)
 
     def in_days(df: DataFrame, anchor: str) -> DataFrame:
-        return scope.in_scope(df.filter(_upto("stat_date", anchors[anchor], days, "DAYS", "buckets")), bridge)
+        return scope.in_scope(_upto(df, "stat_date", anchors[anchor], days, "DAYS", "buckets"), bridge)
 
     def keep(df: DataFrame) -> DataFrame:
         return materialize(df) if materialize else df
@@ -159,16 +159,13 @@ def dashboard(
     # The signal trend is open at its start and anchored at the newest sample, not at an hour.
     wifi_anchor = wifi_latest.agg(F.max("latest_wifi_time")).scalar()
     wifi_rows = scope.in_scope(
-        tables["wifi_hourly"].filter(trailing("stat_hour", wifi_anchor, hours, "HOURS", "right")), bridge
+        in_trailing(tables["wifi_hourly"], "stat_hour", wifi_anchor, hours, "HOURS", "right"), bridge
     )
-    queue_day = anchors["queue"]
-    outcome_window = F.lit(False)
+    queue_day, attempts = anchors["queue"], tables["queue_fact"].filter(F.lit(False))
     if queue_day is not None:
         first = datetime.combine(queue_day, datetime.min.time()) - timedelta(days=days - 1)
-        outcome_window = (F.col("event_time") >= lit_ts(first)) & (
-            F.col("event_time") < lit_ts(first + timedelta(days=days))
-        )
-    attempts = scope.in_scope(tables["queue_fact"].filter(outcome_window), bridge)
+        span = WindowSpec(first, first + timedelta(days=days))
+        attempts = scope.in_scope(in_window(tables["queue_fact"], "event_time", span), bridge)
 
     workload = keep(work.workload(robots, bridge, in_days(work.rollup_rows(tables["job_daily"]), "workload")))
     coverage = keep(fleet.status_coverage(robots, bridge, in_hours("status_hourly", "status")))
@@ -264,12 +261,12 @@ def task_runs(
             ((F.count(F.lit(1)) >= sample_limit) & (F.min("start_time") > lower)).alias("cut_short")
         ).scalar()
         truncated = F.coalesce(seen, F.lit(False))
-    return runs.filter((F.col("start_time") >= lower) & (F.col("start_time") <= lit_ts(anchor))), truncated
+    return in_trailing(runs, "start_time", lit_ts(anchor), days, "DAYS", "both"), truncated
 
 
 def battery_share(tables, robots: DataFrame, anchor: datetime | None, hours: int) -> DataFrame:
     """Time-weighted share above the level, per robot in scope."""
-    samples = tables["battery_history"].filter(_upto("pc_timestamp", anchor, hours, "HOURS", "both"))
+    samples = _upto(tables["battery_history"], "pc_timestamp", anchor, hours, "HOURS", "both")
     share = intervals.time_weighted_share(
         samples, ["amr_id"], "pc_timestamp", "batt_level", window_s=hours * 3600
     ).withColumnRenamed("amr_id", "master_robot_id")

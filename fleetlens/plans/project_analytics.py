@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.scalar import percent
-from ..functions.time import PROJECT_WINDOW, describe_grain, lit_ts, parse_window, snap_to_hours
+from ..functions.time import PROJECT_WINDOW, describe_grain, in_window, lit_ts, parse_window, snap_to_hours
 from ..operators import scope, tasks, work
 from ..session import cut
 from .task_analytics import latest_end
@@ -46,7 +46,7 @@ def project_analytics(
     evidence = work.select_work(scoped, wanted_projects, wanted_jobs)
     robot_rows = work.robot_breakdown(selected)
     hours = snap_to_hours(window)
-    idle = work.idle_causes(tables["task_hourly"].filter(hours.contains("stat_hour")), evidence)
+    idle = work.idle_causes(in_window(tables["task_hourly"], "stat_hour", hours), evidence)
     shown_rows = scope.in_or_all(robot_rows, "robot_name", shown)
     summary = work.project_summary(selected).select(
         lit_ts(window.start).alias("analysis_start"), lit_ts(window.end).alias("analysis_end"),

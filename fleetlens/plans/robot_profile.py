@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_active_flag
-from ..functions.time import clamp_days, clamp_hours, lit_ts, trailing
+from ..functions.time import clamp_days, clamp_hours, in_trailing, lit_ts
 from ..operators import joins, rssi, scope, work
 
 Report = dict[str, DataFrame]
@@ -55,18 +55,19 @@ def robot_profile(tables, robot_id: object, as_of: datetime, hours: object = Non
     )
     found = anchors.first().asDict()
 
-    def window(time: str, anchor: object, amount: int, unit: str, closed: str):
+    def recent(df: DataFrame, time: str, anchor: object, amount: int, unit: str, closed: str) -> DataFrame:
         if anchor is None:
-            return F.lit(False)
-        return trailing(time, lit_ts(anchor) if isinstance(anchor, datetime) else F.lit(anchor), amount, unit, closed)
+            return df.filter(F.lit(False))
+        return in_trailing(df, time, lit_ts(anchor) if isinstance(anchor, datetime) else F.lit(anchor), amount, unit, closed)
 
     def rows(name: str, time: str, anchor: str, amount: int, unit: str) -> DataFrame:
         mine = tables[name].filter(F.col("robot_code") == str(key))
-        return mine.filter(window(time, found[anchor], amount, unit, "buckets"))
+        return recent(mine, time, found[anchor], amount, unit, "buckets")
 
     jobs = rows("job_daily", "stat_date", "job_anchor_date", days, "DAYS")
-    signals = tables["wifi_source"].filter(F.col("amr_id") == key).filter(
-        window("pc_timestamp", found["wifi_anchor_time"], signal_hours, "HOURS", "right")
+    signals = recent(
+        tables["wifi_source"].filter(F.col("amr_id") == key), "pc_timestamp", found["wifi_anchor_time"], signal_hours,
+        "HOURS", "right",
     )
     return {
         "robot": robot,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import (
-    TASK_WINDOW, TREND_WINDOW, WindowSpec, describe_grain, lit_ts, parse_window, snap_to_hours,
+    TASK_WINDOW, TREND_WINDOW, WindowSpec, describe_grain, in_window, lit_ts, parse_window, snap_to_hours,
 )
 from ..operators import intervals, scope, tasks
 
@@ -35,7 +35,7 @@ def task_analytics(
     selected = scope.parse_list(robots)
 
     def hourly(name: str) -> DataFrame:
-        return scope.in_or_all(tables[name].filter(full_hours.contains("stat_hour")), "robot_code", selected)
+        return scope.in_or_all(in_window(tables[name], "stat_hour", full_hours), "robot_code", selected)
 
     states, assigned, boxes = hourly("task_hourly"), hourly("assigned_task_hourly"), hourly("calling_box_hourly")
     summary = tasks.state_summary(states, assigned).select(
@@ -76,7 +76,7 @@ def trends(tables, window: WindowSpec, selected: Sequence[str] = (), chart_label
         span = snap_to_hours(window)
 
         def hourly(name: str) -> DataFrame:
-            return scope.in_or_all(tables[name].filter(span.contains("stat_hour")), "robot_code", selected)
+            return scope.in_or_all(in_window(tables[name], "stat_hour", span), "robot_code", selected)
 
         state = tasks.state_rollup_trend(hourly("task_hourly"), grain)
         counted = hourly("task_hourly")

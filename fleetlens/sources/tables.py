@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.time import DAY_COLUMN
+
 # Model table -> warehouse schema and table.
 WAREHOUSE_TABLES: dict[str, tuple[str, str]] = {
     "robot_master": ("dbo", "MA_AMR"),
@@ -135,13 +137,20 @@ Tables = Mapping[str, DataFrame]
 
 
 def to_model(df: DataFrame, name: str) -> DataFrame:
-    """Columns of a source in model names and types; zone-less readings become session timestamps."""
+    """Columns of a source in model names and types; zone-less readings become session timestamps.
+
+    A table stored by day keeps its day column, which windows use to skip
+    folders.
+    """
     wanted = df.sparkSession.createDataFrame([], SCHEMAS[name]).schema
     present = {column.lower(): column for column in df.columns}
     missing = [field.name for field in wanted if field.name.lower() not in present]
     if missing:
         raise ValueError(f"{name} lacks columns: {', '.join(missing)}")
-    return df.select(*[F.col(present[f.name.lower()]).cast(f.dataType).alias(f.name) for f in wanted])
+    columns = [F.col(present[f.name.lower()]).cast(f.dataType).alias(f.name) for f in wanted]
+    if name in PARTITION_TIME and DAY_COLUMN in present:
+        columns.append(F.col(present[DAY_COLUMN]))
+    return df.select(*columns)
 
 
 class WarehouseTables(dict):
@@ -212,6 +221,6 @@ def write_model(df: DataFrame, base: str, name: str, key: str | None = None) ->
     if time is None:
         df.write.mode("overwrite").parquet(path)
         return
-    order = ["day", *([key] if key else []), time]
-    dated = df.withColumn("day", F.to_date(time))
-    dated.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("day").parquet(path)
+    order = [DAY_COLUMN, *([key] if key else []), time]
+    dated = df.withColumn(DAY_COLUMN, F.to_date(time)).repartitionByRange(*order).sortWithinPartitions(*order)
+    dated.write.mode("overwrite").partitionBy(DAY_COLUMN).parquet(path)

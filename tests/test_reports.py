@@ -6,7 +6,8 @@ import json
 
 import pytest
 
-from fleetlens.functions.time import WindowError
+from fleetlens.functions.time import WindowError, WindowSpec
+from fleetlens.operators import intervals
 from fleetlens.operators.scope import ScopeError
 from fleetlens.plans.dashboard import dashboard
 from fleetlens.plans.export import EXPORTS, export_dataset
@@ -14,6 +15,7 @@ from fleetlens.plans.project_analytics import diagnostics_of_project, project_an
 from fleetlens.plans.readiness import readiness_profile
 from fleetlens.plans.robot_profile import RobotError, robot_profile
 from fleetlens.plans.task_analytics import task_analytics
+from fleetlens import session
 from fleetlens.sources import profile, sinks, tables as model
 from fleetlens.sources.driver_tables import DriverTables
 from helpers import one, rows
@@ -205,9 +207,13 @@ def test_model_tables_roundtrip(spark, tables, tmp_path):
     loaded = model.load_parquet(spark, base, written)
     for name, df in written.items():
         assert loaded[name].count() == df.count()
-        assert set(loaded[name].columns) <= set(df.columns)
-    filtered = spark.read.parquet(f"{base}/operation_event").filter("day = date '2024-01-10'")
-    assert "PartitionFilters: [isnotnull(day" in filtered._jdf.queryExecution().executedPlan().toString()
+        assert set(loaded[name].columns) - {"day"} <= set(df.columns)
+    window = WindowSpec(datetime(2024, 1, 10), datetime(2024, 1, 12))
+    counted = intervals.bucket_event_counts(loaded["operation_event"], 60, window)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "GreaterThanOrEqual(event_time,2024-01-10" in plan
+    direct = intervals.bucket_event_counts(tables["operation_event"], 60, window)
+    assert sorted(map(str, rows(counted))) == sorted(map(str, rows(direct)))
     assert "nothing" not in loaded
     with pytest.raises(KeyError):
         loaded["nothing"]
@@ -224,6 +230,34 @@ def test_jdbc_options():
     assert "partitionColumn" not in model.jdbc_options("project", "jdbc:x", {})
 
 
+def test_cut_writes_to_the_checkpoint_folder(spark):
+    folder = session.checkpoint_dir(spark)
+    df = session.cut(spark.range(5).withColumnRenamed("id", "n"))
+    assert df.count() == 5 and "RDD" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert folder and spark.sparkContext.getCheckpointDir()
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
+
+
 def test_health_and_contract(spark, tables):
     tables["robot_dim"].createOrReplaceTempView("status_hourly")
     found = {r["table_name"]: r["table_exists"] for r in rows(profile.health(spark))}
