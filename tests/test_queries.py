@@ -29,7 +29,10 @@ def test_every_query_has_its_sql():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, connection, data_dir, name):
-    assert compare(entry.queries()[name](spark, data_dir), connection, entry.oracle_sql()[name]) is None
+    frame = entry.queries()[name](spark, data_dir)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython"))
+    assert compare(frame, connection, entry.oracle_sql()[name]) is None
 
 
 def test_entry_has_rows(spark):
