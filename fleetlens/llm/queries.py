@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import quality_forest
+from fleetlens.llm import language_codes, quality_forest, toxicity_fm
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,3 +27,15 @@ def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_forest.train(docs, table(spark, sf_dir, "labels"))
     return quality_forest.score_documents(docs, model)
+
+
+@query
+def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_fm.score_documents(docs, toxicity_fm.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op7_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_codes.predict(docs, language_codes.train(docs))
