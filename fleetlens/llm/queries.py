@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import language_codes, quality_forest, toxicity_fm
+from fleetlens.llm import bpe, language_codes, quality_forest, toxicity_fm
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,3 +40,8 @@ def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_codes.predict(docs, language_codes.train(docs))
+
+
+@query
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
