@@ -73,6 +73,9 @@ class Vocabulary:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
         self.cache: dict[str, bytes] = {}
+        self.ids_of = {token: i for i, token in self.token_bytes.items() if i not in self.special.values()}
+        self.longest = max(map(len, self.ids_of), default=1)
+        self.fits: dict[tuple[int, int], bool] = {}
 
     @classmethod
     def of(cls, content: str) -> "Vocabulary":
@@ -84,9 +87,49 @@ class Vocabulary:
 
     def merge(self, data: bytes) -> list[int]:
         """Tokens of a stretch: the lowest rank first, from the left."""
-        return self._merge_short(data) if len(data) <= SHORT else self._merge_long(data)
+        return self._match(data) if len(data) <= SHORT else self._merge_long(data)
+
+    def _match(self, data: bytes) -> list[int]:
+        """Tokens of a short stretch by longest matches that fit their left neighbour.
+
+        The tokens of a stretch are the only cover in which every neighbouring
+        pair is the BPE of its bytes, so a search that steps back where no match
+        fits ends at them; a place that failed once is not tried again.
+        """
+        fits, known, ids, ends, failed = self.fits, self.ids_of, [], [0], set()
+        at, n = 0, len(data)
+        end = n
+        while at < n:
+            end = min(end, at + self.longest)
+            last = ids[-1] if ids else -1
+            while end > at:
+                if end not in failed and (i := known.get(data[at:end])) is not None:
+                    ok = fits.get((last, i))
+                    if ok or ok is None and self._fit(last, i):
+                        break
+                end -= 1
+            if end > at:
+                ids.append(i)
+                ends.append(end)
+                at, end = end, n
+            elif not ids:
+                return self._merge_ranks(data)
+            else:
+                failed.add(at)
+                ids.pop()
+                end = ends.pop() - 1
+                at = ends[-1]
+        return ids
+
+    def _fit(self, left: int, right: int) -> bool:
+        """Whether two tokens (or one alone) are the BPE of their bytes."""
+        if len(self.fits) >= 10 * CACHED:
+            self.fits.clear()
+        pair = [right] if left < 0 else [left, right]
+        self.fits[left, right] = ok = self._merge_ranks(b"".join(self.token_bytes[i] for i in pair)) == pair
+        return ok
 
-    def _merge_short(self, data: bytes) -> list[int]:
+    def _merge_ranks(self, data: bytes) -> list[int]:
         ids = [self.byte_ids[b] for b in data]
         merges = self.merges
         while len(ids) > 1:
