@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import bpe, decontaminate, language_codes, quality_forest, toxicity_fm
+from fleetlens.llm import bpe, decontaminate, language_codes, license_votes, quality_forest, toxicity_fm
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +80,8 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(words), false) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op10_license_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_votes.license_labels(table(spark, sf_dir, "documents"))
