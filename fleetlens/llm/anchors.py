@@ -37,10 +37,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def version_of(text: Column) -> Column:
+    """A digest that tells texts under one doc_id apart."""
+    return F.pmod(F.coalesce(F.hash(text.cast("string")), F.lit(0)), F.lit(32749)).cast("smallint")
+
+
 def versioned(docs: DataFrame) -> DataFrame:
     """doc_id, version and text."""
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("bigint"), F.pmod(F.coalesce(F.hash(text), F.lit(0)), F.lit(32749)).cast("smallint").alias("version"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("bigint"), version_of(F.col("text")).alias("version"), F.col("text").cast("string"))
 
 
 def same_key(a: DataFrame, b: DataFrame) -> Column:
@@ -189,19 +193,19 @@ def compared(rows: DataFrame, resolve: Callable[[dict], list[np.ndarray]], targe
     return sorted_rows.mapInArrow(work, "doc_id bigint, version smallint, first int, windows int")
 
 
-def with_spans(docs: DataFrame, marked: DataFrame, more: DataFrame) -> DataFrame:
-    """``docs`` with all marked spans of each document."""
+def all_spans(marked: DataFrame, more: DataFrame) -> DataFrame:
+    """All marked spans of each document that has any."""
     whole = marked.where(F.size("copied") > 0).select(*KEY, F.col("copied").alias("spans"))
     rest = more.groupBy(*KEY).agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
-    spans = whole.unionByName(rest).groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return docs.join(spans, same_key(docs, spans), "left").select(*[docs[c] for c in docs.columns], "spans")
+    return whole.unionByName(rest).groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def repeated(docs: DataFrame, units: Units, length: int, k: int, keep_first: bool, piece, resolve, target: int) -> DataFrame:
     """``docs`` (see ``versioned``) with the spans of windows that occur elsewhere, or earlier."""
     marked = stored(marks(segments(docs, units, length, k), keep_first))
     more = compared(contents(docs, marked, length, piece), resolve, target)
-    return with_spans(docs, marked, more)
+    spans = all_spans(marked, more)
+    return docs.join(spans, same_key(docs, spans), "left").select(*[docs[c] for c in docs.columns], "spans")
 
 
 def spans_of(batch: pa.RecordBatch, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
