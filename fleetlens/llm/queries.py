@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import bpe, bwt_dedup, decontaminate, language_codes, license_votes, quality_forest, substring_dedup, toxicity_fm
+from fleetlens.llm import bpe, bwt_dedup, decontaminate, jaccard_rtree, language_codes, license_votes, quality_forest, substring_dedup, toxicity_fm
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,3 +95,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.deduplicated(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query
+def op3_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_rtree.jaccard_components(table(spark, sf_dir, "documents")).drop("version")
