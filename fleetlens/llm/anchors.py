@@ -208,12 +208,11 @@ def repeated(docs: DataFrame, units: Units, length: int, k: int, keep_first: boo
     return docs.join(spans, same_key(docs, spans), "left").select(*[docs[c] for c in docs.columns], "spans")
 
 
-def spans_of(batch: pa.RecordBatch, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def spans_of(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Starts and numbers of windows of the marked spans, row by row."""
-    column = batch.column("spans")
-    values = column.flatten() if isinstance(column, pa.ListArray) else column.values
+    values = column.flatten()
     first, windows = values.field("first").to_numpy(), values.field("windows").to_numpy()
     lengths = np.array([x or 0 for x in pa.compute.list_value_length(column).to_pylist()], np.int64)
     at = np.append(0, np.cumsum(lengths))
-    for i in range(n):
+    for i in range(len(column)):
         yield first[at[i] : at[i + 1]].astype(np.int64), windows[at[i] : at[i + 1]].astype(np.int64)

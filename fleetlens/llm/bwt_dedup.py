@@ -168,8 +168,8 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFr
     return A.repeated(A.versioned(docs), byte_units, length, k, True, _piece, lambda c: later_windows(c, length), TARGET)
 
 
-def _removed(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for data, (first, windows) in zip(B.texts(batch.column("text")), A.spans_of(batch, len(batch))):
+def _removed(batch: pa.RecordBatch, length: int, spans: str = "spans") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for data, (first, windows) in zip(B.texts(batch.column("text")), A.spans_of(batch.column(spans))):
         data = np.zeros(0, np.uint8) if data is None else data
         yield data, B.cover(len(data), first, first + windows + length - 1) if len(first) else np.zeros(len(data), bool)
 
@@ -202,14 +202,14 @@ def cut_documents(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataF
     plain = A.versioned(docs)
     marked = A.stored(A.marks(A.segments(plain, byte_units, length, k), True))
     more = A.compared(A.contents(plain, marked, length, _piece), lambda c: later_windows(c, length), TARGET)
-    spans = A.all_spans(marked, more).withColumnsRenamed({"doc_id": "_id", "version": "_version", "spans": "_spans"})
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & A.version_of(F.col("text")).eqNullSafe(F.col("_version"))
-    both = docs.join(spans, same, "left").select(*columns, F.col("_spans").alias("spans"))
+    spans = A.all_spans(marked, more).withColumnsRenamed({"doc_id": "__id", "version": "__version", "spans": "__spans"})
+    same = docs["doc_id"].cast("bigint").eqNullSafe(spans["__id"]) & A.version_of(docs["text"]).eqNullSafe(spans["__version"])
+    both = docs.join(spans, same, "left").select(*[docs[c] for c in columns], "__spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
-            for valid, (data, gone) in zip(batch.column("text").is_valid().to_pylist(), _removed(batch, length)):
+            for valid, (data, gone) in zip(batch.column("text").is_valid().to_pylist(), _removed(batch, length, "__spans")):
                 if gone.any():
                     inner = (data & 0xC0) == 0x80  # a character's later bytes
                     character = np.cumsum(~inner) - 1

@@ -169,11 +169,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, o
     found = occurrences(plain, rare, rare.count(), bool(rare.where(F.col("n") == 1).take(1)))
     hit = (
         found.select("doc_id", "version", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at")).distinct()
-        .groupBy("doc_id", "version").agg(F.count("*").alias("n_hit"))
-        .select(F.col("doc_id").alias("hit_id"), F.col("version").alias("hit_version"), "n_hit")
+        .groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).agg(F.count("*").alias("__hit"))
     )
     hit = cut(hit)
     version = F.coalesce(F.xxhash64(docs["text"].cast("string")), F.lit(0))
-    same = docs["doc_id"].cast("bigint").eqNullSafe(hit["hit_id"]) & (version == hit["hit_version"])
-    bad = same & (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.size(words_of(docs["text"].cast("string"))))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(hit["__id"]) & (version == hit["__version"])
+    bad = same & (one_in * hit["__hit"] >= F.size(words_of(docs["text"].cast("string"))))
     return docs.join(hit, bad, "left_anti").select(columns)

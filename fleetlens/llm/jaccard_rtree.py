@@ -378,6 +378,6 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = jaccard_components(docs, percent)
     # A row leads its group if its doc_id names the component; null ids and empty sets lead their own.
     leads = found.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    leads = leads.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & A.version_of(F.col("text")).eqNullSafe(F.col("_version"))
+    leads = leads.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct()
+    same = docs["doc_id"].cast("bigint").eqNullSafe(leads["__id"]) & A.version_of(docs["text"]).eqNullSafe(leads["__version"])
     return docs.join(leads, same, "left_semi").select(columns)

@@ -73,7 +73,7 @@ def deduplicated(docs: DataFrame, length: int = WORDS, k: int = SEED, digest: bo
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, texts = [], [], []
-            for data, (first, windows) in zip(B.texts(batch.column("text")), A.spans_of(batch, len(batch))):
+            for data, (first, windows) in zip(B.texts(batch.column("text")), A.spans_of(batch.column("spans"))):
                 data = np.zeros(0, np.uint8) if data is None else data
                 starts, ends = B.word_bounds(data, B.SPACES)
                 gone = B.cover(len(starts), first, first + windows + length - 1)
