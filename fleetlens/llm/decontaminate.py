@@ -115,9 +115,9 @@ def occurrences(docs: DataFrame, rare: DataFrame, rows: int, singles: bool) -> D
         # Too many windows to send to every task: meet on shuffled shingles, then verify beside the words.
         met = read.select("doc_id", "version", F.posexplode(tokens).alias("at", "shingle")).join(some, "shingle")
         candidates = met.select("doc_id", "version", F.struct("window", "window_words", "n", start).alias("candidate"))
-        per_doc = candidates.groupBy("doc_id", "version").agg(F.collect_list("candidate").alias("candidates"))
-        same = read["doc_id"].eqNullSafe(per_doc["doc_id"]) & (read["version"] == per_doc["version"])
-        both = read.join(per_doc, same).select(read["doc_id"], read["version"], "words", F.explode("candidates").alias("c"))
+        per_doc = candidates.groupBy(F.col("doc_id").alias("met_id"), F.col("version").alias("met_version")).agg(F.collect_list("candidate").alias("candidates"))
+        same = F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("version") == F.col("met_version"))
+        both = read.join(per_doc, same).select("doc_id", "version", "words", F.explode("candidates").alias("c"))
         return both.select("doc_id", "version", "words", "c.*").where(_verified(F.col("words"))).select(columns)
 
     found = meet(shingles(F.col("words")), rare.where(F.col("n") > 1))
