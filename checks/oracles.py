@@ -190,10 +190,8 @@ oracle("overlay_robots", """
            greatest(coalesce(st_time, source_event_time), ba_time, wi_time) AS latest_data_time
     FROM fleet""", **FLEET)
 oracle("offline_ids", """
-    SELECT count(*) AS robot_count, (SELECT string_agg(robot_code, ', ' ORDER BY robot_code) FROM (
-               SELECT robot_code FROM fleet WHERE online_status <> 'ONLINE' ORDER BY robot_code LIMIT 6)) AS ids,
-           greatest(count(*) - 6, 0) AS more_count
-    FROM fleet WHERE online_status <> 'ONLINE'""", **FLEET)
+    SELECT 'offline' AS list, robot_code FROM fleet WHERE online_status <> 'ONLINE'
+    UNION ALL SELECT 'low_battery', robot_code FROM fleet WHERE soc BETWEEN 0 AND 2000""", **FLEET)
 oracle("text_search", """
     SELECT s.master_robot_id, s.robot_code, m.serial_number AS robot_serial_number
     FROM scope s JOIN robot_master m ON m.id = s.master_robot_id
@@ -608,8 +606,7 @@ oracle("state_exceptions", """
        top="""
         SELECT *, accepted_queue_count + task_started_count + subtask_started_count + task_completed_count
                     AS task_event_count
-        FROM task_hourly WHERE data_unavailable_seconds > 0
-        ORDER BY data_unavailable_seconds DESC, stat_hour DESC, robot_code LIMIT 100""")
+        FROM task_hourly WHERE data_unavailable_seconds > 0""")
 oracle("asof_before", """
     SELECT t.robot_code, t.stat_hour, t.data_unavailable_seconds,
            arg_max(b.last_sample_time, b.stat_hour) AS prior_battery_time
@@ -1053,3 +1050,57 @@ oracle("state_trend_day", TREND, **timeline(MONTH, 1440))
 oracle("atomic_segments", """
     SELECT robot_code, bucket_start, s AS start_time, e AS end_time, executing, charging, waiting, observed FROM flag""",
        **timeline(INNER, 60))
+
+# -- rules over states derived from every event ---------------------------------
+
+STATES = {
+    "ev": "SELECT event_id AS i, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k, event_id % 19 = 0 AS stopped FROM events",
+    "sv": """
+        SELECT i, i % 3 = 0 AS off,
+               CASE WHEN stopped OR i % 13 > 3 THEN 'CURRENT'
+                    ELSE ['DWS_REFRESH_TIMEOUT', 'DWS_SOURCE_LAG', 'SOURCE_TIMEOUT', 'MISSING'][i % 13 + 1] END AS gate,
+               CASE WHEN stopped THEN 200 ELSE i % 5 * 30 END AS st_age, CASE WHEN stopped THEN 201 ELSE i % 4 * 25 END AS wi_age,
+               CASE WHEN stopped THEN 200 ELSE i % 6 * 20 END AS ba_age, stopped,
+               CASE WHEN stopped THEN -60 ELSE [0, -60, -80, NULL, NULL][i % 5 + 1] END AS lvl,
+               50 + i % 3 * 60 AS n, i % 2 = 0 AS even, i % 7 = 0 OR i % 2 = 0 AS associated, i % 7 <> 1 AS wi_current,
+               (k * 7 + i) % 101 <= 20 AS low, i % 4 = 0 AS charging, i % 17 = 0 AS err
+        FROM ev""",
+    "judged": """
+        SELECT *, off OR st_age > 60 AS gone, wi_age <= 60 AND lvl = 0 AS w0, wi_age <= 60 AND lvl < 0 AS wok,
+               lvl IS NULL AND associated AND n >= 100 AND even AS unmeasured
+        FROM sv""",
+    "ruled": """
+        SELECT *, CASE WHEN gate = 'DWS_REFRESH_TIMEOUT' THEN 'DWS_REFRESH_TIMEOUT' WHEN gate = 'DWS_SOURCE_LAG' THEN 'DWS_SOURCE_LAG'
+            WHEN gate = 'SOURCE_TIMEOUT' THEN 'DWS_SOURCE_TIMEOUT' WHEN gate = 'MISSING' THEN 'DWS_STATUS_MISSING'
+            WHEN gone AND coalesce(w0, false) THEN 'DISCONNECT_WIFI_ZERO'
+            WHEN gone AND low AND ba_age <= 60 AND NOT charging THEN 'DISCONNECT_LOW_BATTERY'
+            WHEN gone AND coalesce(wok, false) THEN 'DISCONNECT_WIFI_HEALTHY_STATUS_STALE'
+            WHEN gone AND stopped THEN 'SOURCE_TELEMETRY_ALL_TOPICS_STOPPED'
+            WHEN gone THEN 'DISCONNECT_EVIDENCE_STALE' WHEN err THEN 'DEVICE_ERROR_EXPLICIT' WHEN low THEN 'LOW_BATTERY_CURRENT'
+            WHEN unmeasured AND wi_age <= 60 THEN 'WIFI_RSSI_MEASUREMENT_UNAVAILABLE' END AS rule_id
+        FROM judged""",
+}
+oracle("robot_diagnosis_every_rule", """
+    SELECT 'R' || i AS robot_id, rule_id,
+           CASE WHEN rule_id = 'DISCONNECT_EVIDENCE_STALE' THEN 'LOW'
+                WHEN rule_id IN ('DWS_SOURCE_TIMEOUT', 'DISCONNECT_WIFI_HEALTHY_STATUS_STALE', 'SOURCE_TELEMETRY_ALL_TOPICS_STOPPED')
+                  OR rule_id = 'DISCONNECT_LOW_BATTERY' AND coalesce(wok, false) OR rule_id = 'LOW_BATTERY_CURRENT' AND ba_age > 60
+                  THEN 'MEDIUM' ELSE 'HIGH' END AS confidence,
+           CASE WHEN rule_id IN ('DWS_REFRESH_TIMEOUT', 'DISCONNECT_WIFI_ZERO', 'DISCONNECT_LOW_BATTERY', 'DEVICE_ERROR_EXPLICIT')
+                  THEN 'CRITICAL' WHEN rule_id = 'LOW_BATTERY_CURRENT' AND charging THEN 'WATCH' ELSE 'WARNING' END AS severity
+    FROM ruled WHERE rule_id IS NOT NULL""", **STATES)
+oracle("alert_causes_every_kind", """
+    SELECT 'R' || i AS robot_id, gate AS code, 'data-stale' AS type FROM judged WHERE gate <> 'CURRENT'
+    UNION ALL SELECT 'R' || i, 'E7', 'device-error' FROM judged WHERE err
+    UNION ALL SELECT 'R' || i, 'LOW_BATTERY', 'low-battery' FROM judged WHERE low
+    UNION ALL SELECT 'R' || i, 'NO_SIGNAL', 'no-signal' FROM judged WHERE lvl = 0 AND (off OR st_age > 60)
+    UNION ALL SELECT 'R' || i, 'RSSI_MEASUREMENT_UNAVAILABLE', 'data-quality' FROM judged WHERE wi_current AND unmeasured""", **STATES)
+oracle("asof_before_null_keys", """
+    SELECT event_id, key, ts, seen AS prior FROM (
+        SELECT l.event_id, l.key, l.ts, r.seen, row_number() OVER (PARTITION BY l.event_id ORDER BY r.seen_at DESC NULLS LAST) AS n
+        FROM l LEFT JOIN r ON r.key = l.key AND r.seen_at < l.ts) WHERE n = 1""",
+       l="""
+        SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(user_id AS INTEGER) END AS key, ts FROM events WHERE event_type = 'purchase'""",
+       r="""
+        SELECT CASE WHEN event_id % 5 <> 0 THEN CAST(user_id AS INTEGER) END AS key, ts AS seen_at,
+               CASE WHEN event_id % 3 <> 0 THEN event_id END AS seen FROM events WHERE event_type <> 'purchase'""")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions import scalar as S
 from fleetlens.functions import vocab as V
 from fleetlens.functions.time import WindowSpec, hours_before, trailing
-from fleetlens.operators import fleet, intervals, joins, rssi, rules, scope, tasks, work
+from fleetlens.operators import fleet, intervals, joins, rssi, rules, scan, scope, tasks, work
 from fleetlens.plans import project_analytics
 from fleetlens.sources import profile
 from fleetlens.sources.driver_tables import DriverTables
@@ -237,7 +237,9 @@ def overlay_robots(t):
 
 @query
 def offline_ids(t):
-    return rules.id_list(_fleet(t), F.col("online_status") != "ONLINE", 6)
+    return rules.id_rows(_fleet(t), {
+        "offline": F.col("online_status") != "ONLINE", "low_battery": S.is_low_battery("battery_soc"),
+    })
 
 
 @query
@@ -818,3 +820,63 @@ def state_trend_hour(t):
 @query
 def state_trend_day(t):
     return _trend(t, TELEMETRY, 1440)
+
+
+# -- rules over states derived from every event ---------------------------------
+
+RULE_LIMIT = 60
+
+
+def _states(t: DriverTables) -> DataFrame:
+    """A robot state per event; residues of its numbers vary all that the rules read."""
+    i = F.col("event_id")
+    now = F.lit(AS_OF).cast("timestamp")
+
+    def ago(minutes: Column) -> Column:
+        return now - F.make_dt_interval(mins=minutes.cast("int"))
+
+    stopped = i % 19 == 0
+    level = F.when(stopped, -60).when(i % 5 == 0, 0).when(i % 5 == 1, -60).when(i % 5 == 2, -80)
+    samples = 50 + (i % 3) * 60
+    gate = F.when(stopped, V.CURRENT)
+    for residue, name in enumerate((V.REFRESH_TIMEOUT, V.SOURCE_LAG, V.SOURCE_TIMEOUT, V.MISSING)):
+        gate = gate.when(i % 13 == residue, name)
+    return t._events.select(
+        i.cast("int").alias("master_robot_id"), F.concat(F.lit("R"), i.cast("string")).alias("robot_code"), F.lit("AMR").alias("robot_type"),
+        gate.otherwise(V.CURRENT).alias("data_freshness_status"),
+        F.when(i % 3 == 0, "OFFLINE").otherwise("ONLINE").alias("online_status"),
+        ago(F.when(stopped, 200).otherwise((i % 5) * 30)).alias("status_event_time"),
+        ago(F.when(stopped, 201).otherwise((i % 4) * 25)).alias("latest_wifi_time"),
+        ago(F.when(stopped, 200).otherwise((i % 6) * 20)).alias("battery_event_time"),
+        level.cast("double").alias("current_rssi"), F.when(level.isNull(), 0).cast("double").alias("raw_current_rssi"),
+        samples.cast("double").alias("wifi_sample_count"), F.when(i % 2 == 0, samples).otherwise(0).cast("double").alias("unusable_rssi_sample_count"),
+        F.when(i % 2 == 0, "ap").otherwise("-").alias("current_wifi_ap"), (i % 7 == 0).cast("double").alias("current_wifi_count"),
+        (i % 7 != 1).alias("wifi_is_current"), ((F.col("k") * 7 + i) % 101).cast("double").alias("battery_soc"),
+        F.when(i % 4 == 0, "charging").otherwise("").alias("charging_status"),
+        F.when(i % 17 == 0, "E7").otherwise("0").alias("error_code"), F.when(i % 34 == 0, " stuck ").alias("error_message"),
+    )
+
+
+@query
+def robot_diagnosis_every_rule(t):
+    return rules.diagnose(_states(t), AS_OF, RULE_LIMIT).select(
+        "robot_id", F.col("rule_ids")[0].alias("rule_id"), "confidence", "severity"
+    )
+
+
+@query
+def alert_causes_every_kind(t):
+    return rules.alert_causes(_states(t), AS_OF, RULE_LIMIT).select("robot_id", "code", "type")
+
+
+@query
+def asof_before_null_keys(t):
+    """As-of join where keys and values are NULL on both sides."""
+    left = t._events.filter(F.col("event_type") == "purchase").select(
+        "event_id", F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("key"), "ts"
+    )
+    right = t._events.filter(F.col("event_type") != "purchase").select(
+        F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("key"), F.col("ts").alias("at"),
+        F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("seen"),
+    )
+    return scan.asof_before(left, right, ["key"], "ts", "at", "seen", "prior")

@@ -23,7 +23,7 @@ DEFAULT_SALTS = 16
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate; for scans, filters and aggregates an upper bound."""
+    """Optimizer's size estimate of the plan, from file sizes; compressed files hold more than it says."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
@@ -118,7 +118,10 @@ def latest_per_key(
     kept = [name for name in (columns or df.columns) if name not in keys]
     if len(kept) == len(order_desc) == 1:
         # Without structs the aggregate can hash fixed-width values instead of sorting.
-        return df.groupBy(*keys).agg(F.max_by(kept[0], as_col(order_desc[0])).alias(kept[0]))
+        # Rows with a NULL order are the oldest, but still rows.
+        value, order = F.col(kept[0]), as_col(order_desc[0])
+        picked = F.when(F.count(order) > 0, F.max_by(value, order)).otherwise(F.max(value))
+        return df.groupBy(*keys).agg(picked.alias(kept[0]))
     newest = F.max_by(F.struct(*kept), F.struct(*[as_col(order).alias(f"o{i}") for i, order in enumerate(order_desc)]))
     return df.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*")
 

@@ -144,10 +144,14 @@ def _asof(
     out: str,
     forward: bool,
     chunk_seconds: int,
+    ignore_nulls: bool,
 ) -> DataFrame:
     keys = list(keys)
+    usable = F.col(time_right).isNotNull()
+    for name in [*keys, *([value] if ignore_nulls else [])]:
+        usable = usable & F.col(name).isNotNull()
     values = (
-        right.groupBy(*keys, F.col(time_right).alias("_at"))
+        right.filter(usable).groupBy(*keys, F.col(time_right).alias("_at"))
         .agg(F.max(value).alias("_value"))
         .select(*keys, "_at", "_value", F.lit(None).cast(left.schema).alias("_row"))
     )
@@ -156,7 +160,8 @@ def _asof(
         F.struct(*left.columns).alias("_row"),
     )
     rows = asked.unionByName(values).withColumn(CHUNK, chunk_of("_at", chunk_seconds))
-    known_at = F.when(F.col("_value").isNotNull(), F.col("_at"))
+    is_value = F.col("_row").isNull()
+    known_at = F.when(is_value, F.col("_at"))
     nearest, reach, pick = F.max_by, (Window.unboundedPreceding, -1), F.last
     local_frame = (Window.unboundedPreceding, Window.currentRow)
     if forward:
@@ -165,17 +170,21 @@ def _asof(
     beyond = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(*reach)
     carry = (
         rows.groupBy(*keys, CHUNK)
-        .agg(nearest("_value", known_at).alias("_nearest"))
-        .select(*keys, CHUNK, pick("_nearest", ignorenulls=True).over(beyond).alias("_carry"))
+        .agg(nearest("_value", known_at).alias("_nearest"), F.count(known_at).alias("_values"))
+        .select(
+            *keys, CHUNK,
+            pick(F.when(F.col("_values") > 0, F.struct("_nearest")), ignorenulls=True).over(beyond).alias("_carry"),
+        )
     )
     # At equal times questions sort before values: looking back finds strictly
     # earlier values, looking ahead finds values at or after the question.
     inside = (
         Window.partitionBy(*keys, CHUNK).orderBy(F.col("_at"), F.col("_row").isNull()).rowsBetween(*local_frame)
     )
-    local = rows.withColumn("_seen", pick("_value", ignorenulls=True).over(inside))
+    local = rows.withColumn("_seen", pick(F.when(is_value, F.struct("_value")), ignorenulls=True).over(inside))
     return lookup(local.filter(F.col("_row").isNotNull()), carry, [*keys, CHUNK], "left", balanced=True).select(
-        "_row.*", F.coalesce("_seen", "_carry").alias(out)
+        "_row.*",
+        F.when(F.col("_seen").isNotNull(), F.col("_seen._value")).otherwise(F.col("_carry._nearest")).alias(out),
     )
 
 
@@ -189,10 +198,15 @@ def asof_before(
     out: str,
     where: Column | None = None,
     chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    ignore_nulls: bool = False,
 ) -> DataFrame:
-    """For each left row the right ``value`` at the newest time strictly before it."""
+    """For each left row the right ``value`` at the newest time strictly before it.
+
+    Keys match as in SQL, so a NULL key finds nothing.  The newest right row
+    counts even if its value is NULL, unless ``ignore_nulls``.
+    """
     source = right.filter(where) if where is not None else right
-    return _asof(left, source, keys, time_left, time_right, value, out, False, chunk_seconds)
+    return _asof(left, source, keys, time_left, time_right, value, out, False, chunk_seconds, ignore_nulls)
 
 
 def asof_after(
@@ -204,6 +218,7 @@ def asof_after(
     value: str,
     out: str,
     chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    ignore_nulls: bool = False,
 ) -> DataFrame:
-    """For each left row the right ``value`` at the earliest time at or after it."""
-    return _asof(left, right, keys, time_left, time_right, value, out, True, chunk_seconds)
+    """For each left row the right ``value`` at the earliest time at or after it; see ``asof_before`` for NULLs."""
+    return _asof(left, right, keys, time_left, time_right, value, out, True, chunk_seconds, ignore_nulls)

@@ -171,9 +171,9 @@ def exception_type(gap: str, battery_events: str, task_events: str) -> Column:
 
 
 def state_exceptions(
-    task_hourly_in_window: DataFrame, battery_hourly: DataFrame, n: int | None = 100
+    task_hourly_in_window: DataFrame, battery_hourly: DataFrame, n: int | None = None
 ) -> DataFrame:
-    """Robot hours with a coverage gap and the evidence around them, worst and newest first."""
+    """Robot hours with a coverage gap and the evidence around them, worst and newest first; all, or the first ``n``."""
     zero = F.lit(0).cast("bigint")
     events = sum((F.col(name) for name in EVENT_COLUMNS[1:]), F.col(EVENT_COLUMNS[0]))
     gaps = task_hourly_in_window.filter(F.col("data_unavailable_seconds") > 0).select(
@@ -241,9 +241,9 @@ def idle_minutes_trend(trend: DataFrame) -> DataFrame:
     return trend.groupBy("stat_hour").agg((F.sum(idle) / 60).alias("idle_minutes")).orderBy("stat_hour")
 
 
-def usage_minutes_trend(trend: DataFrame, selected_robots: Sequence[str] = (), split_limit: int = 6) -> DataFrame:
-    """Executing minutes per bucket: one series per robot for a small selection, else one in all."""
-    if 0 < len(selected_robots) <= split_limit:
+def usage_minutes_trend(trend: DataFrame, selected_robots: Sequence[str] = (), per_robot: bool = False) -> DataFrame:
+    """Executing minutes per bucket: one series per robot if asked for, else one in all."""
+    if per_robot:
         series = F.col("robot_code")
     else:
         series = F.lit("Selected fleet" if selected_robots else "All robots")

@@ -434,9 +434,11 @@ def outcome_breakdown(cells: DataFrame) -> DataFrame:
     )
 
 
-def recent_evidence(scoped: DataFrame, n: int = 100) -> DataFrame:
-    """Newest queue records; the record id settles equal times."""
-    newest = scoped.orderBy(F.desc("event_time"), F.desc("queue_fact_id")).limit(n)
+def recent_evidence(scoped: DataFrame, n: int | None = None) -> DataFrame:
+    """Queue records from the newest on, all or the first ``n``; the record id settles equal times."""
+    newest = scoped.orderBy(F.desc("event_time"), F.desc("queue_fact_id"))
+    if n is not None:
+        newest = newest.limit(n)
     return newest.select(
         "queue_id", "event_time", S.fallback("project_name", V.UNMAPPED_PROJECT).alias("project_name"),
         _job_name().alias("task_name"), S.fallback("robot_name", V.UNMAPPED_ROBOT).alias("robot_name"),

@@ -19,7 +19,6 @@ from ..session import cut
 from ..sources import profile
 
 Report = dict[str, DataFrame]
-MAX_ROBOT_ROWS = 500
 RECENT_BATCHES = 10
 ASSOCIATION_RULE = "RUNNING_ONLY_EXACT_TIMESTAMP"
 
@@ -105,15 +104,20 @@ def dashboard(
     wifi_end: object = None,
     timeout: object = None,
     rollup: str = "only",
-    robot_limit: int | None = MAX_ROBOT_ROWS,
+    robot_limit: int | None = None,
     task_sample_limit: int | None = None,
+    playbook: DataFrame | None = None,
+    batch_rows: int = RECENT_BATCHES,
     materialize: Callable[[DataFrame], DataFrame] | None = cut,
 ) -> Report:
     """All named results of the dashboard.
 
     ``as_of`` stands for the current time.  One job over the time columns finds
     the newest reading of every source, so that all windows are literals the
-    scans use to skip files; everything else runs when a result is read.
+    scans use to skip files, and frames that several results read are written
+    to the shared folder at once; the results themselves run when they are read.
+    Rules, counts and exports see every robot; ``robot_limit`` only shortens the
+    listing named ``robots``.
     ``rollup="as_is"`` sums rollup and detail rows of the daily jobs together.
     """
     hours, days = clamp_hours(hours), clamp_days(days)
@@ -139,12 +143,13 @@ def dashboard(
         timeout, kind,
     ))
     wifi_latest = keep(fleet.wifi_latest(robots, bridge, tables["wifi_hourly"], as_of, timeout))
-    merged = joins.overlay(state, fleet.wifi_robot_rows(wifi_latest), "master_robot_id").withColumn(
+    merged = keep(joins.overlay(state, fleet.wifi_robot_rows(wifi_latest), "master_robot_id").withColumn(
         "latest_data_time",
         S.row_max(F.coalesce("status_event_time", "source_event_time"), "battery_event_time", "latest_wifi_time"),
-    )
+    ))
     listed = merged.orderBy("robot_name", "master_robot_id")
-    listed = keep(listed.limit(robot_limit) if robot_limit is not None else listed)
+    if robot_limit is not None:
+        listed = listed.limit(robot_limit)
     spark = master.sparkSession
     trend_anchors = spark.range(1).select(*[
         (lit_ts(value) if isinstance(value, datetime) else F.lit(value).cast(kind_of)).alias(name)
@@ -179,8 +184,8 @@ def dashboard(
         tables["operation_event"]
     )
 
-    diagnostics = keep(rules.diagnose(listed, as_of, timeout))
-    groups = keep(rules.workload_groups(workload, listed))
+    diagnostics = keep(rules.diagnose(merged, as_of, timeout, playbook))
+    groups = keep(rules.workload_groups(workload, merged))
     assessment = rules.workload_assessment(groups)
     metrics = rules.operational_metrics(timing, waits, battery, segments)
     gaps = rules.measurement_gaps(ready, metrics)
@@ -196,8 +201,9 @@ def dashboard(
     report: Report = {
         "summary": joins.one_row(kpis, fleet.wifi_fleet(wifi_latest, hours, as_of)),
         "robots": listed,
+        "all_robots": merged,
         "status_distribution": fleet.freshness_distribution(state),
-        "freshness_donut": fleet.freshness_distribution(listed, coarse=True),
+        "freshness_donut": fleet.freshness_distribution(merged, coarse=True),
         "mode_distribution": fleet.mode_distribution(state),
         "battery_trend": fleet.weighted_trend(
             in_hours("battery_hourly", "battery"), "stat_hour", "avg_battery_soc", mins=["min_battery_soc"],
@@ -222,7 +228,7 @@ def dashboard(
             {"avg_duration_seconds": 2},
         ),
         "failure_outcomes": work.unsuccessful_outcomes(attempts, master),
-        "batches": profile.latest_rows(tables["etl_batch"], ["batch_id"], RECENT_BATCHES),
+        "batches": profile.latest_rows(tables["etl_batch"], ["batch_id"], batch_rows),
         "workload": workload,
         "status_coverage": coverage,
         "readiness": ready,
@@ -233,13 +239,13 @@ def dashboard(
         "event_audit": coverage_source,
         "diagnostics": diagnostics,
         "diagnostic_groups": rules.group_diagnostics(diagnostics),
-        "alerts": rules.alert_causes(listed, as_of, timeout),
+        "alerts": rules.alert_causes(merged, as_of, timeout),
         "workload_groups": groups,
-        "workload_robots": rules.classify_workload(workload, listed, groups=groups),
+        "workload_robots": rules.classify_workload(workload, merged, groups=groups, playbook=playbook),
         "workload_assessment": assessment,
         "operational_metrics": metrics,
         "measurement_gaps": gaps,
-        "assessment": rules.fleet_assessment(diagnostics, listed, coverage, assessment, gaps),
+        "assessment": rules.fleet_assessment(diagnostics, merged, coverage, assessment, gaps),
     }
     report |= running_wifi(
         tables, robots, signal_window, anchors, as_of, timeout, custom.is_custom, custom.hours, materialize

@@ -61,7 +61,7 @@ BATCHES = {
 }
 DIAGNOSTICS = {
     "Robot_ID": "robot_id", "Robot_Type": "robot_type", "Phenomenon": "phenomenon",
-    "Most_Likely_Explanation": "diagnosis", "Confidence": "confidence", "Severity": "severity", "Evidence": "evidence",
+    "Most_Likely_Explanation": "diagnosis", "Confidence": "confidence", "Severity": "severity", "Evidence": "evidence_text",
     "Recommended_Actions": "recommended_actions", "Alternative_Causes": "alternative_causes",
     "Triggered_Rules": "rule_ids",
 }
@@ -201,8 +201,8 @@ def _project(report: Report, projects: object = None, jobs: object = None, displ
 
 
 def _robots(report: Report) -> DataFrame:
-    """Report robots with display name and derived times."""
-    robots = report["robots"]
+    """All robots of the report with display name and derived times."""
+    robots = report["all_robots"]
     return robots.withColumns({
         "_name": S.robot_display("robot_code", "robot_name", "master_robot_id"),
         "_status_time": F.coalesce("status_event_time", "source_event_time"),
@@ -264,13 +264,35 @@ def _alerts(report: Report) -> DataFrame:
     )
 
 
-def _ids(condition: Column) -> Column:
-    """Names of matching robots; the report lists a bounded number of robots."""
-    return F.array_join(F.array_sort(F.collect_list(F.when(condition, F.col("_name")))), ", ")
+def _listed_robots(report: Report) -> DataFrame:
+    """Every robot with what the lists of the overview ask of it."""
+    alerted = report["alerts"].groupBy("master_robot_id").agg(
+        F.max((F.col("type") == "no-signal")).alias("_no_signal"),
+        F.max((F.col("type") == "device-error")).alias("_device_error"),
+    ).withColumn("_alert", F.lit(True))
+    return joins.lookup(_robots(report), alerted, ["master_robot_id"], "left", balanced=True)
+
+
+def _id_lists() -> dict[str, Column]:
+    return {
+        "Offline_Robot_IDs": S.online_state("online_status") != "online", "Active_Job_Robot_IDs": F.col("_active") == 1,
+        "Low_Battery_Robot_IDs": S.is_low_battery("battery_soc"), "Alert_Robot_IDs": F.col("_alert"),
+        "No_Signal_Robot_IDs": F.col("_no_signal"), "Device_Error_Robot_IDs": F.col("_device_error"),
+    }
+
+
+@_export("overview-robots")
+def _overview_robots(report: Report) -> DataFrame:
+    """The overview's lists in full: one row per list and robot."""
+    found = rules.id_rows(_listed_robots(report), _id_lists(), "_name")
+    return found.select(F.col("list").alias("List"), F.col("_name").alias("Robot_ID"))
 
 
 @_export("overview")
-def _overview(report: Report, window_label: str = "", robot_type: str = V.ALL_ROBOT_TYPES) -> DataFrame:
+def _overview(
+    report: Report, window_label: str = "", robot_type: str = V.ALL_ROBOT_TYPES, ids_in_cell: int = 500
+) -> DataFrame:
+    """One row; a cell shows the first ``ids_in_cell`` names, ``overview-robots`` has them all."""
     jobs = report["job_trend"].agg(
         F.coalesce(F.sum("completed_status_count"), F.lit(0)).alias("Completed_Task_States"),
         F.coalesce(F.sum("failed_status_count"), F.lit(0)).alias("Failed_Task_States"),
@@ -279,18 +301,12 @@ def _overview(report: Report, window_label: str = "", robot_type: str = V.ALL_RO
         "Task_Success_Rate_Percent",
         percent("Completed_Task_States", F.col("Completed_Task_States") + F.col("Failed_Task_States")),
     )
-    alerted = report["alerts"].groupBy("master_robot_id").agg(
-        F.max((F.col("type") == "no-signal")).alias("_no_signal"),
-        F.max((F.col("type") == "device-error")).alias("_device_error"),
-    ).withColumn("_alert", F.lit(True))
-    robots = joins.lookup(_robots(report), alerted, ["master_robot_id"], "left", balanced=True)
-    lists = robots.agg(
-        _ids(S.online_state("online_status") != "online").alias("Offline_Robot_IDs"),
-        _ids(F.col("_active") == 1).alias("Active_Job_Robot_IDs"),
-        _ids(S.is_low_battery("battery_soc")).alias("Low_Battery_Robot_IDs"),
-        count_if(F.col("_alert")).alias("Alert_Robots"), _ids(F.col("_alert")).alias("Alert_Robot_IDs"),
-        _ids(F.col("_no_signal")).alias("No_Signal_Robot_IDs"), _ids(F.col("_device_error")).alias("Device_Error_Robot_IDs"),
-    )
+    robots = _listed_robots(report)
+    alerts = robots.agg(count_if(F.col("_alert")).alias("Alert_Robots"))
+    lists = [
+        robots.filter(condition).orderBy("_name").limit(ids_in_cell).agg(F.array_join(F.array_sort(F.collect_list("_name")), ", ").alias(name))
+        for name, condition in _id_lists().items()
+    ]
     names = {
         "Status_Data_Time": "source_anchor_time", "DWS_Refresh_Time": "latest_dws_load_time",
         "Enabled_Robots": "total_robot_count", "Commissioned_Robots": "commissioned_robot_count",
@@ -300,7 +316,7 @@ def _overview(report: Report, window_label: str = "", robot_type: str = V.ALL_RO
         "Zero_Signal_Sample_Rate_Percent": "zero_signal_rate",
     }
     label = "All Robots" if robot_type == V.ALL_ROBOT_TYPES else robot_type
-    row = joins.one_row(_renamed(report["summary"], names), lists, jobs)
+    row = joins.one_row(_renamed(report["summary"], names), alerts, *lists, jobs)
     return row.select(
         F.lit(label).alias("Robot_Type_Filter"), F.lit(window_label).alias("Analysis_Window"), *[row[c] for c in row.columns]
     )

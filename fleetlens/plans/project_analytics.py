@@ -20,7 +20,7 @@ Report = dict[str, DataFrame]
 
 def project_analytics(
     tables, start: object = None, end: object = None, projects: object = None, jobs: object = None,
-    robots: object = None, display_robots: object = None, evidence_rows: int = 100, case_insensitive: bool = False,
+    robots: object = None, display_robots: object = None, evidence_rows: int | None = None, case_insensitive: bool = False,
     as_of: datetime | None = None, materialize: Callable[[DataFrame], DataFrame] | None = cut,
 ) -> Report:
     """Named results for a window of at most 90 days.

@@ -13,11 +13,10 @@ from ..operators.joins import attach_dim, lookup
 from ..sources import profile
 from ..sources.tables import SCHEMAS
 
-EVIDENCE_ROWS = 20
-
 
 def readiness_profile(
-    spark: SparkSession, tables, names: Sequence[str] | None = None, days: int = 7, battery_hours: int = 24
+    spark: SparkSession, tables, names: Sequence[str] | None = None, days: int = 7, battery_hours: int = 24,
+    evidence_rows: int = 20,
 ) -> dict[str, DataFrame]:
     """Schema, counts, coverage and newest rows of the source tables."""
     present = {name: tables[name] for name in (names or [n for n in SCHEMAS if n in tables])}
@@ -27,7 +26,7 @@ def readiness_profile(
     limits = tables["duration_limit"].groupBy("job_id", "subjob_id").agg(F.max("limit").alias("limit"))
     limited = lookup(runs, limits, ["job_id", "subjob_id"], "left")
     newest_runs = attach_dim(
-        profile.latest_rows(runs, ["id"], EVIDENCE_ROWS), master, {"amr_id": "id"}, {"name": "robot_code"}
+        profile.latest_rows(runs, ["id"], evidence_rows), master, {"amr_id": "id"}, {"name": "robot_code"}
     ).withColumn("actual_duration_seconds", seconds_between("start_time", "end_time"))
     return {
         "schema": schema,
@@ -58,5 +57,5 @@ def readiness_profile(
         ),
         "battery_sample_share": profile.sample_share(tables["battery_history"], robots, battery_hours),
         "recent_tasks": newest_runs,
-        "recent_limits": profile.latest_rows(tables["duration_limit"], ["id"], EVIDENCE_ROWS),
+        "recent_limits": profile.latest_rows(tables["duration_limit"], ["id"], evidence_rows),
     }

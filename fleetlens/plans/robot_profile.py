@@ -12,7 +12,7 @@ from ..functions.time import clamp_days, clamp_hours, in_trailing, lit_ts
 from ..operators import joins, rssi, scope, work
 
 Report = dict[str, DataFrame]
-MAX_SIGNAL_HOURS = 24
+SIGNAL_HOURS = 24  # samples are read for so long unless asked otherwise
 
 
 class RobotError(ValueError):
@@ -28,15 +28,19 @@ def parse_robot_id(value: object) -> int:
     return int(text)
 
 
-def robot_profile(tables, robot_id: object, as_of: datetime, hours: object = None, days: object = None) -> Report:
+def robot_profile(
+    tables, robot_id: object, as_of: datetime, hours: object = None, days: object = None,
+    signal_hours: int | None = SIGNAL_HOURS,
+) -> Report:
     """Named results of one active robot.
 
     Rollup rows are matched by the robot's numeric id only.  Windows end at
     the newest reading of the whole source, so robots compare over equal time.
+    Signal samples cover the last ``signal_hours`` of them, all hours if None.
     """
     key = parse_robot_id(robot_id)
     hours, days = clamp_hours(hours), clamp_days(days)
-    signal_hours = min(hours, MAX_SIGNAL_HOURS)
+    signal_hours = hours if signal_hours is None else min(hours, signal_hours)
     master = tables["robot_master"]
     robot = master.filter((F.col("id") == key) & is_active_flag("is_active")).select(
         F.col("id").alias("master_robot_id"), F.col("name").alias("robot_code"),

@@ -24,10 +24,14 @@ def latest_end(task_hourly: DataFrame) -> datetime | None:
 
 
 def task_analytics(
-    tables, start: object = None, end: object = None, robots: object = None, exception_rows: int = 100,
-    leaders: int = 10, chart_labels: int = 6,
+    tables, start: object = None, end: object = None, robots: object = None, exception_rows: int | None = None,
+    leaders: int = 10, chart_labels: int = 6, source: str | None = None, per_robot: bool = False,
 ) -> Report:
-    """Named results for a window of at most 30 days and an optional robot selection."""
+    """Named results for a window of at most 30 days and an optional robot selection.
+
+    ``source`` is "events" or "rollup" for the trends, see ``trends``;
+    ``per_robot`` splits the usage trend by robot.
+    """
     anchor = latest_end(tables["task_hourly"])
     window = parse_window(start, end, anchor, TASK_WINDOW)
     parse_window(window.start, window.end, anchor, TREND_WINDOW)
@@ -57,22 +61,29 @@ def task_analytics(
         ),
         "state_exceptions": tasks.state_exceptions(states, tables["battery_hourly"], exception_rows),
     }
-    report |= trends(tables, window, selected, chart_labels)
+    report |= trends(tables, window, selected, chart_labels, source)
     report["idle_trend"] = tasks.idle_minutes_trend(report["state_trend"])
-    report["usage_trend"] = tasks.usage_minutes_trend(report["state_trend"], selected)
+    report["usage_trend"] = tasks.usage_minutes_trend(report["state_trend"], selected, per_robot)
     report["idle_split"] = tasks.idle_split(states)
     return report
 
 
-def trends(tables, window: WindowSpec, selected: Sequence[str] = (), chart_labels: int = 6) -> Report:
+def trends(
+    tables, window: WindowSpec, selected: Sequence[str] = (), chart_labels: int = 6, source: str | None = None
+) -> Report:
     """Trend results at the window's grain.
 
-    Hour and day buckets come from the hourly rollups, over full hours; finer
-    buckets are rebuilt from events, because a rollup hour says nothing about
-    its minutes.
+    By default hour and day buckets come from the hourly rollups, over full
+    hours, and finer buckets are rebuilt from events, because a rollup hour says
+    nothing about its minutes.  ``source="events"`` rebuilds buckets of any
+    grain over the exact window; ``source="rollup"`` needs an hour or more.  The
+    summary names the source and the bounds that were used.
     """
     grain = window.grain
-    if grain >= ROLLUP_GRAIN:
+    source = source or ("rollup" if grain >= ROLLUP_GRAIN else "events")
+    if source not in ("rollup", "events") or source == "rollup" and grain < ROLLUP_GRAIN:
+        raise ValueError(f"no {source} source for buckets of {grain} minutes")
+    if source == "rollup":
         span = snap_to_hours(window)
 
         def hourly(name: str) -> DataFrame:
@@ -103,7 +114,7 @@ def trends(tables, window: WindowSpec, selected: Sequence[str] = (), chart_label
     summary = counted.agg(
         F.count(F.lit(1)).alias("trend_row_count"), F.count_distinct("robot_code").alias("robot_count")
     ).select(
-        lit_ts(span.start).alias("analysis_start"), lit_ts(span.end).alias("analysis_end"),
+        F.lit(source).alias("trend_source"), lit_ts(span.start).alias("analysis_start"), lit_ts(span.end).alias("analysis_end"),
         *[F.lit(value).alias(name) for name, value in described.items()], "trend_row_count", "robot_count",
     )
     return {

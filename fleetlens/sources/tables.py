@@ -136,12 +136,18 @@ PARTITION_TIME = {
 Tables = Mapping[str, DataFrame]
 
 
+UTC_NAMES = ("UTC", "Etc/UTC", "Z", "GMT", "+00:00")  # zones in which wall-clock readings stay as they are
+
+
 def to_model(df: DataFrame, name: str) -> DataFrame:
     """Columns of a source in model names and types; zone-less readings become session timestamps.
 
     A table stored by day keeps its day column, which windows use to skip
     folders.
     """
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise ValueError(f"the session's time zone is {zone}; the model's wall-clock times need spark.sql.session.timeZone=UTC")
     wanted = df.sparkSession.createDataFrame([], SCHEMAS[name]).schema
     present = {column.lower(): column for column in df.columns}
     missing = [field.name for field in wanted if field.name.lower() not in present]

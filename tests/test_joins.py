@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import scalar as S
 from fleetlens.operators import joins, scan, scope
+from fleetlens.sources.tables import to_model
 from helpers import at, rows
 
 HOT = 400
@@ -148,3 +149,32 @@ def test_exact_ratios(spark):
 def test_natural_order(spark):
     df = spark.createDataFrame([("LM10",), ("lm9",), ("LM1",), ("A",)], "n string")
     assert [r.n for r in df.orderBy(*S.natural_key("n")).collect()] == ["A", "LM1", "lm9", "LM10"]
+
+
+def test_asof_with_null_keys_and_values(spark):
+    left = spark.createDataFrame([(1, "a", at(10)), (2, None, at(10)), (3, "b", at(10)), (4, "a", at(700))], "id int, k string, t timestamp")
+    right = spark.createDataFrame(
+        [("a", at(1), 5), ("a", at(2), None), (None, at(3), 9), ("b", at(20), 7), ("a", None, 8)], "k string, at timestamp, v int"
+    )
+    for chunk in (60, 3600, 86400):
+        found = {r["id"]: r["v2"] for r in rows(scan.asof_before(left, right, ["k"], "t", "at", "v", "v2", chunk_seconds=chunk))}
+        assert found == {1: None, 2: None, 3: None, 4: None}
+        kept = scan.asof_before(left, right, ["k"], "t", "at", "v", "v2", chunk_seconds=chunk, ignore_nulls=True)
+        assert {r["id"]: r["v2"] for r in rows(kept)} == {1: 5, 2: None, 3: None, 4: 5}
+        ahead = {r["id"]: r["v2"] for r in rows(scan.asof_after(left, right, ["k"], "t", "at", "v", "v2", chunk_seconds=chunk))}
+        assert ahead == {1: None, 2: None, 3: 7, 4: None}
+
+
+def test_latest_row_without_a_time_is_still_a_row(spark):
+    df = spark.createDataFrame([("a", None, 1), ("b", at(1), 2), ("b", None, 3)], "k string, t timestamp, v int")
+    assert {r["k"]: r["v"] for r in rows(joins.latest_per_key(df, ["k"], ["t"], ["v"]))} == {"a": 1, "b": 2}
+
+
+def test_sessions_in_other_zones_are_refused(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(ValueError, match="time zone"):
+            to_model(spark.range(1), "etl_batch")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -8,14 +8,17 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from checks import oracles as registry_sql
+from checks import queries as registry
 from checks.compare import compare, open_tables
 
 SELECTION = (
     "freshness_gate", "weighted_hourly_trend", "unsuccessful_outcomes", "task_timing", "battery_time_share", "asof_before",
+    "robot_diagnosis_every_rule", "alert_causes_every_kind", "asof_before_null_keys", "offline_ids", "state_exceptions",
     "label_trend_distinct", "task_list", "wifi_minimum_witness", "wifi_weak_diagnosis", "merge_intervals",
     "atomic_segments", "state_trend_day",
 )
-NAMES = sorted(entry.queries()) if os.environ.get("FLEETLENS_ALL_QUERIES") else SELECTION
+NAMES = sorted(registry.QUERIES) if os.environ.get("FLEETLENS_ALL_QUERIES") else SELECTION
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +27,7 @@ def connection(data_dir):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry_sql.ORACLES)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -37,3 +40,9 @@ def test_query_matches_sql(spark, connection, data_dir, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_every_rule_and_alert_kind_occurs(spark, data_dir):
+    found = entry.queries()["robot_diagnosis_every_rule"](spark, data_dir)
+    assert found.select("rule_id").distinct().count() == 12
+    assert entry.queries()["alert_causes_every_kind"](spark, data_dir).select("type").distinct().count() == 5

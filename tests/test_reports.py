@@ -104,7 +104,7 @@ def test_task_analytics_routes_by_grain(tables, start, end, grain):
 def test_task_analytics_default_window_and_selection(tables):
     everything = task_analytics(tables)
     names = [r["robot_code"] for r in rows(everything["robots"])][:2]
-    chosen = task_analytics(tables, "2024-01-02T00:00", "2024-01-30T00:00", ",".join(names))
+    chosen = task_analytics(tables, "2024-01-02T00:00", "2024-01-30T00:00", ",".join(names), per_robot=True)
     assert one(chosen["summary"])["selected_robot_count"] == 2
     assert {r["robot_code"] for r in rows(chosen["state_trend"])} <= set(names)
     assert {r["series"] for r in rows(chosen["usage_trend"])} <= set(names)
