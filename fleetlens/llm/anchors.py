@@ -51,8 +51,34 @@ def same_key(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & a["version"].eqNullSafe(b["version"])
 
 
+def settled_here(anchor: np.ndarray, content: np.ndarray, places: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Among some segments, which have a copy at an earlier place, and which have one at all.
+
+    ``places`` are compared as (doc_id, version, first); equal ones are one place.
+    """
+    later, any_copy = np.zeros(len(content), bool), np.zeros(len(content), bool)
+    order = np.argsort(content, kind="stable")
+    same = content[order][1:] == content[order][:-1]
+    some = order[np.append(same, False) | np.append(False, same)]
+    if len(some):
+        some = some[np.lexsort((*(p[some] for p in reversed(places)), anchor[some], content[some]))]
+        new = np.append(True, (content[some][1:] != content[some][:-1]) | (anchor[some][1:] != anchor[some][:-1]))
+        lead = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+        differs = np.zeros(len(some), bool)
+        for p in places:
+            differs |= p[some] != p[lead]
+        later[some[differs]] = True
+        any_copy[some] = np.bincount(np.cumsum(new), differs)[np.cumsum(new)] > 0
+    return later, any_copy
+
+
 def segments(docs: DataFrame, units: Units, length: int, k: int) -> DataFrame:
-    """anchor, content, doc_id, version, first window and windows of every segment."""
+    """anchor, content, doc_id, version, first window and windows of every segment, and what is settled.
+
+    Copies that one task sees together are settled there: only the first goes
+    on under its anchor, the others get keys of their own.  So a segment that
+    fills a large part of the corpus has some rows per task, not one per copy.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,12 +99,15 @@ def segments(docs: DataFrame, units: Units, length: int, k: int) -> DataFrame:
     def out(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
         anchor, content, row, first, count = (np.concatenate(x) for x in zip(*held))
         doc, version = batch.column("doc_id").take(pa.array(row)), batch.column("version").take(pa.array(row))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), doc, version, pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))],
-            ["anchor", "content", "doc_id", "version", "first", "windows"],
-        )
+        later, copied = settled_here(anchor, content, (doc.fill_null(-(1 << 63)).to_numpy(), version.to_numpy(), first))
+        own = B.mix(content[later] + B.mix(row[later].astype(np.uint64) << np.uint64(32) | first[later].astype(np.uint64)))
+        anchor[later], content[later] = own, own
+        return pa.RecordBatch.from_arrays([
+            pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), doc, version,
+            pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(later), pa.array(copied),
+        ], ["anchor", "content", "doc_id", "version", "first", "windows", "later", "here"])
 
-    return docs.mapInArrow(cut, "anchor bigint, content bigint, doc_id bigint, version smallint, first int, windows int")
+    return docs.mapInArrow(cut, "anchor bigint, content bigint, doc_id bigint, version smallint, first int, windows int, later boolean, here boolean")
 
 
 def marks(found: DataFrame, keep_first: bool) -> DataFrame:
@@ -86,8 +115,7 @@ def marks(found: DataFrame, keep_first: bool) -> DataFrame:
 
     With ``keep_first`` a copy counts from its second place on, else at every
     place if there are two.  One shuffle and one sort by anchor and content
-    serve both windows; a frequent anchor has one row per place, a small part
-    of all rows, and is read as a stream.
+    serve both windows.
     """
     place = F.struct(*KEY, "first")
     copies = Window.partitionBy("anchor", "content").orderBy(*KEY, "first")
@@ -95,9 +123,9 @@ def marks(found: DataFrame, keep_first: bool) -> DataFrame:
     group = Window.partitionBy("anchor")
     ranked = found.repartition("anchor").withColumn("is_first", F.rank().over(copies) == 1)
     if keep_first:
-        ranked = ranked.withColumn("copied", ~F.col("is_first"))
+        ranked = ranked.withColumn("copied", ~F.col("is_first") | F.col("later"))
     else:
-        ranked = ranked.withColumn("copied", F.first(place).over(every) != F.last(place).over(every))
+        ranked = ranked.withColumn("copied", (F.first(place).over(every) != F.last(place).over(every)) | F.col("later") | F.col("here"))
     ranked = ranked.withColumn("mixed", F.min("content").over(group) != F.max("content").over(group))
     wanted = F.col("is_first") & F.col("mixed")
     rows = ranked.where(F.col("copied") | wanted)
