@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import bpe, bwt_dedup, decontaminate, jaccard_rtree, language_codes, license_votes, quality_forest, substring_dedup, toxicity_fm
+from fleetlens.llm import bpe, bwt_dedup, decontaminate, html_render, jaccard_rtree, language_codes, license_votes, quality_forest, substring_dedup, toxicity_fm
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,3 +100,8 @@ def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_rtree.jaccard_components(table(spark, sf_dir, "documents")).drop("version")
+
+
+@query
+def op2_html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_render.extract(table(spark, sf_dir, "pages"))
