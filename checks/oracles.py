@@ -1104,3 +1104,22 @@ oracle("asof_before_null_keys", """
        r="""
         SELECT CASE WHEN event_id % 5 <> 0 THEN CAST(user_id AS INTEGER) END AS key, ts AS seen_at,
                CASE WHEN event_id % 3 <> 0 THEN event_id END AS seen FROM events WHERE event_type <> 'purchase'""")
+
+# -- results of whole reports ----------------------------------------------------
+
+oracle("dashboard_diagnostics", "SELECT master_robot_id, rule_id, confidence, severity FROM rated", **DIAGNOSIS)
+oracle("profile_job_days", """
+    SELECT stat_date, CAST(sum(job_count) AS BIGINT) AS job_count, CAST(sum(distinct_job_count) AS BIGINT) AS distinct_job_count,
+           CAST(sum(completed_status_count) AS BIGINT) AS completed_status_count,
+           CAST(sum(failed_status_count) AS BIGINT) AS failed_status_count,
+           min(first_job_start_time) AS first_job_start_time, max(last_job_start_time) AS last_job_start_time
+    FROM job_daily WHERE robot_code = '7' AND stat_date >= (SELECT max(stat_date) FROM job_daily) - INTERVAL 89 DAY GROUP BY 1""")
+oracle("usage_minutes_per_robot", """
+    SELECT time_bucket(INTERVAL '1 day', stat_hour) AS stat_hour, robot_code AS series,
+           CAST(sum(executing_seconds) AS DOUBLE) / 60 AS executing_minutes
+    FROM task_hourly GROUP BY 1, 2""")
+oracle("daily_totals_as_is", f"""
+    SELECT stat_date, {', '.join(f'{big(f"sum({name})")} AS {name}' for name in
+    ('job_count', 'distinct_job_count', 'completed_status_count', 'failed_status_count'))}
+    FROM job_daily GROUP BY 1""")
+oracle("recent_tasks", "SELECT id, amr_id, start_time, end_time FROM task_run ORDER BY id DESC LIMIT 20")

@@ -13,7 +13,7 @@ from fleetlens.functions import scalar as S
 from fleetlens.functions import vocab as V
 from fleetlens.functions.time import WindowSpec, hours_before, trailing
 from fleetlens.operators import fleet, intervals, joins, rssi, rules, scan, scope, tasks, work
-from fleetlens.plans import project_analytics
+from fleetlens.plans import dashboard, project_analytics, robot_profile
 from fleetlens.sources import profile
 from fleetlens.sources.driver_tables import DriverTables
 
@@ -880,3 +880,36 @@ def asof_before_null_keys(t):
         F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("seen"),
     )
     return scan.asof_before(left, right, ["key"], "ts", "at", "seen", "prior")
+
+
+# -- results of whole reports ----------------------------------------------------
+
+@query
+def dashboard_diagnostics(t):
+    """Diagnoses of the dashboard report: as many as the operator gives over all robots."""
+    report = dashboard.dashboard(t, AS_OF, hours=720, days=90, timeout=TIMEOUT, materialize=None)
+    return report["diagnostics"].select("master_robot_id", F.col("rule_ids")[0].alias("rule_id"), "confidence", "severity")
+
+
+@query
+def profile_job_days(t):
+    """Daily jobs of one robot, rollup and detail rows together."""
+    return robot_profile.robot_profile(t, 7, AS_OF, hours=720, days=90)["job_trend"]
+
+
+@query
+def usage_minutes_per_robot(t):
+    return tasks.usage_minutes_trend(tasks.state_rollup_trend(t["task_hourly"], 1440), per_robot=True)
+
+
+@query
+def daily_totals_as_is(t):
+    """Daily jobs where rollup and detail rows are added up."""
+    names = ["job_count", "distinct_job_count", "completed_status_count", "failed_status_count"]
+    return work.daily_totals(work.rollup_rows(t["job_daily"], "as_is"), "stat_date", names)
+
+
+@query
+def recent_tasks(t):
+    """Newest task runs of the readiness report."""
+    return profile.latest_rows(t["task_run"], ["id"], 20).select("id", "amr_id", "start_time", "end_time")
