@@ -71,9 +71,6 @@ def days_before(anchor: ColumnOrName, days: int) -> Column:
     return as_col(anchor) - F.expr(f"INTERVAL {int(days)} DAYS")
 
 
-def time_text(ts: ColumnOrName) -> Column:
-    return F.date_format(as_col(ts), "yyyy-MM-dd HH:mm:ss")
-
 
 def lit_ts(value: datetime) -> Column:
     """Wall-clock literal; independent of the Python process time zone."""
@@ -284,12 +281,3 @@ def snap_to_hours(window: WindowSpec, rule: WindowRule | None = None) -> WindowS
     if last <= first and rule is not None and rule.no_full_hour_code:
         raise WindowError(rule.no_full_hour_code, "the window holds no full calendar hour")
     return WindowSpec(first, last, window.is_custom, window.hours)
-
-
-def bucket_spine(window: WindowSpec, minutes: int) -> Column:
-    """Array of the bucket starts that overlap the window, first one clipped to its start."""
-    origin = datetime(2000, 1, 1)
-    step = timedelta(minutes=minutes)
-    first = origin + ((window.start - origin) // step) * step
-    last = origin + ((window.end - timedelta(microseconds=1) - origin) // step) * step
-    return F.sequence(lit_ts(first), lit_ts(last), F.expr(f"INTERVAL {int(minutes)} MINUTES"))

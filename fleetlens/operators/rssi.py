@@ -176,13 +176,6 @@ def weak_timeline(histogram: DataFrame, weak: int = V.WEAK_RSSI) -> DataFrame:
     )
 
 
-def select_signals(stats: DataFrame, robots: Sequence[str] = (), targets: Sequence[str] = ()) -> DataFrame:
-    if robots:
-        stats = stats.filter(F.col("robot_code").isin(*robots))
-    if targets:
-        stats = stats.filter(F.col("poi_target").isin(*targets))
-    return stats
-
 
 def weak_buckets(timeline: DataFrame) -> DataFrame:
     """Weak timeline summed over robots and targets."""

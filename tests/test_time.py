@@ -99,9 +99,3 @@ def test_minutes_count_boundaries(spark):
 def test_bucket_start(spark, minutes, expected):
     df = spark.createDataFrame([(datetime(2026, 7, 30, 8, 19, 59, 999),)], "t timestamp")
     assert df.select(T.bucket_start("t", minutes).alias("b")).first().b == expected
-
-
-def test_bucket_spine_covers_the_window(spark):
-    window = T.WindowSpec(datetime(2026, 7, 30, 8, 2), datetime(2026, 7, 30, 8, 20))
-    found = spark.range(1).select(T.bucket_spine(window, 5).alias("b")).first().b
-    assert [b.minute for b in found] == [0, 5, 10, 15]
