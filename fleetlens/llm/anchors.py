@@ -5,7 +5,9 @@ k-gram (its anchor), so all copies of a window lie in segments with one
 anchor.  Segments with equal anchor and content are copies as a whole and need
 no further look.  Only where one anchor has different contents must windows be
 compared, and there one segment per content, the first in order of places, is
-enough.  A place is (doc_id, version, start); version tells rows apart that
+enough.  An anchor with very many contents (a frequent phrase) is split: its
+segments are cut into pieces of ``STEP`` windows at fixed offsets from the
+anchor, and pieces meet on what all their windows have in common.  A place is (doc_id, version, start); version tells rows apart that
 share a doc_id, and rows equal in both are one document.
 """
 
@@ -27,6 +29,8 @@ KEY = ["doc_id", "version"]
 # Text bytes to the sequence of units whose windows are compared.
 Units = Callable[[np.ndarray], np.ndarray]
 OUT_ROWS = 1 << 16
+HOT = 2048  # an anchor with more contents is split
+STEP = 8  # windows of one piece of a split segment
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -128,16 +132,40 @@ def marks(found: DataFrame, keep_first: bool) -> DataFrame:
         ranked = ranked.withColumn("copied", (F.first(place).over(every) != F.last(place).over(every)) | F.col("later") | F.col("here"))
     ranked = ranked.withColumn("mixed", F.min("content").over(group) != F.max("content").over(group))
     wanted = F.col("is_first") & F.col("mixed")
+    ranked = ranked.withColumn("hot", F.sum(F.col("is_first").cast("int")).over(group) > HOT)
     rows = ranked.where(F.col("copied") | wanted)
     span = F.struct("first", "windows")
     return rows.groupBy(*KEY).agg(
         F.collect_list(F.when(F.col("copied"), span)).alias("copied"),
-        F.collect_list(F.when(wanted, F.struct("first", "windows", "anchor"))).alias("compare"),
+        F.collect_list(F.when(wanted, F.struct("first", "windows", "anchor", "hot"))).alias("compare"),
     )
 
 
-def contents(docs: DataFrame, marked: DataFrame, length: int, piece: Callable[[np.ndarray], Callable[[int, int], bytes]]) -> DataFrame:
-    """anchor, place, windows and the text of every segment to compare."""
+def anchor_place(codes: np.ndarray, length: int, k: int) -> int:
+    """Where the anchor of a segment's first window starts."""
+    return int(np.argmin(B.gram_hashes(codes[:length], k) & B.HIGH))
+
+
+def pieces(codes: np.ndarray, windows: int, anchor: int, length: int, k: int) -> Iterator[tuple[int, int, int]]:
+    """(key, first window, windows) of a segment's pieces.
+
+    Windows whose offset to the anchor falls into one step share a core; equal
+    windows have equal cores, so the core's hash splits the anchor's segments.
+    """
+    at = anchor_place(codes, length, k)
+    sums = B.prefix_sums(codes)
+    for step in range((at - windows + 1) // STEP, at // STEP + 1):
+        low, high = max(0, at - STEP * step - STEP + 1), min(windows, at - STEP * step + 1)
+        if low < high:
+            core = B.span_hashes(sums, np.array([at - STEP * step]), np.array([at - STEP * step - STEP + 1 + length]))
+            key = B.mix(core + B.mix(np.array([anchor ^ step], np.int64).view(np.uint64)))
+            yield int(key.view(np.int64)[0]), low, high - low
+
+
+def contents(
+    docs: DataFrame, marked: DataFrame, units: Units, length: int, k: int, piece: Callable[[np.ndarray], Callable[[int, int], bytes]]
+) -> DataFrame:
+    """anchor (or key of a piece), place, windows and the text of every segment to compare."""
     todo = marked.where(F.size("compare") > 0).select(*KEY, "compare")
     both = docs.join(todo, same_key(docs, todo)).select(docs["doc_id"], docs["version"], "text", "compare")
     names = ["anchor", "doc_id", "version", "first", "windows", "content"]
@@ -150,7 +178,14 @@ def contents(docs: DataFrame, marked: DataFrame, length: int, piece: Callable[[n
                 for i, (doc_id, version, data) in enumerate(keys):
                     take = piece(data)
                     for s in batch.column("compare")[i].as_py():
-                        yield s["anchor"], doc_id, version, s["first"], s["windows"], take(s["first"], s["first"] + s["windows"] + length - 1)
+                        text = take(s["first"], s["first"] + s["windows"] + length - 1)
+                        if not s["hot"]:
+                            yield s["anchor"], doc_id, version, s["first"], s["windows"], text
+                            continue
+                        codes = units(np.frombuffer(text, np.uint8))
+                        for key, low, count in pieces(codes, s["windows"], s["anchor"], length, k):
+                            low += s["first"]
+                            yield key, doc_id, version, low, count, take(low, low + count + length - 1)
         return B.rows_in_batches(rows(), names, types, 8192)
 
     return both.mapInArrow(sliced, "anchor bigint, doc_id bigint, version smallint, first int, windows int, content binary")
@@ -231,7 +266,7 @@ def all_spans(marked: DataFrame, more: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, units: Units, length: int, k: int, keep_first: bool, piece, resolve, target: int) -> DataFrame:
     """``docs`` (see ``versioned``) with the spans of windows that occur elsewhere, or earlier."""
     marked = stored(marks(segments(docs, units, length, k), keep_first))
-    more = compared(contents(docs, marked, length, piece), resolve, target)
+    more = compared(contents(docs, marked, units, length, k, piece), resolve, target)
     spans = all_spans(marked, more)
     return docs.join(spans, same_key(docs, spans), "left").select(*[docs[c] for c in docs.columns], "spans")
 

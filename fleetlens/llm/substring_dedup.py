@@ -47,8 +47,7 @@ def extended(columns: dict, length: int = WORDS, k: int = SEED) -> list[np.ndarr
     for anchor, windows, data in zip(columns["anchor"], columns["windows"], columns["content"]):
         codes = word_units(data)
         sums = B.prefix_sums(codes)
-        grams = B.gram_hashes(codes[:length], k)
-        at = int(np.argmin(grams & B.HIGH))
+        at = A.anchor_place(codes, length, k)
         start = np.arange(windows)
         left = B.span_hashes(sums, start, np.full(windows, at))
         right = B.span_hashes(sums, np.full(windows, at), start + length)

@@ -53,6 +53,17 @@ def test_one_of_each_group_stays(docs, rows):
     assert ids == {d for d, n, c in brute.jaccard(pairs(rows)) if d is None or d == c or n == 0}
 
 
+def test_frequent_anchors_are_split_without_losing_repeats(spark, rows, docs, monkeypatch):
+    monkeypatch.setattr(anchors, "HOT", 0)
+    monkeypatch.setattr(anchors, "STEP", 3)
+    keyed = spark.createDataFrame(pairs(rows), "doc_id bigint, text string")
+    versions = {(r["doc_id"], r["text"]): r["version"] for r in anchors.versioned(keyed).collect()}
+    got = collected(bwt_dedup.deduplicated(docs, digest=True), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == Counter(brute.suffix_dedup(pairs(rows), order=versions.get))
+    got = collected(substring_dedup.deduplicated(docs, digest=True), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == Counter(brute.substring_dedup(pairs(rows)))
+
+
 @pytest.mark.parametrize("operator", [
     lambda e: substring_dedup.deduplicated(e), lambda e: bwt_dedup.deduplicated(e), lambda e: bwt_dedup.cut_documents(e),
     lambda e: jaccard_rtree.jaccard_components(e), lambda e: jaccard_rtree.one_of_each(e),
