@@ -80,10 +80,9 @@ class Vocabulary:
     @classmethod
     def of(cls, content: str) -> "Vocabulary":
         """One vocabulary per worker, loaded once."""
-        key = hashlib.sha256(content.encode()).hexdigest()
-        if key not in cls._loaded:
-            cls._loaded[key] = cls(content)
-        return cls._loaded[key]
+        if content not in cls._loaded:
+            cls._loaded[content] = cls(content)
+        return cls._loaded[content]
 
     def merge(self, data: bytes) -> list[int]:
         """Tokens of a stretch: the lowest rank first, from the left."""
