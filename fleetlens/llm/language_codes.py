@@ -28,6 +28,7 @@ GRAM_BUCKETS = 4096
 ROWS_PER_LANGUAGE = 1000  # labelled rows that the classifiers are fitted on
 AMBIGUOUS = 0.8  # flagged if the winner's share is below this
 UNKNOWN = "und"
+HASH_RANGE = 1 << 30
 
 
 def gram_profile(data: np.ndarray) -> np.ndarray:
@@ -125,10 +126,17 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
     """Fit on a bounded number of labelled documents of every language, picked by a hash of their id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    usable = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # The model holds a codeword for each language, so their counts are small.
+    sizes = usable.groupBy(F.col("lang").cast("string").alias("lang")).count().collect()
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(7)), F.lit(HASH_RANGE))
+    # Places below a language's bound hold about four times the rows that are wanted, however many it has.
+    bounds = {r["lang"]: min(HASH_RANGE, 4 * rows_per_language * HASH_RANGE // r["count"]) for r in sizes}
+    bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]) if bounds else F.lit(None).cast("map<string,bigint>")
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
     picked = (
-        docs.where(usable & F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"))
+        usable.where(place < F.try_element_at(bound, F.col("lang").cast("string"))).where(F.col("text").rlike(r"\p{L}"))
+        .select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), place.alias("place"))
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows_per_language).select("doc_id", "lang")
     )
     chosen = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string")).join(
