@@ -12,10 +12,10 @@ largest counts and the range of sizes below them; node against node, then
 point against point, all pairs go whose bound stays below the overlap that
 their sizes demand.  What survives is verified on the shingles themselves.
 
-To keep dense groups from becoming all pairs, a first round verifies the two
-best partners of every point in each list, and a second one only the pairs that
-are not in one component yet.  No pair is left out: each is verified, bounded
-away, or already connected.
+To keep dense groups from becoming all pairs, a first round verifies for every
+point its most central partner in each list, and a second one only the pairs
+that are not in one component yet.  No pair is left out: each is verified,
+bounded away, or already connected.
 
 Null and empty texts and texts without words have the empty set and link with
 nothing.  Repeated rows have equal sets.  A component is named by its smallest
@@ -38,9 +38,11 @@ from fleetlens.llm.components import components
 WORDS = 5
 PERCENT = 80
 GROUPS = 64
+FINE_GROUPS, FINE_FROM = 1024, 128  # sets of so many shingles are also counted in more groups
 LEAF = 32  # points of a leaf
 LIST = 4096  # longer lists are split into blocks by size
 BLOCK = 2048
+SPREAD = 8  # tasks that verify one set's pairs
 
 
 def shingle_set(data: np.ndarray | None, k: int = WORDS) -> np.ndarray:
@@ -56,9 +58,19 @@ def digest(shingles: np.ndarray) -> int:
     return int(B.mix(np.array([B.mix(shingles).sum() ^ np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
 
 
-def counts(shingles: np.ndarray) -> np.ndarray:
+def counts(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """The set as a point: shingles by group."""
-    return np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def packed(point: np.ndarray) -> bytes:
+    """In the fewest bytes a group that hold the counts."""
+    most = int(point.max(initial=0))
+    return point.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def point_of(data: bytes, groups: int = GROUPS) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // groups]).astype(np.int32)
 
 
 def demanded(n, m, percent: int = PERCENT):
@@ -75,9 +87,11 @@ class RTree:
     """Points packed into leaves by size and position; leaves under nodes of ``LEAF`` leaves."""
 
     def __init__(self, sizes: np.ndarray, points: np.ndarray) -> None:
+        if len(sizes) <= LEAF:
+            self.order, self.sizes, self.points = np.arange(len(sizes)), sizes, points
+            return
         slab = np.arange(len(sizes)) // (LEAF * LEAF)  # the caller sorts by size
-        spread = points.var(0).argsort()[::-1][:1]
-        self.order = np.lexsort((points[:, spread[0]], slab)) if len(sizes) > LEAF else np.arange(len(sizes))
+        self.order = np.lexsort((points[:, points.var(0).argmax()], slab))
         self.sizes, self.points = sizes[self.order], points[self.order]
         self.leaves = self._boxes(np.arange(0, len(sizes), LEAF), self.sizes, self.sizes, self.points)
         self.nodes = self._boxes(np.arange(0, len(self.leaves[0]), LEAF), *self.leaves)
@@ -101,6 +115,9 @@ class RTree:
 
     def pairs(self, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of points (numbers as given) that survive, and by how much the bound exceeds the demand."""
+        if len(self.sizes) <= LEAF:  # a single leaf
+            x, y = np.nonzero(np.triu(self._meet((self.sizes, self.sizes, self.points), (self.sizes, self.sizes, self.points), percent), 1))
+            return x, y, np.minimum(self.points[x], self.points[y]).sum(1) / demanded(self.sizes[x], self.sizes[y], percent)
         found = []
         leaf = lambda at: slice(at * LEAF, (at + 1) * LEAF)
         part = lambda boxes, s: tuple(x[s] for x in boxes)
@@ -128,21 +145,18 @@ class RTree:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, version, n, set (digest) and point of every document."""
+    """doc_id, version, n, set (digest), point and, for larger sets, finer point of every document."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(data) for data in B.texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("version"), pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([digest(s) for s in sets], pa.int64()), pa.array([counts(s).astype(np.uint16).tobytes() if len(s) < 1 << 16 else counts(s).astype(np.uint32).tobytes() for s in sets], pa.binary()),
-            ], ["doc_id", "version", "n", "set", "point"])
-
-    return docs.mapInArrow(described, "doc_id bigint, version smallint, n int, set bigint, point binary")
+                pa.array([digest(s) for s in sets], pa.int64()), pa.array([packed(counts(s)) for s in sets], pa.binary()),
+                pa.array([packed(counts(s, FINE_GROUPS)) if len(s) >= FINE_FROM else None for s in sets], pa.binary()),
+            ], ["doc_id", "version", "n", "set", "point", "fine"])
 
-
-def point_of(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint16 if len(data) == 2 * GROUPS else np.uint32).astype(np.int32)
+    return docs.mapInArrow(described, "doc_id bigint, version smallint, n int, set bigint, point binary, fine binary")
 
 
 def prefix_shingles(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -201,7 +215,17 @@ def shared_lists(prefixes: DataFrame, percent: int = PERCENT) -> DataFrame:
         for shingle, name, n, index in whole_groups(batches):
             start = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
             end = np.append(start[1:], len(shingle))
-            many = end - start > 1
+            two = start[end - start == 2]
+            two = two[(name[two] != name[two + 1]) & index[two] & (100 * n[two] >= percent * n[two + 1].astype(np.int64))]
+            ends = np.stack([name[two], name[two + 1]], 1)
+            keys = B.mix(B.mix(ends.view(np.uint64)).sum(1, dtype=np.uint64) ^ np.uint64(2)).view(np.int64)
+            for key, members in zip(keys.tolist(), ends.tolist()):
+                if key not in told:
+                    if len(told) >= 1 << 20:
+                        told.clear()
+                    told.add(key)
+                    yield key, members
+            many = end - start > 2
             for s, e in zip(start[many].tolist(), end[many].tolist()):
                 for members in members_of(name[s:e], n[s:e], index[s:e]):
                     key = digest(members.view(np.uint64))
@@ -250,10 +274,12 @@ def shared_lists(prefixes: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def candidates(points: DataFrame, best: int | None, percent: int = PERCENT) -> DataFrame:
-    """Pairs of sets in one list whose bound survives: all, or the ``best`` of every point.
+    """Pairs (a, b) of sets in one list whose bound survives: all, or the ``best`` of every point,
+    those with its most central partners.
 
-    ``points`` has list, set, n, point and component; pairs within one
-    component (not null) are left out.
+    ``points`` has list, set, n, point, fine and component; pairs within one
+    component (not null) are left out.  A set of which pairs in a list were held
+    back gets a row without b.
     """
     in_order = points.repartition("list").sortWithinPartitions("list", "n", "set")
 
@@ -275,66 +301,120 @@ def candidates(points: DataFrame, best: int | None, percent: int = PERCENT) -> D
 
     def search(table: pa.Table, seen: set) -> Iterator[pa.RecordBatch]:
         lists, names, n = (table.column(c).to_numpy() for c in ("list", "set", "n"))
+        n = n.astype(np.int64)
         component = table.column("component").fill_null(0).to_numpy()
         alone = table.column("component").is_null().to_numpy()
-        raw = table.column("point").to_pylist()
+        points = np.array([point_of(p) for p in table.column("point").to_pylist()])
+        fine = table.column("fine").to_pylist()
         start = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
-        out_a, out_b = [], []
-        for s, e in zip(start.tolist(), np.append(start[1:], len(lists)).tolist()):
-            own = component[s:e]
-            if not alone[s:e].any() and (own == own[0]).all():
+        size = np.diff(start, append=len(lists))
+        found = []
+        two = start[size == 2]
+        if len(two):
+            slack = np.minimum(points[two], points[two + 1]).sum(1) / demanded(n[two], n[two + 1], percent)
+            ok = (slack >= 1) & (100 * n[two] >= percent * n[two + 1])
+            found.append((two[ok], two[ok] + 1, slack[ok]))
+        held = []
+        for s, e in zip(start[size > 2].tolist(), (start + size)[size > 2].tolist()):
+            if not alone[s:e].any() and (component[s:e] == component[s]).all():
                 continue
-            points = np.array([point_of(p) for p in raw[s:e]])
-            a, b, slack = RTree(n[s:e].astype(np.int64), points).pairs(percent)
-            apart = alone[s + a] | alone[s + b] | (own[a] != own[b])
-            a, b, slack = a[apart], b[apart], slack[apart]
+            a, b, slack = RTree(n[s:e], points[s:e]).pairs(percent)
+            a, b = a + s, b + s
             if best is not None and len(a) > best:
+                # The partner with the most and closest partners of its own: dense groups become stars.
                 ends, other = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-                order = np.lexsort((-np.tile(slack, 2), ends))
+                central = np.bincount(ends - s, np.tile(slack, 2))
+                order = np.lexsort((-central[np.concatenate([b, a]) - s], ends))
                 ends = ends[order]
                 rank = np.arange(len(ends)) - np.searchsorted(ends, ends)
-                chosen = np.unique(other[order][rank < best])
-                a, b = a[chosen], b[chosen]
-            for x, y in zip(names[s + a].tolist(), names[s + b].tolist()):
-                pair = (x, y) if x < y else (y, x)
-                if pair not in seen:
-                    if len(seen) >= 1 << 20:
-                        seen.clear()
-                    seen.add(pair)
-                    out_a.append(pair[0])
-                    out_b.append(pair[1])
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                chosen = np.zeros(len(a), bool)
+                chosen[other[order][rank < best]] = True
+                held.append(np.unique(np.concatenate([a[~chosen], b[~chosen]])))
+                a, b, slack = a[chosen], b[chosen], slack[chosen]
+            found.append((a, b, slack))
+        a, b, _ = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        apart = alone[a] | alone[b] | (component[a] != component[b])
+        a, b = a[apart], b[apart]
+        a, b = (x[finely(a, b, n, fine)] for x in (a, b))
+        out = []
+        for x, y, z in zip(names[a].tolist(), names[b].tolist(), lists[a].tolist()):
+            pair = (x, y) if x < y else (y, x)
+            if pair not in seen:
+                if len(seen) >= 1 << 20:
+                    seen.clear()
+                seen.add(pair)
+                out.append((z, *pair))
+        rows = np.concatenate(held) if held else np.zeros(0, np.int64)
+        out += [(z, x, None) for z, x in zip(lists[rows].tolist(), names[rows].tolist())]
+        columns = list(zip(*out)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["list", "a", "b"])
+
+    def finely(a: np.ndarray, b: np.ndarray, n: np.ndarray, fine: list[bytes | None]) -> np.ndarray:
+        """Which pairs survive in the finer groups, where both have them."""
+        keep = np.ones(len(a), bool)
+        known: dict[int, np.ndarray] = {}
+
+        def point(i: int) -> np.ndarray:
+            if i not in known:
+                if len(known) >= 4096:
+                    known.clear()
+                known[i] = point_of(fine[i], FINE_GROUPS).astype(np.uint16 if n[i] < 1 << 16 else np.uint32)
+            return known[i]
+
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+            if fine[i] is not None and fine[j] is not None:
+                keep[k] = int(np.minimum(point(i), point(j)).sum(dtype=np.int64)) >= demanded(n[i], n[j], percent)
+        return keep
+
+    return in_order.mapInArrow(searched, "list bigint, a bigint, b bigint")
+
+
+def finely_bounded(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs whose bound also survives in the finer groups, where both sets have them."""
+    fine = classes.select("set", "n", "fine")
+    one = fine.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("fine_a"))
+    two = fine.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("fine_b"))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "fine_a", "fine_b"))):
+                overlap = None if x is None or y is None else np.minimum(point_of(x, FINE_GROUPS), point_of(y, FINE_GROUPS)).sum()
+                keep.append(overlap is None or overlap >= demanded(n, m, percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return in_order.mapInArrow(searched, "a bigint, b bigint").distinct()
+    return pairs.join(one, "a").join(two, "b").mapInArrow(bounded, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs that link, from the shingles of both texts."""
-    sides = pairs.select("a", "b", F.col("a").alias("set")).unionAll(pairs.select("a", "b", F.col("b").alias("set")))
-    in_order = sides.join(texts, "set").select("a", "b", "set", "text").repartition("a", "b").sortWithinPartitions("a", "b")
+    """Pairs that link, from the shingles of both texts.
+
+    The text of ``a`` goes once to each of up to ``SPREAD`` tasks that hold its
+    partners, so a set with very many partners is spread.
+    """
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int"))
+    sides = dealt.select("a", "part", F.lit(None).cast("bigint").alias("b"), F.col("a").alias("set")).distinct().unionAll(
+        dealt.select("a", "part", "b", F.col("b").alias("set"))
+    )
+    in_order = sides.join(texts, "set").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
-        held = None
+        own, first = None, None
         for batch in batches:
-            a, b, name = (batch.column(c).to_pylist() for c in ("a", "b", "set"))
             out_a, out_b = [], []
-            for x, y, own, data in zip(a, b, name, B.texts(batch.column("text"))):
-                shingles = kept.get(own)
-                if shingles is None:
-                    if len(kept) >= 64:
-                        kept.clear()
-                    shingles = kept[own] = shingle_set(data)
-                if held is None or held[:2] != (x, y):
-                    held = (x, y, own, shingles)
-                elif held[2] != own:
-                    both = len(np.intersect1d(held[3], shingles, assume_unique=True))
-                    if 100 * both >= percent * (len(held[3]) + len(shingles) - both):
-                        out_a.append(x)
-                        out_b.append(y)
+            for a, b, data in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), B.texts(batch.column("text"))):
+                if b is None:
+                    if own != a:
+                        own, first = a, shingle_set(data)
+                    continue
+                other = shingle_set(data)
+                both = len(np.intersect1d(first, other, assume_unique=True))
+                if 100 * both >= percent * (len(first) + len(other) - both):
+                    out_a.append(a)
+                    out_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    return in_order.mapInArrow(checked, "a bigint, b bigint")
+    return in_order.mapInArrow(checked, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -342,20 +422,23 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     plain = A.versioned(docs)
     described = A.stored(document_sets(plain))
     classes = described.where(F.col("n") > 0).groupBy("set").agg(
-        F.first("n").alias("n"), F.first("point").alias("point"), F.min(F.struct("doc_id", "version")).alias("first"), F.min("doc_id").alias("smallest")
+        F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"), F.min(F.struct("doc_id", "version")).alias("first"), F.min("doc_id").alias("smallest")
     )
     classes = A.stored(classes)
     lists = shared_lists(prefix_shingles(plain, percent), percent)
     members = lists.select("list", F.explode("sets").alias("set"))
     points = A.stored(members.join(classes.select("set", "n", "point"), "set"))
-    first = A.stored(candidates(points.withColumn("component", F.lit(None).cast("bigint")), 2, percent))
+    found = A.stored(candidates(points.withColumns({"component": F.lit(None).cast("bigint"), "fine": F.lit(None).cast("binary")}), 1, percent))
+    first = found.where(F.col("b").isNotNull()).select("a", "b").distinct()
     wanted = first.select(F.col("a").alias("set")).union(first.select("b")).distinct().join(classes, "set").select("set", "first.*")
-    texts = plain.join(wanted, A.same_key(plain, wanted)).select("set", "text").dropDuplicates(["set"])
-    texts = A.stored(texts)
-    links = A.stored(verified(first, texts, percent))
+    texts = A.stored(plain.join(wanted, A.same_key(plain, wanted)).select("set", "text"))
+    links = A.stored(verified(A.stored(finely_bounded(first, classes, percent)), texts, percent))
     known = components(links, "a", "b")
-    again = points.join(known.withColumnRenamed("node", "set"), "set", "left")
-    rest = candidates(again, None, percent).join(first, ["a", "b"], "left_anti")
+    # Sets with pairs that were held back come again, now with their finer points.
+    more = found.where(F.col("b").isNull()).select("list", F.col("a").alias("set"))
+    again = more.join(classes.select("set", "n", "point", "fine"), "set").join(known.withColumnRenamed("node", "set"), "set", "left")
+    rest = candidates(again, None, percent).select("a", "b").distinct()
+    rest = A.stored(rest.join(first, ["a", "b"], "left_anti"))
     links = A.stored(links.union(verified(rest, texts, percent)))
     grouped = components(links, "a", "b").withColumnRenamed("node", "set")
     degree = links.select(F.col("a").alias("set")).unionAll(links.select("b")).groupBy("set").agg(F.count("*").alias("n_links"))
