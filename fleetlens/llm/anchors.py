@@ -42,8 +42,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def version_of(text: Column) -> Column:
-    """A digest that tells texts under one doc_id apart."""
-    return F.pmod(F.coalesce(F.hash(text.cast("string")), F.lit(0)), F.lit(32749)).cast("smallint")
+    """A digest of 64 bits that tells texts under one doc_id apart."""
+    return F.coalesce(F.xxhash64(text.cast("string")), F.lit(0))
 
 
 def versioned(docs: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def segments(docs: DataFrame, units: Units, length: int, k: int) -> DataFrame:
             pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(later), pa.array(copied),
         ], ["anchor", "content", "doc_id", "version", "first", "windows", "later", "here"])
 
-    return docs.mapInArrow(cut, "anchor bigint, content bigint, doc_id bigint, version smallint, first int, windows int, later boolean, here boolean")
+    return docs.mapInArrow(cut, "anchor bigint, content bigint, doc_id bigint, version bigint, first int, windows int, later boolean, here boolean")
 
 
 def marks(found: DataFrame, keep_first: bool) -> DataFrame:
@@ -169,7 +169,7 @@ def contents(
     todo = marked.where(F.size("compare") > 0).select(*KEY, "compare")
     both = docs.join(todo, same_key(docs, todo)).select(docs["doc_id"], docs["version"], "text", "compare")
     names = ["anchor", "doc_id", "version", "first", "windows", "content"]
-    types = [pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -188,7 +188,7 @@ def contents(
                             yield key, doc_id, version, low, count, take(low, low + count + length - 1)
         return B.rows_in_batches(rows(), names, types, 8192)
 
-    return both.mapInArrow(sliced, "anchor bigint, doc_id bigint, version smallint, first int, windows int, content binary")
+    return both.mapInArrow(sliced, "anchor bigint, doc_id bigint, version bigint, first int, windows int, content binary")
 
 
 def compared(rows: DataFrame, resolve: Callable[[dict], list[np.ndarray]], target: int) -> DataFrame:
@@ -253,7 +253,7 @@ def compared(rows: DataFrame, resolve: Callable[[dict], list[np.ndarray]], targe
             ["doc_id", "version", "first", "windows"],
         )
 
-    return sorted_rows.mapInArrow(work, "doc_id bigint, version smallint, first int, windows int")
+    return sorted_rows.mapInArrow(work, "doc_id bigint, version bigint, first int, windows int")
 
 
 def all_spans(marked: DataFrame, more: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 pa.array([packed(counts(s, FINE_GROUPS)) if len(s) >= FINE_FROM else None for s in sets], pa.binary()),
             ], ["doc_id", "version", "n", "set", "point", "fine"])
 
-    return docs.mapInArrow(described, "doc_id bigint, version smallint, n int, set bigint, point binary, fine binary")
+    return docs.mapInArrow(described, "doc_id bigint, version bigint, n int, set bigint, point binary, fine binary")
 
 
 def prefix_shingles(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

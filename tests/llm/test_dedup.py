@@ -150,3 +150,24 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (300, 301), (301, 300)]
     found = dict(components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect())
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 150)}, 300: 300, 301: 300}
+
+
+def test_many_texts_under_one_id_and_under_null(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    passages = [" ".join(word() for _ in range(45)) for _ in range(150)]
+    rows = [(None, None, "en"), (1, None, "en"), (1, "", "en")]
+    for i in range(1000):
+        text = " ".join([word() for _ in range(rng.randint(1, 40))] + [rng.choice(passages)] + [word() for _ in range(rng.randint(1, 8))])
+        rows += [(None, text, "en"), (1, text + " " + word() if i % 2 else text, "en")]
+    docs = frame(spark, rows).repartition(3)
+    keyed = spark.createDataFrame(pairs(rows), "doc_id bigint, text string")
+    versions = {(r["doc_id"], r["text"]): r["version"] for r in anchors.versioned(keyed).collect()}
+    for doc_id in (None, 1):
+        assert len({v for (d, _), v in versions.items() if d == doc_id}) == len({t for d, t, _ in rows if d == doc_id})
+    got = collected(substring_dedup.deduplicated(docs, digest=True), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == Counter(brute.substring_dedup(pairs(rows)))
+    got = collected(bwt_dedup.deduplicated(docs, digest=True), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == Counter(brute.suffix_dedup(pairs(rows), order=versions.get))
+    got = collected(jaccard_rtree.jaccard_components(docs), "doc_id", "n_shingles", "component_id")
+    assert got == Counter(brute.jaccard(pairs(rows)))
