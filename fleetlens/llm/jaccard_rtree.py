@@ -14,8 +14,14 @@ their sizes demand.  What survives is verified on the shingles themselves.
 
 To keep dense groups from becoming all pairs, a first round verifies for every
 point its most central partner in each list, and a second one only the pairs
-that are not in one component yet.  No pair is left out: each is verified,
-bounded away, or already connected.
+that are not in one component yet.  No pair is left out of the components: each
+is verified, bounded away, or already connected.
+
+Links lie within components, so they are counted there: a component is dealt
+out in pairs of blocks of sets, and every pair of sets in them is bounded by the
+points or verified on the shingles.  A document's links are the different texts
+that are 80 % alike with its own; texts of equal sets link too, exact copies of
+one text are one.
 
 Null and empty texts and texts without words have the empty set and link with
 nothing.  Repeated rows have equal sets.  A component is named by its smallest
@@ -43,6 +49,8 @@ LEAF = 32  # points of a leaf
 LIST = 4096  # longer lists are split into blocks by size
 BLOCK = 2048
 SPREAD = 8  # tasks that verify one set's pairs
+LINK_SETS, LINK_SHINGLES = 512, 1 << 20  # sets and shingles of a block when links are counted
+WIDE = 8192  # shingles counted at once
 
 
 def shingle_set(data: np.ndarray | None, k: int = WORDS) -> np.ndarray:
@@ -417,8 +425,115 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     return in_order.mapInArrow(checked, "a bigint, b bigint").distinct()
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, version, n_shingles, component_id and n_links (classes that the first rounds linked it to) of every document."""
+def linked(one: list[np.ndarray], two: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Which sets of ``one`` link with which of ``two``."""
+    n, m = (np.array([len(s) for s in side], np.int64) for side in (one, two))
+    x, y = (np.array([counts(s) for s in side]) for side in (one, two))
+    may = RTree._meet((n, n, x), (m, m, y), percent)
+    rows, columns = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    if not len(rows):
+        return may
+    left, right = np.concatenate([one[i] for i in rows]), np.concatenate([two[j] for j in columns])
+    i, j = np.nonzero(may)
+    if len(i) * 1000 + (n[i] + m[j]).sum() < len(rows) * len(columns) * min(len(left), len(right)) / 200:  # few pairs of large sets
+        for a, b in zip(i.tolist(), j.tolist()):
+            both = len(np.intersect1d(one[a], two[b], assume_unique=True))
+            may[a, b] = 100 * both >= percent * (n[a] + m[b] - both)
+        return may
+    shared = np.intersect1d(left, right)
+    both = np.zeros((len(rows), len(columns)))
+    sides = []
+    for values, sizes in ((left, n[rows]), (right, m[columns])):
+        at = np.searchsorted(shared, values)
+        ok = at < len(shared)
+        ok[ok] = shared[at[ok]] == values[ok]
+        at, row = at[ok], np.repeat(np.arange(len(sizes)), sizes)[ok]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], row[order], len(sizes)))
+    for low in range(0, len(shared), WIDE):
+        has = []
+        for at, row, size in sides:
+            part = slice(*np.searchsorted(at, (low, low + WIDE)))
+            has.append(np.zeros((size, min(WIDE, len(shared) - low)), np.float32))
+            has[-1][row[part], at[part] - low] = 1
+        both += has[0] @ has[1].T  # whole numbers below 2^24
+    at = np.ix_(rows, columns)
+    may[at] &= 100 * both >= percent * (n[rows][:, None] + m[columns][None] - both)
+    return may
+
+
+def link_counts(grouped: DataFrame, classes: DataFrame, several: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """set and, summed over its partners, the different texts that link with it.
+
+    A large component is parted by size, in levels so that only sets of one or of
+    neighbouring levels can link, and each level by hash into blocks; every two
+    blocks that can hold links meet in one task.
+    """
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101 / percent))).cast("int")
+    members = A.stored(
+        grouped.join(classes.select("set", "n"), "set").join(several, "set", "left")
+        .select("set", "component", "n", F.coalesce("n_texts", F.lit(1)).alias("n_texts"), level.alias("level"))
+    )
+    large = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    large = large.where((F.col("sets") > LINK_SETS) | (F.col("shingles") > LINK_SHINGLES)).select("component")
+    # At most one row for every LINK_SETS sets or LINK_SHINGLES shingles.
+    by_level = members.join(F.broadcast(large), "component").groupBy("component", "level").agg(
+        F.ceil(F.greatest(F.count("*") / LINK_SETS, F.sum("n") / LINK_SHINGLES)).cast("int").alias("blocks")
+    )
+    blocks = by_level.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("level", "blocks"))).alias("blocks"))
+    own, block = F.col("blocks")[F.col("level")], F.col("block")
+
+    def meetings(at, make):
+        return F.when(F.col("blocks")[at].isNotNull(), F.transform(F.sequence(F.lit(0), F.col("blocks")[at] - 1), make)).otherwise(F.array().cast("array<struct<key:string,side:int>>"))
+
+    def meeting(low, high, i, j, side):
+        return F.struct(F.concat_ws(":", "component", low, high, i, j).alias("key"), side.cast("int").alias("side"))
+
+    here = F.col("level")
+    all_meetings = F.concat(
+        meetings(here, lambda j: meeting(here, here, F.least(block, j), F.greatest(block, j), block > j)),
+        meetings(here + 1, lambda j: meeting(here, here + 1, block, j, F.lit(0))),
+        meetings(here - 1, lambda j: meeting(here - 1, here, j, block, F.lit(1))),
+    )
+    alone = F.array(F.struct(F.col("component").cast("string").alias("key"), F.lit(0).alias("side")))
+    dealt = members.join(F.broadcast(blocks), "component", "left").withColumn("block", F.pmod(F.xxhash64("set"), own).cast("int"))
+    dealt = dealt.select("set", "n_texts", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(all_meetings)).alias("m")).select("set", "n_texts", "m.key", "m.side")
+    in_order = dealt.join(texts, "set").select("key", "side", "set", "n_texts", "text").repartition("key").sortWithinPartitions("key", "side", "set")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["set", "n_links"], [pa.int64(), pa.int64()]
+        return B.rows_in_batches(rows(batches), names, types, 8192)
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        known, held = None, ([], [])
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("key", "side", "set", "n_texts"))
+            for key, side, name, weight, data in zip(*columns, B.texts(batch.column("text"))):
+                if key != known:
+                    yield from degrees(*held)
+                    known, held = key, ([], [])
+                if not held[side] or held[side][-1][0] != name:  # repeated rows of one text
+                    held[side].append((name, weight, shingle_set(data)))
+        yield from degrees(*held)
+
+    def degrees(one: list[tuple], two: list[tuple]):
+        """Names and linked texts; one side alone meets itself."""
+        if not one or (not two and len(one) < 2):
+            return
+        other = two or one
+        (names, weights, sets), (names_b, weights_b, sets_b) = zip(*one), zip(*other)
+        ok = linked(list(sets), list(sets_b), percent)
+        if not two:
+            np.fill_diagonal(ok, False)
+        else:
+            yield from zip(names_b, (np.array(weights) @ ok).tolist())
+        yield from zip(names, (ok @ np.array(weights_b)).tolist())
+
+    return in_order.mapInArrow(counted, "set bigint, n_links bigint").groupBy("set").agg(F.sum("n_links").alias("n_links"))
+
+
+def grouped_documents(docs: DataFrame, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
+    """doc_id, version, n_shingles, component_id and, if wanted, n_links of every document."""
     plain = A.versioned(docs)
     described = A.stored(document_sets(plain))
     classes = described.where(F.col("n") > 0).groupBy("set").agg(
@@ -440,15 +555,25 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = candidates(again, None, percent).select("a", "b").distinct()
     rest = A.stored(rest.join(first, ["a", "b"], "left_anti"))
     links = A.stored(links.union(verified(rest, texts, percent)))
-    grouped = components(links, "a", "b").withColumnRenamed("node", "set")
-    degree = links.select(F.col("a").alias("set")).unionAll(links.select("b")).groupBy("set").agg(F.count("*").alias("n_links"))
+    grouped = A.stored(components(links, "a", "b").withColumnRenamed("node", "set"))
     named = classes.select("set", "smallest").join(grouped, "set", "left").withColumn("component", F.coalesce("component", "set"))
     smallest = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    labelled = named.join(smallest, "component").select("set", "component_id").join(degree, "set", "left")
-    return described.select("doc_id", "version", "n", F.when(F.col("n") > 0, F.col("set")).alias("set")).join(labelled, "set", "left").select(
-        "doc_id", "version", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
+    labelled = named.join(smallest, "component").select("set", "component_id")
+    n_links = []
+    if count_links:
+        several = described.where(F.col("n") > 0).select("set", "version").distinct().groupBy("set").agg(F.count("*").alias("n_texts"))
+        several = A.stored(several.where(F.col("n_texts") > 1))
+        degree = link_counts(grouped, classes, several, texts, percent)
+        labelled = labelled.join(degree, "set", "left").join(several, "set", "left")
+        # Texts of its own set link too; the empty set links with nothing.
+        n_links = [(F.coalesce("n_links", F.lit(0)) + F.coalesce("n_texts", F.lit(1)) - 1).alias("n_links")]
+    found = described.select("doc_id", "version", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set")).alias("set"))
+    return found.join(labelled, "set", "left").select("doc_id", "version", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *n_links)
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, version, n_shingles, component_id and n_links (different texts that link with its own) of every document."""
+    return grouped_documents(docs, percent)
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -458,7 +583,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows without a doc_id.
     """
     columns = docs.columns
-    found = jaccard_components(docs, percent)
+    found = grouped_documents(docs, percent, count_links=False)
     # A row leads its group if its doc_id names the component; null ids and empty sets lead their own.
     leads = found.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     leads = leads.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct()

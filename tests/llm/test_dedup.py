@@ -171,3 +171,39 @@ def test_many_texts_under_one_id_and_under_null(spark):
     assert got == Counter(brute.suffix_dedup(pairs(rows), order=versions.get))
     got = collected(jaccard_rtree.jaccard_components(docs), "doc_id", "n_shingles", "component_id")
     assert got == Counter(brute.jaccard(pairs(rows)))
+
+
+def brute_links(rows):
+    """Different texts that are 80 % alike with each row's own."""
+    texts = {t: brute.shingles(t) for _, t, _ in rows}
+    alike = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+    links = {t: sum(alike(s, o) for u, o in texts.items() if u != t) for t, s in texts.items()}
+    return Counter((d, links[t]) for d, t, _ in rows)
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_every_link_of_a_dense_group_counts(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_rtree, "LINK_SETS", block)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(None, None, "en"), (900, "", "en"), (901, "alone", "en"), (902, "ALONE", "en"), (903, "alone", "en"), (903, "alone", "en")]
+    for i in range(60):
+        w = words[: rng.randint(90, 150)]
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"other{rng.randint(0, 5)}"
+        rows += [(i, " ".join(w), "en"), (i + 100, " ".join(w).upper(), "en"), (i + 200, " ".join(w), "en")][: rng.randint(1, 3)]
+    got = jaccard_rtree.jaccard_components(frame(spark, rows))
+    assert collected(got, "doc_id", "n_links") == brute_links(rows)
+    assert collected(got, "doc_id", "n_shingles", "component_id") == Counter(brute.jaccard(pairs(rows)))
+
+
+def test_links_of_few_and_of_many_pairs():
+    rng = np.random.default_rng(9)
+    for size, keep in ((40, 0.95), (40, 0.9), (3, 0.9), (12, 0.3)):
+        base = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
+        one, two = ([np.unique(base[rng.random(3000) < rng.uniform(keep, 1)]) for _ in range(size)] for _ in range(2))
+        got = jaccard_rtree.linked(one, two)
+        for i, a in enumerate(one):
+            for j, b in enumerate(two):
+                both = len(np.intersect1d(a, b))
+                assert got[i, j] == (100 * both >= 80 * (len(a) + len(b) - both))
