@@ -35,7 +35,7 @@ SPANS = 1000  # columns that one cell may span
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title".split())
-BLANK = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre figure hr fieldset".split())
+BLANK = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre xmp figure hr fieldset".split())
 LINE = frozenset(
     "address article aside body center dd details dialog div dt figcaption footer form header html legend li main nav optgroup option "
     "search section summary tr caption".split()
@@ -119,7 +119,7 @@ def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             end = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(html, at)
             stop = end.start() if end else n
             if stop > at:
-                yield ("text" if tag in ("title", "textarea") else "raw"), html[at:stop], {}
+                yield ("text" if tag in ("title", "textarea") else "plain" if tag == "xmp" else "raw"), html[at:stop], {}
             at = stop
 
 
@@ -167,6 +167,8 @@ def tree(html: str) -> Node:
         if kind == "text":
             if value.strip(" \t\n\r\f") or stack[-1].tag not in ("table", "tr", *ROWS):
                 parent_of("#text").children.append(unescape(value))
+        elif kind == "plain":  # shown as it stands, without character references
+            stack[-1].children.append(value)
         elif kind == "start":
             if value in ("html", "body", "head"):
                 if value == "head":
@@ -188,6 +190,8 @@ def tree(html: str) -> Node:
                 stack.append(row)
             node = Node(value, attrs)
             parent_of(value).children.append(node)
+            if value == "form" and stack[-1].tag in ROWS | {"table", "tr"}:
+                continue  # between cells a form holds nothing
             if value not in VOID and len(stack) < DEPTH:
                 stack.append(node)
         elif kind == "end":
@@ -322,9 +326,9 @@ def element(node: Node, flow: Flow, visible: bool, pre: bool, depth: int) -> Non
                 element(child, flow, visible, pre, depth)
                 break
         flow.block(1)
-    elif tag == "pre":
+    elif tag in ("pre", "xmp"):
         flow.block(2)
-        if node.children and isinstance(node.children[0], str) and node.children[0].startswith("\n"):
+        if tag == "pre" and node.children and isinstance(node.children[0], str) and node.children[0].startswith("\n"):
             node.children[0] = node.children[0][1:]
         render(node, flow, visible, True, depth)
         flow.block(2)
@@ -384,8 +388,6 @@ def table(node: Node, visible: bool, depth: int) -> list[str]:
                 collect(child, child.tag, seen)
             elif child.tag == "caption":
                 element(child, caption, shown, False, depth)
-            elif child.tag == "form":
-                collect(child, part, seen)
 
     collect(node, "tbody", visible)
     grid: list[list[tuple[int, int, list[str]]]] = []

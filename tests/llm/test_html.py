@@ -59,3 +59,17 @@ def test_edge_rows(spark):
     found = sorted((r["page_id"] or 0, r["n_lines"], r["n_words"]) for r in html_render.extract(pages).collect())
     assert found == [(0, 1, 1), (1, 0, 0), (2, 0, 0), (2, 0, 0), (4, 1, 200_000)]
     assert html_render.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a  b"),
+    ("<table><form><tr><td>a</td></tr><tr><td>b</td></tr></form></table>", "a\nb"),
+    ("<table><tbody><form><td>a<form>c</form></td></tbody></table>", "a\nc"),
+    ("<table><tr><form>text<td>a</td></form></tr></table>", "text\n\na"),
+    ("<form><table><tr><td>a</td></tr></table>b</form>c", "a\n\nb\nc"),
+    ("a<xmp>  <b>x</b> &amp;\n y</xmp>b", "a\n\n  <b>x</b> &amp;\n y\n\nb"),
+    ("<table><tr><xmp>x</xmp><td>a</td></tr></table>", "x\n\na"),
+    ("<xmp>not closed <i>", "not closed <i>"),
+])
+def test_forms_in_tables_and_plain_text_keep_their_text(html, text):
+    assert html_render.visible_text(html) == text
