@@ -7,8 +7,12 @@ no further look.  Only where one anchor has different contents must windows be
 compared, and there one segment per content, the first in order of places, is
 enough.  An anchor with very many contents (a frequent phrase) is split: its
 segments are cut into pieces of ``STEP`` windows at fixed offsets from the
-anchor, and pieces meet on what all their windows have in common.  A place is (doc_id, version, start); version tells rows apart that
-share a doc_id, and rows equal in both are one document.
+anchor, and pieces meet on what all their windows have in common.  Copies among
+the pieces are settled like those among segments; where one key still has very
+many contents, each window is a piece of its own, and all are settled as copies.
+So no more than ``HOT`` contents are compared at once.  A place is (doc_id,
+version, start); version tells rows apart that share a doc_id, and rows equal in
+both are one document.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ Units = Callable[[np.ndarray], np.ndarray]
 OUT_ROWS = 1 << 16
 HOT = 2048  # an anchor with more contents is split
 STEP = 8  # windows of one piece of a split segment
+FOUND = "anchor bigint, content bigint, doc_id bigint, version bigint, first int, windows int, later boolean, here boolean"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -102,20 +107,25 @@ def segments(docs: DataFrame, units: Units, length: int, k: int) -> DataFrame:
 
     def out(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
         anchor, content, row, first, count = (np.concatenate(x) for x in zip(*held))
-        doc, version = batch.column("doc_id").take(pa.array(row)), batch.column("version").take(pa.array(row))
-        later, copied = settled_here(anchor, content, (doc.fill_null(-(1 << 63)).to_numpy(), version.to_numpy(), first))
-        own = B.mix(content[later] + B.mix(row[later].astype(np.uint64) << np.uint64(32) | first[later].astype(np.uint64)))
-        anchor[later], content[later] = own, own
-        return pa.RecordBatch.from_arrays([
-            pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), doc, version,
-            pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(later), pa.array(copied),
-        ], ["anchor", "content", "doc_id", "version", "first", "windows", "later", "here"])
+        return found_here(batch, anchor, content, row, first, count)
 
-    return docs.mapInArrow(cut, "anchor bigint, content bigint, doc_id bigint, version bigint, first int, windows int, later boolean, here boolean")
+    return docs.mapInArrow(cut, FOUND)
 
 
-def marks(found: DataFrame, keep_first: bool) -> DataFrame:
-    """Per document: segments that are copies as a whole, and those that must be compared.
+def found_here(batch: pa.RecordBatch, anchor: np.ndarray, content: np.ndarray, row: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """Segments of a batch's rows, copies among them settled."""
+    doc, version = batch.column("doc_id").take(pa.array(row)), batch.column("version").take(pa.array(row))
+    later, copied = settled_here(anchor, content, (doc.fill_null(-(1 << 63)).to_numpy(), version.to_numpy(), first))
+    own = B.mix(content[later] + B.mix(row[later].astype(np.uint64) << np.uint64(32) | first[later].astype(np.uint64)))
+    anchor[later], content[later] = own, own
+    return pa.RecordBatch.from_arrays([
+        pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), doc, version,
+        pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(later), pa.array(copied),
+    ], ["anchor", "content", "doc_id", "version", "first", "windows", "later", "here"])
+
+
+def ranked(found: DataFrame, keep_first: bool) -> DataFrame:
+    """Segments that are copies as a whole, that must be compared (wanted), and whether their anchor is hot.
 
     With ``keep_first`` a copy counts from its second place on, else at every
     place if there are two.  One shuffle and one sort by anchor and content
@@ -125,19 +135,23 @@ def marks(found: DataFrame, keep_first: bool) -> DataFrame:
     copies = Window.partitionBy("anchor", "content").orderBy(*KEY, "first")
     every = copies.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     group = Window.partitionBy("anchor")
-    ranked = found.repartition("anchor").withColumn("is_first", F.rank().over(copies) == 1)
+    rows = found.repartition("anchor").withColumn("is_first", F.rank().over(copies) == 1)
     if keep_first:
-        ranked = ranked.withColumn("copied", ~F.col("is_first") | F.col("later"))
+        rows = rows.withColumn("copied", ~F.col("is_first") | F.col("later"))
     else:
-        ranked = ranked.withColumn("copied", (F.first(place).over(every) != F.last(place).over(every)) | F.col("later") | F.col("here"))
-    ranked = ranked.withColumn("mixed", F.min("content").over(group) != F.max("content").over(group))
+        rows = rows.withColumn("copied", (F.first(place).over(every) != F.last(place).over(every)) | F.col("later") | F.col("here"))
+    rows = rows.withColumn("mixed", F.min("content").over(group) != F.max("content").over(group))
     wanted = F.col("is_first") & F.col("mixed")
-    ranked = ranked.withColumn("hot", F.sum(F.col("is_first").cast("int")).over(group) > HOT)
-    rows = ranked.where(F.col("copied") | wanted)
+    rows = rows.withColumn("hot", F.sum(F.col("is_first").cast("int")).over(group) > HOT)
+    return rows.withColumn("wanted", wanted).where(F.col("copied") | F.col("wanted"))
+
+
+def marks(found: DataFrame, keep_first: bool) -> DataFrame:
+    """Per document: segments that are copies as a whole, and those that must be compared."""
     span = F.struct("first", "windows")
-    return rows.groupBy(*KEY).agg(
+    return ranked(found, keep_first).groupBy(*KEY).agg(
         F.collect_list(F.when(F.col("copied"), span)).alias("copied"),
-        F.collect_list(F.when(wanted, F.struct("first", "windows", "anchor", "hot"))).alias("compare"),
+        F.collect_list(F.when(F.col("wanted"), F.struct("first", "windows", "anchor", "hot"))).alias("compare"),
     )
 
 
@@ -165,11 +179,11 @@ def pieces(codes: np.ndarray, windows: int, anchor: int, length: int, k: int) ->
 def contents(
     docs: DataFrame, marked: DataFrame, units: Units, length: int, k: int, piece: Callable[[np.ndarray], Callable[[int, int], bytes]]
 ) -> DataFrame:
-    """anchor (or key of a piece), place, windows and the text of every segment to compare."""
+    """anchor (or key of a piece), place, windows, text and whether it is a piece, of every segment to compare."""
     todo = marked.where(F.size("compare") > 0).select(*KEY, "compare")
     both = docs.join(todo, same_key(docs, todo)).select(docs["doc_id"], docs["version"], "text", "compare")
-    names = ["anchor", "doc_id", "version", "first", "windows", "content"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["anchor", "doc_id", "version", "first", "windows", "content", "split"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -180,15 +194,55 @@ def contents(
                     for s in batch.column("compare")[i].as_py():
                         text = take(s["first"], s["first"] + s["windows"] + length - 1)
                         if not s["hot"]:
-                            yield s["anchor"], doc_id, version, s["first"], s["windows"], text
+                            yield s["anchor"], doc_id, version, s["first"], s["windows"], text, False
                             continue
                         codes = units(np.frombuffer(text, np.uint8))
                         for key, low, count in pieces(codes, s["windows"], s["anchor"], length, k):
                             low += s["first"]
-                            yield key, doc_id, version, low, count, take(low, low + count + length - 1)
+                            yield key, doc_id, version, low, count, take(low, low + count + length - 1), True
         return B.rows_in_batches(rows(), names, types, 8192)
 
-    return both.mapInArrow(sliced, "anchor bigint, doc_id bigint, version bigint, first int, windows int, content binary")
+    return both.mapInArrow(sliced, "anchor bigint, doc_id bigint, version bigint, first int, windows int, content binary, split boolean")
+
+
+def pieces_found(rows: DataFrame, units: Units, length: int, single: bool) -> DataFrame:
+    """Pieces with text as segments are found, with their text; with ``single`` each window by itself, without text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, len(whole), 4096):
+                batch = whole.slice(low, 4096)
+                anchor, content, row, first, count = [], [], [], [], []
+                starts, windows, keys = (batch.column(c).to_numpy() for c in ("first", "windows", "anchor"))
+                for i, data in enumerate(B.texts(batch.column("text"))):
+                    codes = units(data)
+                    hashes = B.gram_hashes(codes, length if single else len(codes))
+                    key = keys[i : i + 1].view(np.uint64)
+                    anchor.append(B.mix(hashes + B.mix(key)) if single else key)
+                    content.append(hashes)
+                    row.append(np.full(len(hashes), i))
+                    first.append(starts[i] + np.arange(len(hashes)))
+                    count.append(np.full(len(hashes), 1 if single else windows[i]))
+                if not row:
+                    continue
+                anchor, content, row, first, count = (np.concatenate(x) for x in (anchor, content, row, first, count))
+                found = found_here(batch, anchor, content, row, first.astype(np.int64), count)
+                yield found if single else found.append_column("text", batch.column("text"))
+
+    return rows.mapInArrow(work, FOUND if single else f"{FOUND}, text binary")
+
+
+def settled(rows: DataFrame, units: Units, length: int, keep_first: bool, resolve: Callable[[dict], list[np.ndarray]], target: int) -> DataFrame:
+    """Marked spans of the rows of ``contents``; no key with more than ``HOT`` contents is compared."""
+    rows = stored(rows)
+    split = rows.where("split").withColumnRenamed("content", "text")
+    found = stored(ranked(pieces_found(split, units, length, False), keep_first))
+    wanted = found.where("wanted").drop("content").withColumnRenamed("text", "content")
+    names = ["anchor", *KEY, "first", "windows", "content"]
+    more = compared(rows.where(~F.col("split")).select(names).unionByName(wanted.where(~F.col("hot")).select(names)), resolve, target)
+    windows = ranked(pieces_found(wanted.where("hot").withColumnRenamed("content", "text"), units, length, True), keep_first)
+    spans = [*KEY, "first", "windows"]
+    return more.unionByName(found.where("copied").select(spans)).unionByName(windows.where("copied").select(spans))
 
 
 def compared(rows: DataFrame, resolve: Callable[[dict], list[np.ndarray]], target: int) -> DataFrame:
@@ -266,7 +320,7 @@ def all_spans(marked: DataFrame, more: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, units: Units, length: int, k: int, keep_first: bool, piece, resolve, target: int) -> DataFrame:
     """``docs`` (see ``versioned``) with the spans of windows that occur elsewhere, or earlier."""
     marked = stored(marks(segments(docs, units, length, k), keep_first))
-    more = compared(contents(docs, marked, units, length, k, piece), resolve, target)
+    more = settled(contents(docs, marked, units, length, k, piece), units, length, keep_first, resolve, target)
     spans = all_spans(marked, more)
     return docs.join(spans, same_key(docs, spans), "left").select(*[docs[c] for c in docs.columns], "spans")
 

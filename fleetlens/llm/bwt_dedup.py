@@ -201,7 +201,7 @@ def cut_documents(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataF
     columns, schema = docs.columns, docs.schema
     plain = A.versioned(docs)
     marked = A.stored(A.marks(A.segments(plain, byte_units, length, k), True))
-    more = A.compared(A.contents(plain, marked, byte_units, length, k, _piece), lambda c: later_windows(c, length), TARGET)
+    more = A.settled(A.contents(plain, marked, byte_units, length, k, _piece), byte_units, length, True, lambda c: later_windows(c, length), TARGET)
     spans = A.all_spans(marked, more).withColumnsRenamed({"doc_id": "__id", "version": "__version", "spans": "__spans"})
     same = docs["doc_id"].cast("bigint").eqNullSafe(spans["__id"]) & A.version_of(docs["text"]).eqNullSafe(spans["__version"])
     both = docs.join(spans, same, "left").select(*[docs[c] for c in columns], "__spans")

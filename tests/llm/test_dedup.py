@@ -207,3 +207,34 @@ def test_links_of_few_and_of_many_pairs():
             for j, b in enumerate(two):
                 both = len(np.intersect1d(a, b))
                 assert got[i, j] == (100 * both >= 80 * (len(a) + len(b) - both))
+
+
+def test_no_task_compares_a_passage_in_all_its_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(anchors, "HOT", 20)
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i % 90, " ".join(word() for _ in range(40)) + f" {passage} " + " ".join(word() for _ in range(40))) for i in range(120)]
+    plain = anchors.versioned(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    versions = {(r["doc_id"], r["text"]): r["version"] for r in plain.collect()}
+
+    def bounded(resolve):
+        def work(columns):
+            assert np.unique(columns["anchor"], return_counts=True)[1].max(initial=0) <= 20
+            return resolve(columns)
+        return work
+
+    def removed(unit, length, k, first, piece, resolve, bounds):
+        marked = anchors.repeated(plain, unit, length, k, first, piece, bounded(resolve), 48_000)
+        out = Counter()
+        for r in marked.collect():
+            gone = np.zeros(bounds(r["text"]), bool)
+            for s in r["spans"] or ():
+                gone[s["first"] : s["first"] + s["windows"] + length - 1] = True
+            out[r["doc_id"], len(gone), int(gone.sum())] += 1
+        return out
+
+    got = removed(substring_dedup.word_units, 35, 16, False, substring_dedup._piece, lambda c: substring_dedup.extended(c), lambda t: len(t.split()))
+    assert got == Counter(r[:3] for r in brute.substring_dedup(rows))
+    got = removed(bwt_dedup.byte_units, 100, 24, True, bwt_dedup._piece, lambda c: bwt_dedup.later_windows(c), len)
+    assert got == Counter(r[:3] for r in brute.suffix_dedup(rows, order=versions.get))
