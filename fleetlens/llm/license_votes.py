@@ -5,7 +5,10 @@ Each match votes for the diagonal document place minus template place, so a
 passage that follows a template puts its votes on one diagonal, or on
 neighbouring ones where words were added or left out.  Neighbouring diagonals
 are merged into spans, and a span counts when enough of the template's words
-stand in it in order.  Fixed phrases (the base) are found on their own.
+stand in it in order, with the words that set its license apart and none that
+name another one.  Of templates that meet in one span the one with the most
+words matched counts, then the one with the fewest others.  Fixed phrases (the
+base) are found on their own.
 
 Null and empty texts have no words, no labels and score 0.  Repeated rows get
 equal rows each.  Columns other than doc_id and text are not read.
@@ -48,6 +51,23 @@ TEMPLATES = (
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
+# Phrases that set a license apart, one of which must stand in a span if the template has any of them ...
+DEMANDED = {
+    "mit": ("mit",),
+    "apache-2": ("version 2", "license 2", "v 2", "v2", "apache 2"),
+    "gpl-3": ("version 3", "license 3", "v 3", "v3"),
+    "lgpl": ("lesser general",),
+    "mpl-2": ("v 2", "version 2", "license 2", "v2"),
+    "cc-by-nc": ("noncommercial", "non commercial", "by nc"),
+    "cc-by-sa": ("sharealike", "share alike", "by sa"),
+}
+# ... and phrases of other licenses, none of which may.
+_SA, _ND = ("sharealike", "share alike", "nc sa", "by sa"), ("noderivatives", "noderivs", "no derivatives", "no derivs", "by nd", "nc nd")
+_NC = ("noncommercial", "non commercial", "by nc")
+FORBIDDEN = {
+    "gpl-3": ("lesser general", "library general", "affero general"),
+    "cc-by": (*_NC, *_SA, *_ND), "cc-by-nc": (*_SA, *_ND), "cc-by-sa": (*_NC, *_ND),
+}
 K = 3  # words of a gram
 NEIGHBOURS = 2  # diagonals so far apart still belong together
 ENOUGH = 0.8  # share of a template's words that a span must have in order
@@ -72,6 +92,31 @@ def common_in_order(template: np.ndarray, span: np.ndarray) -> int:
     return int(row[-1])
 
 
+def has_any(words: np.ndarray, phrases: tuple[str, ...]) -> bool:
+    """Whether any of some phrases stands in the words."""
+    for phrase in phrases:
+        codes = codes_of(phrase).view(np.int64)
+        at = np.flatnonzero(words[: max(0, len(words) - len(codes) + 1)] == codes[0])
+        if any(np.array_equal(words[i : i + len(codes)], codes) for i in at.tolist()):
+            return True
+    return False
+
+
+def own_license(label: str, template: np.ndarray, span: np.ndarray) -> bool:
+    """Whether the span has what sets the template's license apart, and nothing of others."""
+    demanded = DEMANDED.get(label, ())
+    return (not has_any(template, demanded) or has_any(span, demanded)) and not has_any(span, FORBIDDEN.get(label, ()))
+
+
+def strongest(found: list[dict]) -> list[int]:
+    """Templates left when spans that overlap compete: most words matched, then fewest others."""
+    kept: list[dict] = []
+    for s in sorted(found, key=lambda s: (-s["matched"], s["others"], s["template"], s["low"])):
+        if all(s["high"] <= k["low"] or k["high"] <= s["low"] for k in kept):
+            kept.append(s)
+    return sorted({s["template"] for s in kept})
+
+
 def _scanner(templates, phrases, k: int):
     """Per document: words, base places and labels, gram matches that may be in a template, and the words around them."""
     grams = np.array([g for g, _, _ in template_grams(templates, k)], np.int64).view(np.uint64)
@@ -160,23 +205,30 @@ def spans(votes: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
 
 
 def verified(found: DataFrame, scanned: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """Spans with the share of their template's words that stand in them in order."""
+    """Spans with the words of their template that stand in them in order, their share, and whether they have what sets its license apart."""
     words = [codes_of(text).view(np.int64) for _, text in templates]
+    names = ["doc_id", "version", "template", "low", "high"]
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low, high, first = (batch.column(c).to_pylist() for c in ("low", "high", "first"))
-            out = []
+            matched, others, share, own = [], [], [], []
             for t, a, b, f, codes in zip(batch.column("template").to_pylist(), low, high, first, batch.column("codes").to_pylist()):
-                a = max(a - NEIGHBOURS, f)
-                out.append(common_in_order(words[t], np.array(codes[a - f : b + NEIGHBOURS - f], np.int64)) / len(words[t]))
-            kept = [batch.column(c) for c in ("doc_id", "version", "template", "low", "high")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.float64())], ["doc_id", "version", "template", "low", "high", "share"])
+                span = np.array(codes[max(a - NEIGHBOURS, f) - f : b + NEIGHBOURS - f], np.int64)
+                common = common_in_order(words[t], span)
+                matched.append(common)
+                others.append(len(words[t]) - common + max(0, b - a - common))
+                share.append(common / len(words[t]))
+                own.append(own_license(templates[t][0], words[t], span))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(matched, pa.int64()), pa.array(others, pa.int64()), pa.array(share, pa.float64()), pa.array(own, pa.bool_())],
+                [*names, "matched", "others", "share", "own"],
+            )
 
     regions = scanned.select(F.col("doc_id").alias("r_id"), F.col("version").alias("r_version"), F.explode("regions").alias("r")).distinct()
     same = found["doc_id"].eqNullSafe(regions["r_id"]) & (found["version"] == regions["r_version"]) & (found["region"] == F.col("r.region"))
     both = found.join(regions, same).select("doc_id", "version", "template", "low", "high", F.col("r.first").alias("first"), F.col("r.codes").alias("codes"))
-    return both.mapInArrow(shares, "doc_id bigint, version bigint, template int, low bigint, high bigint, share double")
+    return both.mapInArrow(shares, "doc_id bigint, version bigint, template int, low bigint, high bigint, matched bigint, others bigint, share double, own boolean")
 
 
 def license_labels(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, k: int = K, enough: float = ENOUGH) -> DataFrame:
@@ -187,11 +239,20 @@ def license_labels(docs: DataFrame, templates=TEMPLATES, phrases=BASE_PHRASES, k
     """
     scanned = cut(scan(docs, templates, phrases, k))
     checked = verified(spans(diagonals(scanned, templates, k)), scanned, templates)
-    names = F.array(*[F.lit(label) for label, _ in templates])
-    named = F.when(F.col("share") >= enough, F.element_at(names, F.col("template") + 1))
-    voted = checked.groupBy(F.col("doc_id").alias("v_id"), F.col("version").alias("v_version")).agg(
-        F.collect_set(named).alias("voted"), F.max("share").alias("share")
+    passing = F.when((F.col("share") >= enough) & F.col("own"), F.struct("template", "low", "high", "matched", "others"))
+    # The spans of one document: no more than its text has matches.
+    spanned = checked.groupBy(F.col("doc_id").alias("v_id"), F.col("version").alias("v_version")).agg(
+        F.collect_list(passing).alias("passing"), F.max("share").alias("share")
     )
+
+    def elected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            voted = [sorted({templates[t][0] for t in strongest(found)}) for found in batch.column("passing").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("v_id"), batch.column("v_version"), pa.array(voted, pa.list_(pa.string())), batch.column("share")], ["v_id", "v_version", "voted", "share"]
+            )
+
+    voted = spanned.mapInArrow(elected, "v_id bigint, v_version bigint, voted array<string>, share double")
     same = scanned["doc_id"].eqNullSafe(voted["v_id"]) & (scanned["version"] == voted["v_version"])
     joined = scanned.drop("matches", "regions").join(voted, same, "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("voted", F.array().cast("array<string>"))))

@@ -235,3 +235,20 @@ def test_pipeline_against_brute_force(spark, data_dir):
 
 def test_duckdb_reads_the_oracle(data_dir):
     assert duckdb.sql("SELECT 1").fetchall() and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_licenses_are_told_apart(spark):
+    notices = [(text, label) for label, text in license_votes.TEMPLATES]
+    gnu = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License"
+    creative = "This work is licensed under a Creative Commons Attribution{} International License."
+    notices += [
+        ("Licensed under CC BY 4.0", ""), ("Released under the Apache License", ""), ("released under the same license", ""),
+        (gnu.format("program", "General", 2), ""), (gnu.format("program", "General", 3), "gpl-3"), (gnu.format("program", "Affero General", 3), ""),
+        (gnu.format("library", "Lesser General", 3), "lgpl"), ("Licensed under the Apache License, Version 1.1.", ""), ("Licensed under the Apache License 2.0.", "apache-2"),
+        (creative.format("-NonCommercial-ShareAlike 4.0"), ""), (creative.format("-NoDerivatives 4.0"), ""), (creative.format(" 3.0"), "cc-by"),
+        ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", "apache-2,mit"),
+        (creative.format(" 4.0") + " " + creative.format("-NonCommercial 4.0"), "cc-by,cc-by-nc"),
+    ]
+    rows = [(i, text, "en") for i, (text, _) in enumerate(notices)]
+    found = {r["doc_id"]: r["labels"] for r in license_votes.license_labels(frame(spark, rows)).collect()}
+    assert [(text, found[i]) for i, (text, _) in enumerate(notices)] == notices
