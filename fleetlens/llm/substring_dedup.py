@@ -1,10 +1,10 @@
-"""Substring dedup: seeds are extended to repeated runs of words.
+"""Substring dedup: windows of words around equal seeds.
 
 Seeds are winnowed anchors: of the k-word runs in each window of 35 words the
-one with the smallest hash.  Documents meet on equal anchors.  From each anchor
-the match is extended word by word to the left and to the right; places that
-agree over enough words on both sides together hold a repeat.  All words of
-windows whose words also start elsewhere, in any document, are removed.
+one with the smallest hash.  Documents meet on equal anchors.  Each window
+around an anchor is its words to the left and to the right, compared by their
+hashes; places that agree on both sides hold a repeat.  All words of windows
+whose words also start elsewhere, in any document, are removed.
 
 Null and empty texts have no words.  Repeated rows (equal doc_id and text) are
 one document; rows that share only the doc_id are different documents.  Columns
