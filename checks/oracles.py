@@ -736,7 +736,7 @@ oracle("recent_evidence", """
            coalesce(task_name, 'Job ' || CAST(job_id AS VARCHAR)) AS task_name,
            coalesce(robot_name, 'Unmapped robot') AS robot_name, queue_status, calling_box_name, execution_seconds,
            subjob_run_count, subjob_success_count
-    FROM sq ORDER BY event_time DESC, queue_fact_id DESC LIMIT 100""", **PROJECT)
+    FROM sq""", **PROJECT)
 oracle("idle_causes", f"""
     SELECT robot_code AS robot_name, {', '.join(f'{big(f"sum({name})")} AS {name}' for name in
            ('no_task_seconds', 'waiting_seconds', 'charging_seconds', 'executing_seconds'))}
@@ -1054,14 +1054,14 @@ oracle("atomic_segments", """
 # -- rules over states derived from every event ---------------------------------
 
 STATES = {
-    "ev": "SELECT event_id AS i, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k, event_id % 19 = 0 AS stopped FROM events",
+    "ev": "SELECT event_id AS i, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k, event_id % 19 = 0 AS stopped, event_id % 23 = 0 AS unmetered FROM events",
     "sv": """
         SELECT i, i % 3 = 0 AS off,
                CASE WHEN stopped OR i % 13 > 3 THEN 'CURRENT'
                     ELSE ['DWS_REFRESH_TIMEOUT', 'DWS_SOURCE_LAG', 'SOURCE_TIMEOUT', 'MISSING'][i % 13 + 1] END AS gate,
-               CASE WHEN stopped THEN 200 ELSE i % 5 * 30 END AS st_age, CASE WHEN stopped THEN 201 ELSE i % 4 * 25 END AS wi_age,
+               CASE WHEN stopped THEN 200 WHEN unmetered THEN 0 ELSE i % 5 * 30 END AS st_age, CASE WHEN stopped THEN 201 ELSE i % 4 * 25 END AS wi_age,
                CASE WHEN stopped THEN 200 ELSE i % 6 * 20 END AS ba_age, stopped,
-               CASE WHEN stopped THEN -60 ELSE [0, -60, -80, NULL, NULL][i % 5 + 1] END AS lvl,
+               CASE WHEN stopped THEN -60 WHEN NOT unmetered THEN [0, -60, -80, NULL, NULL][i % 5 + 1] END AS lvl,
                50 + i % 3 * 60 AS n, i % 2 = 0 AS even, i % 7 = 0 OR i % 2 = 0 AS associated, i % 7 <> 1 AS wi_current,
                (k * 7 + i) % 101 <= 20 AS low, i % 4 = 0 AS charging, i % 17 = 0 AS err
         FROM ev""",

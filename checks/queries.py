@@ -835,8 +835,8 @@ def _states(t: DriverTables) -> DataFrame:
     def ago(minutes: Column) -> Column:
         return now - F.make_dt_interval(mins=minutes.cast("int"))
 
-    stopped = i % 19 == 0
-    level = F.when(stopped, -60).when(i % 5 == 0, 0).when(i % 5 == 1, -60).when(i % 5 == 2, -80)
+    stopped, unmetered = i % 19 == 0, i % 23 == 0
+    level = F.when(stopped, -60).when(unmetered, None).when(i % 5 == 0, 0).when(i % 5 == 1, -60).when(i % 5 == 2, -80)
     samples = 50 + (i % 3) * 60
     gate = F.when(stopped, V.CURRENT)
     for residue, name in enumerate((V.REFRESH_TIMEOUT, V.SOURCE_LAG, V.SOURCE_TIMEOUT, V.MISSING)):
@@ -845,7 +845,7 @@ def _states(t: DriverTables) -> DataFrame:
         i.cast("int").alias("master_robot_id"), F.concat(F.lit("R"), i.cast("string")).alias("robot_code"), F.lit("AMR").alias("robot_type"),
         gate.otherwise(V.CURRENT).alias("data_freshness_status"),
         F.when(i % 3 == 0, "OFFLINE").otherwise("ONLINE").alias("online_status"),
-        ago(F.when(stopped, 200).otherwise((i % 5) * 30)).alias("status_event_time"),
+        ago(F.when(stopped, 200).when(unmetered, 0).otherwise((i % 5) * 30)).alias("status_event_time"),
         ago(F.when(stopped, 201).otherwise((i % 4) * 25)).alias("latest_wifi_time"),
         ago(F.when(stopped, 200).otherwise((i % 6) * 20)).alias("battery_event_time"),
         level.cast("double").alias("current_rssi"), F.when(level.isNull(), 0).cast("double").alias("raw_current_rssi"),
