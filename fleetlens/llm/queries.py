@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import bpe, bwt_dedup, decontaminate, fill_middle, html_render, jaccard_rtree, language_codes, license_votes, quality_forest, substring_dedup, toxicity_fm
+from fleetlens.llm import bpe, bwt_dedup, decontaminate, fill_middle, html_render, jaccard_rtree, language_codes, license_votes, quality_forest, source_audit, substring_dedup, toxicity_fm
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,3 +135,42 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BI
     sha256(text) AS restored_sha256
 FROM p
 """
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), t AS (SELECT lang, source, id, unnest(terms) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 10),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS size, CAST(sum(n) AS HUGEINT) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (
+    SELECT g.lang, g.source, k.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n, CAST(k.n AS HUGEINT) AS n_lang
+    FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), s AS (SELECT lang, source, sum(n) AS total FROM w GROUP BY lang, source),
+p AS (
+    SELECT w.lang, w.source, w.term, w.n, 1 + (1000000000 * (w.n + 2)) // (s.total + 2 * v.size) AS p,
+        1 + (1000000000 * (w.n_lang + 2)) // (v.total + 2 * v.size) AS q
+    FROM w JOIN s ON w.lang = s.lang AND w.source = s.source JOIN v ON w.lang = v.lang
+), f AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pair AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), term AS (
+    SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+QUALIFY part = 'pair' OR rank <= 10
+"""
