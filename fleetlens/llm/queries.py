@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, bwt_dedup, decontaminate, fill_middle, html_render, jaccard_rtree, language_codes, license_votes, quality_forest, source_audit, substring_dedup, toxicity_fm
+from fleetlens.llm import bpe, bwt_dedup, decontaminate, fill_middle, html_render, jaccard_rtree, language_codes, license_votes, quality_forest, simhash_index, source_audit, substring_dedup, toxicity_fm
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -174,3 +175,9 @@ SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lan
 FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
 QUALIFY part = 'pair' OR rank <= 10
 """
+
+
+@query
+def op13_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_index.simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_index.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
