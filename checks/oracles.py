@@ -1047,6 +1047,21 @@ oracle("state_trend_5min", TREND, **timeline(SIX, 5))
 oracle("state_trend_15min", TREND, **timeline(MONTH, 15))
 oracle("state_trend_hour", TREND, **timeline(MONTH, 60))
 oracle("state_trend_day", TREND, **timeline(MONTH, 1440))
+THREE_DAYS = ("TIMESTAMP '2024-01-20 05:00:00'", "TIMESTAMP '2024-01-23 05:00:00'")
+oracle("stored_intervals", f"""
+    SELECT 'executing' AS kind, CAST(source_ods_row_id AS VARCHAR) AS id, robot_code, greatest(start_time, {THREE_DAYS[0]}) AS start_time,
+           least(end_time, {THREE_DAYS[1]}) AS end_time
+    FROM ex WHERE start_time < {THREE_DAYS[1]} AND end_time > {THREE_DAYS[0]}
+    UNION ALL
+    SELECT DISTINCT 'waiting', queue_id, robot_code, greatest(start_time, {THREE_DAYS[0]}), least(end_time, {THREE_DAYS[1]})
+    FROM ({WAITING.format(more=f"AND q.queue_start_time < {THREE_DAYS[1]} AND s.event_time > {THREE_DAYS[0]}")})""", **PAIRS)
+oracle("state_runs", """
+    SELECT robot_code, min(s) AS start_time, max(e) AS end_time, min(state) AS state FROM (
+        SELECT *, sum(opens) OVER (PARTITION BY robot_code ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM (
+            SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER (PARTITION BY robot_code ORDER BY s) THEN 1 ELSE 0 END AS opens
+            FROM (SELECT robot_code, s, e, CASE WHEN executing THEN 'executing' WHEN charging THEN 'charging' WHEN waiting THEN 'waiting'
+                                                WHEN observed THEN 'no_task' ELSE 'data_unavailable' END AS state FROM flag)))
+    GROUP BY robot_code, run""", **timeline(MONTH, 1440))
 oracle("atomic_segments", """
     SELECT robot_code, bucket_start, s AS start_time, e AS end_time, executing, charging, waiting, observed FROM flag""",
        **timeline(INNER, 60))

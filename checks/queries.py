@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,12 @@ from pyspark.sql import types as T
 from fleetlens.functions import scalar as S
 from fleetlens.functions import vocab as V
 from fleetlens.functions.time import WindowSpec, hours_before, trailing
-from fleetlens.operators import fleet, intervals, joins, rssi, rules, scan, scope, tasks, work
+from fleetlens.operators import fleet, intervals, joins, rssi, rules, scan, scope, tasks, timeline, work
 from fleetlens.plans import dashboard, project_analytics, robot_profile
 from fleetlens.sources import profile
+from fleetlens.session import checkpoint_dir
 from fleetlens.sources.driver_tables import DriverTables
+from fleetlens.sources.interval_store import IntervalStore
 
 AS_OF = datetime(2024, 1, 31)
 TIMEOUT = 1440
@@ -796,6 +799,25 @@ def atomic_segments(t):
     )
 
 
+THREE_DAYS = WindowSpec(datetime(2024, 1, 20, 5), datetime(2024, 1, 23, 5))
+
+
+@query
+def stored_intervals(t):
+    """Executions and waits of some days, from intervals stored by day in two steps."""
+    events, queue = t["operation_event"], t["event_queue"].withColumn("event_time", F.col("queue_start_time"))
+    store = IntervalStore(events.sparkSession, f"{checkpoint_dir(events.sparkSession).rstrip('/')}/intervals-{uuid.uuid4().hex}")
+    for upto in (date(2024, 1, 20), date(2024, 1, 31)):
+        store.advance(events, queue, upto)
+    ran = store.executing(THREE_DAYS).select(F.lit("executing").alias("kind"), F.col("source_ods_row_id").cast("string").alias("id"), "robot_code", "start_time", "end_time")
+    return ran.unionByName(store.waiting(THREE_DAYS).select(F.lit("waiting").alias("kind"), F.col("queue_id").alias("id"), "robot_code", "start_time", "end_time"))
+
+
+@query
+def state_runs(t):
+    return timeline.state_runs(intervals.active_robots(t["robot_dim"]), TELEMETRY, _interval_sets(t, TELEMETRY))
+
+
 def _trend(t, window, minutes):
     return intervals.state_trend_from_events(
         t["robot_dim"], t["operation_event"], t["battery_fact"], t["event_queue"], window, minutes, gap_seconds=GAP

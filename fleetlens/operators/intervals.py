@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.scalar import count_if, lower_trim, percent, upper_trim
 from ..functions.time import WindowSpec, bucket_start, in_window, lit_ts, seconds_between
+from . import timeline
 from .joins import clip, pair_events
 from .scan import DEFAULT_CHUNK_SECONDS, asof_after, with_neighbours, with_running_max
 
@@ -313,19 +314,28 @@ def attribute_states(segments: DataFrame, key: str = "robot_code") -> DataFrame:
     )
 
 
-def bucket_event_counts(events: DataFrame, minutes: int, window: WindowSpec, key: str = "robot_code") -> DataFrame:
-    """Task events per robot and bucket inside the window."""
+def _event_counts() -> list[Column]:
     succeeded = lower_trim("event_status") == V.JOB_END_SUCCESS
     counts = []
     for name, event_type in V.EVENT_TYPE_COUNTS.items():
         matches = F.col("event_type") == event_type
         counts.append(count_if(matches & succeeded if name == "task_completed_count" else matches).alias(name))
-    return (
-        in_window(events, "event_time", window)
-        .filter(F.col("event_type").isin(*V.EVENT_TYPE_COUNTS.values()))
-        .groupBy(key, bucket_start("event_time", minutes).alias("bucket_start"))
-        .agg(*counts)
-    )
+    return counts
+
+
+def _counted_events(events: DataFrame, window: WindowSpec) -> DataFrame:
+    return in_window(events, "event_time", window).filter(F.col("event_type").isin(*V.EVENT_TYPE_COUNTS.values()))
+
+
+def bucket_event_counts(events: DataFrame, minutes: int, window: WindowSpec, key: str = "robot_code") -> DataFrame:
+    """Task events per robot and bucket inside the window."""
+    return _counted_events(events, window).groupBy(key, bucket_start("event_time", minutes).alias("bucket_start")).agg(*_event_counts())
+
+
+def event_points(events: DataFrame, window: WindowSpec, key: str = "robot_code") -> DataFrame:
+    """Task events per robot and instant inside the window."""
+    kept = _counted_events(events, window).filter(F.col(key).isNotNull())
+    return kept.groupBy(key, F.col("event_time").alias("at")).agg(*_event_counts())
 
 
 def charging_samples(battery: DataFrame) -> DataFrame:
@@ -349,28 +359,39 @@ def active_robots(robot_dim: DataFrame, robots: Sequence[str] | None = None) ->
     return kept.select("robot_code", "robot_id")
 
 
+def chosen(df: DataFrame, robots: Sequence[str] | None) -> DataFrame:
+    """Rows of the chosen robots; of all if none are."""
+    return df.filter(F.col("robot_code").isin(*robots)) if robots else df
+
+
 def state_intervals(
     events: DataFrame, battery: DataFrame, queue: DataFrame, window: WindowSpec,
-    gap_seconds: int = V.BATTERY_MAX_GAP_SECONDS, merged: bool = True,
+    gap_seconds: int = V.BATTERY_MAX_GAP_SECONDS, merged: bool = True, robots: Sequence[str] | None = None, store=None,
 ) -> dict[str, DataFrame]:
     """The interval sets of a window, read from the event, battery and queue facts.
 
+    Without a ``store`` (an ``IntervalStore``) events and queue records of all
+    time before the window's end must be read, as an interval may have begun
+    whenever; with one, only the days of the window are.
+
     ``merged`` gives the fewest, longest intervals.  State seconds do not need
     that: the sweep counts how many intervals are active, so overlapping ones
     and sample-to-sample spans give the same states.
     """
-    executions = execution_events(events)
-    executing = pair_events(executions, window=window)
+    if store is not None:
+        executing, waiting = store.executing(window, robots), store.waiting(window, robots)
+    else:
+        executions = execution_events(events)
+        executing = chosen(pair_events(executions, window=window), robots)
+        starts = chosen(executions.filter(F.col("source_event_part") == V.EVENT_START), robots)
+        waiting = queue_to_first_start(queue, starts, window)
     lookback = WindowSpec(window.start - timedelta(seconds=gap_seconds), window.end)
-    samples = charging_samples(in_window(battery, "sample_time", lookback))
-    waiting = queue_to_first_start(
-        queue, executions.filter(F.col("source_event_part") == V.EVENT_START), window
-    )
+    samples = charging_samples(in_window(chosen(battery, robots), "sample_time", lookback))
     if merged:
         executing, waiting = (merge_intervals(rows, ["robot_code"]) for rows in (executing, waiting))
         observed = state_islands(samples, ["robot_code"], "sample_time", "is_charging", gap_seconds)
     else:
-        observed = sample_spans(samples, ["robot_code"], "sample_time", "is_charging", gap_seconds)
+        observed = timeline.near_spans(samples, "robot_code", "sample_time", "is_charging", gap_seconds)
     return {"executing": executing, "waiting": waiting, "observed": observed}
 
 
@@ -383,21 +404,23 @@ def state_trend_from_events(
     minutes: int | None = None,
     robots: Sequence[str] | None = None,
     gap_seconds: int = V.BATTERY_MAX_GAP_SECONDS,
+    store=None,
 ) -> DataFrame:
     """Exact state seconds and task events per active robot and bucket."""
     grain = minutes or window.grain
-    scope = active_robots(robot_dim, robots)
-    sets = state_intervals(events, battery, queue, window, gap_seconds, merged=False)
-    counts = bucket_event_counts(events, grain, window)
-    pieces, silent = sweep(scope, window, grain, sets, busy_buckets=counts)
-    names = list(V.EVENT_TYPE_COUNTS)
-    zero = F.lit(0).cast("long")
-    busy = attribute_states(pieces).join(counts, ["robot_code", "bucket_start"], "left").select(
-        "robot_code", "bucket_start", *STATE_COLUMNS, *[F.coalesce(name, zero).alias(name) for name in names]
-    )
-    # A silent bucket is one piece in one state, without events.
-    quiet = _timed(silent, "robot_code").select(
-        "robot_code", "bucket_start", *[_seconds_in(name).alias(f"{name}_seconds") for name in STATES],
-        *[zero.alias(name) for name in names],
-    )
-    return busy.unionByName(quiet).withColumnRenamed("bucket_start", "stat_hour")
+    sets = state_intervals(events, battery, queue, window, gap_seconds, merged=False, robots=robots, store=store)
+    return state_trend(active_robots(robot_dim, robots), chosen(events, robots), window, grain, sets)
+
+
+def state_trend(
+    scope: DataFrame, events: DataFrame, window: WindowSpec, minutes: int, sets: dict[str, DataFrame]
+) -> DataFrame:
+    """State seconds and task events per robot and bucket, from the interval sets of the window.
+
+    Events are cut points too, so one sweep gives both; chunks are whole buckets.
+    """
+    bucket_seconds = int(minutes) * 60
+    chunk_seconds = -(-DEFAULT_CHUNK_SECONDS // bucket_seconds) * bucket_seconds
+    counted = event_points(events, window)
+    pieces = timeline.state_pieces(scope, window, sets, chunk_seconds=chunk_seconds, counted=counted)
+    return timeline.fill_buckets(pieces, minutes, counts=list(V.EVENT_TYPE_COUNTS)).withColumnRenamed("bucket_start", "stat_hour")

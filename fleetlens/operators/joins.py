@@ -172,8 +172,8 @@ def pair_events(
     """START and END rows of one source row become an interval.
 
     One aggregate by source row replaces the self join.  A repeated END keeps
-    the latest, a repeated START the earliest reading.  With a window, only
-    overlapping intervals remain, clipped to it.
+    the latest, a repeated START the earliest reading and its robot.  With a
+    window, only overlapping intervals remain, clipped to it.
     """
     is_start, is_end = F.col(part_col) == start, F.col(part_col) == end
     if window is not None:
@@ -184,10 +184,10 @@ def pair_events(
         events.filter(is_start | is_end)
         .groupBy(*source_keys)
         .agg(
-            F.min(F.when(is_start, F.col(time_col))).alias("start_time"),
+            F.min(F.when(is_start, F.struct(F.col(time_col).alias("at"), F.col(robot_col).alias("robot")))).alias("_first"),
             F.max(F.when(is_end, F.col(time_col))).alias("end_time"),
-            F.min(F.when(is_start, F.col(robot_col))).alias(robot_col),
         )
+        .select(*source_keys, F.col("_first.at").alias("start_time"), "end_time", F.col("_first.robot").alias(robot_col))
         .filter(F.col("end_time") >= F.col("start_time"))
     )
     return clip(pairs, window) if window is not None else pairs

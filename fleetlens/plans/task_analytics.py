@@ -25,12 +25,13 @@ def latest_end(task_hourly: DataFrame) -> datetime | None:
 
 def task_analytics(
     tables, start: object = None, end: object = None, robots: object = None, exception_rows: int | None = None,
-    leaders: int = 10, chart_labels: int = 6, source: str | None = None, per_robot: bool = False,
+    leaders: int = 10, chart_labels: int = 6, source: str | None = None, per_robot: bool = False, store=None,
 ) -> Report:
     """Named results for a window of at most 30 days and an optional robot selection.
 
     ``source`` is "events" or "rollup" for the trends, see ``trends``;
-    ``per_robot`` splits the usage trend by robot.
+    ``per_robot`` splits the usage trend by robot; ``store`` is an ``IntervalStore``
+    that is up to date with the window, for trends from events.
     """
     anchor = latest_end(tables["task_hourly"])
     window = parse_window(start, end, anchor, TASK_WINDOW)
@@ -61,7 +62,7 @@ def task_analytics(
         ),
         "state_exceptions": tasks.state_exceptions(states, tables["battery_hourly"], exception_rows),
     }
-    report |= trends(tables, window, selected, chart_labels, source)
+    report |= trends(tables, window, selected, chart_labels, source, store)
     report["idle_trend"] = tasks.idle_minutes_trend(report["state_trend"])
     report["usage_trend"] = tasks.usage_minutes_trend(report["state_trend"], selected, per_robot)
     report["idle_split"] = tasks.idle_split(states)
@@ -69,7 +70,8 @@ def task_analytics(
 
 
 def trends(
-    tables, window: WindowSpec, selected: Sequence[str] = (), chart_labels: int = 6, source: str | None = None
+    tables, window: WindowSpec, selected: Sequence[str] = (), chart_labels: int = 6, source: str | None = None,
+    store=None,
 ) -> Report:
     """Trend results at the window's grain.
 
@@ -102,7 +104,7 @@ def trends(
         span = window
         state = intervals.state_trend_from_events(
             tables["robot_dim"], tables["operation_event"], tables["battery_fact"], tables["queue_fact"], window,
-            robots=selected,
+            robots=selected, store=store,
         )
         counted = state
         labelled = tasks.queue_labels(
