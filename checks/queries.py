@@ -815,7 +815,8 @@ def stored_intervals(t):
 
 @query
 def state_runs(t):
-    return timeline.state_runs(intervals.active_robots(t["robot_dim"]), TELEMETRY, _interval_sets(t, TELEMETRY))
+    sets = intervals.state_intervals(t["operation_event"], t["battery_fact"], t["event_queue"], TELEMETRY, GAP, merged=False)
+    return timeline.state_runs(intervals.active_robots(t["robot_dim"]), TELEMETRY, sets)
 
 
 def _trend(t, window, minutes):

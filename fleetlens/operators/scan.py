@@ -48,10 +48,6 @@ def _kept(df: DataFrame, keep_chunk: bool) -> list[str]:
     return [name for name in df.columns if name != CHUNK] + ([CHUNK] if keep_chunk else [])
 
 
-def _packed(columns: Mapping[str, ColumnOrName]) -> Column:
-    return F.struct(*[as_col(value).alias(name) for name, value in columns.items()])
-
-
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -71,37 +67,27 @@ def with_neighbours(
     following, preceding, key_max = following or {}, preceding or {}, key_max or {}
     rows = _chunked(df, keys, time, chunk_seconds)
 
-    edge_aggregates = [F.count(F.lit(1)).alias("_n")]
-    if following:
-        edge_aggregates.append(F.min_by(_packed(following), F.col(time)).alias("_first"))
-    if preceding:
-        edge_aggregates.append(F.max_by(_packed(preceding), F.col(time)).alias("_last"))
-    edge_aggregates += [F.max(as_col(value)).alias(f"_max_{name}") for name, value in key_max.items()]
+    # One aggregate per value: over fixed-width values each hashes, where a struct of them would be sorted.
     by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(time)
     whole_key = Window.partitionBy(*keys)
-    carried = []
-    if following:
-        carried.append(F.lead("_first").over(by_chunk).alias("_after"))
-    if preceding:
-        carried.append(F.lag("_last").over(by_chunk).alias("_before"))
+    edge_aggregates, carried, local, out = [], [], [], []
+    for side, columns, nearest, shift in (("next", following, F.min_by, F.lead), ("prev", preceding, F.max_by, F.lag)):
+        if not columns:
+            continue
+        local.append(shift(F.lit(True)).over(inside).alias(f"_{side}"))
+        for name, value in columns.items():
+            held = f"_{side}_{name}"
+            edge_aggregates.append(nearest(as_col(value), F.col(time)).alias(held))
+            carried.append(shift(held).over(by_chunk).alias(f"{held}_beyond"))
+            local.append(shift(as_col(value)).over(inside).alias(held))
+            out.append(F.when(F.col(f"_{side}"), F.col(held)).otherwise(F.col(f"{held}_beyond")).alias(name))
+    edge_aggregates += [F.max(as_col(value)).alias(f"_max_{name}") for name, value in key_max.items()]
     carried += [F.max(f"_max_{name}").over(whole_key).alias(name) for name in key_max]
-    edges = rows.groupBy(*keys, CHUNK).agg(*edge_aggregates).select(*keys, CHUNK, *carried)
-
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(time)
-    if following:
-        rows = rows.withColumn("_next", F.lead(_packed(following)).over(inside))
-    if preceding:
-        rows = rows.withColumn("_prev", F.lag(_packed(preceding)).over(inside))
-    joined = lookup(rows, edges, [*keys, CHUNK], "left", balanced=True)
-    out = [F.col(name) for name in _kept(df, keep_chunk)]
-    if following:
-        found = F.coalesce(F.col("_next"), F.col("_after"))
-        out += [found[name].alias(name) for name in following]
-    if preceding:
-        found = F.coalesce(F.col("_prev"), F.col("_before"))
-        out += [found[name].alias(name) for name in preceding]
     out += [F.col(name) for name in key_max]
-    return joined.select(*out)
+    edges = rows.groupBy(*keys, CHUNK).agg(*edge_aggregates).select(*keys, CHUNK, *carried)
+    joined = lookup(rows.select("*", *local), edges, [*keys, CHUNK], "left", balanced=True)
+    return joined.select(*_kept(df, keep_chunk), *out)
 
 
 def with_running_max(

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.time import WindowSpec, bucket_start, lit_ts, seconds_between
+from ..functions.time import WindowSpec, lit_ts, seconds_between
 from .joins import clip
 from .scan import CHUNK, DEFAULT_CHUNK_SECONDS, chunk_of
 
@@ -160,13 +160,16 @@ def fill_buckets(pieces: DataFrame, minutes: int, key: str = "robot_code", count
 
     Chunks are whole buckets, so the sums need no further shuffle.
     """
-    width = F.expr(f"INTERVAL {int(minutes)} MINUTES")
-    buckets = F.sequence(bucket_start("start_time", minutes), bucket_start(F.col("end_time") - F.expr(MICROSECOND), minutes), width)
-    parts = pieces.select("*", F.explode(buckets).alias("bucket_start"))
-    start, end = F.greatest("start_time", "bucket_start"), F.least(F.col("end_time"), F.col("bucket_start") + width)
-    seconds, zero = seconds_between(start, end), F.lit(0).cast("long")
-    starts_here = F.col("start_time") >= F.col("bucket_start")
-    return parts.groupBy(key, CHUNK, "bucket_start").agg(
-        *[F.sum(F.when(F.col("state") == code, seconds).otherwise(zero)).alias(f"{name}_seconds") for code, name in enumerate(STATES, 1)],
-        *[F.sum(F.when(starts_here, F.col(name)).otherwise(zero)).alias(name) for name in counts],
-    ).drop(CHUNK)
+    width = int(minutes) * 60
+    bucket = lambda at: at - F.pmod(at, F.lit(width).cast("long"))
+    opens, closes = F.unix_seconds("start_time"), F.unix_seconds("end_time")
+    # A piece that ends on a bucket's border, to the microsecond, does not reach into it.
+    reaches = F.unix_seconds(F.col("end_time") - F.expr(MICROSECOND))
+    placed = pieces.select(key, CHUNK, "state", *counts, opens.alias("_opens"), closes.alias("_closes"), F.explode(F.sequence(bucket(opens), bucket(reaches), F.lit(width).cast("long"))).alias("_bucket"))
+    seconds = F.least(F.col("_closes"), F.col("_bucket") + width) - F.greatest("_opens", "_bucket")
+    parts = placed.select(key, CHUNK, "_bucket", "state", seconds.alias("_s"), *[F.when(F.col("_opens") >= F.col("_bucket"), F.col(name)).alias(name) for name in counts])
+    zero = F.lit(0).cast("long")
+    return parts.groupBy(key, CHUNK, "_bucket").agg(
+        *[F.sum(F.when(F.col("state") == code, F.col("_s")).otherwise(zero)).alias(f"{name}_seconds") for code, name in enumerate(STATES, 1)],
+        *[F.coalesce(F.sum(name), zero).alias(name) for name in counts],
+    ).select(key, F.timestamp_seconds("_bucket").alias("bucket_start"), *[f"{name}_seconds" for name in STATES], *counts)
