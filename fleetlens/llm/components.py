@@ -13,8 +13,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
 
     Alternating star steps: every node hands its smallest neighbour to its
     larger neighbours, then its smaller neighbours to its smallest one, until
-    each component is a star.  Rows per node stay those of its edges; the
-    smallest node's rows are spread by the other end, never gathered.
+    each component is a star.  The smallest node then has a row per member; the
+    join that reads them streams, and adaptive execution splits it.
     """
     current = stored(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct()

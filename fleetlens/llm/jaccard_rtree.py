@@ -17,7 +17,7 @@ point its most central partner in each list, and a second one only the pairs
 that are not in one component yet.  No pair is left out of the components: each
 is verified, bounded away, or already connected.
 
-Links lie within components, so they are counted there: a component is dealt
+Links lie within components, so where they are to be counted, a component is dealt
 out in pairs of blocks of sets, and every pair of sets in them is bounded by the
 points or verified on the shingles.  A document's links are the different texts
 that are 80 % alike with its own; texts of equal sets link too, exact copies of
@@ -571,9 +571,13 @@ def grouped_documents(docs: DataFrame, percent: int = PERCENT, count_links: bool
     return found.join(labelled, "set", "left").select("doc_id", "version", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *n_links)
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, version, n_shingles, component_id and n_links (different texts that link with its own) of every document."""
-    return grouped_documents(docs, percent)
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
+    """doc_id, version, n_shingles, component_id of every document, and n_links (different texts that link with its own) if wanted.
+
+    Links lie within components, so counting them compares every two sets of a
+    component; its work and disk grow with the square of one.
+    """
+    return grouped_documents(docs, percent, count_links)
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -192,7 +192,7 @@ def test_every_link_of_a_dense_group_counts(spark, monkeypatch, block):
         for _ in range(rng.randint(0, 2)):
             w[rng.randrange(len(w))] = f"other{rng.randint(0, 5)}"
         rows += [(i, " ".join(w), "en"), (i + 100, " ".join(w).upper(), "en"), (i + 200, " ".join(w), "en")][: rng.randint(1, 3)]
-    got = jaccard_rtree.jaccard_components(frame(spark, rows))
+    got = jaccard_rtree.jaccard_components(frame(spark, rows), count_links=True)
     assert collected(got, "doc_id", "n_links") == brute_links(rows)
     assert collected(got, "doc_id", "n_shingles", "component_id") == Counter(brute.jaccard(pairs(rows)))
 
