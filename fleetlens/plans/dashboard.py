@@ -14,7 +14,7 @@ from ..functions.time import (
     WindowSpec, clamp_days, clamp_hours, clamp_int, days_before, grain_for, in_trailing, in_window, lit_ts,
     minutes_between, parse_wifi_window,
 )
-from ..operators import fleet, intervals, joins, rssi, rules, scope, work
+from ..operators import fleet, intervals, joins, recent, rssi, rules, scope, work
 from ..session import cut
 from ..sources import profile
 
@@ -24,14 +24,19 @@ ASSOCIATION_RULE = "RUNNING_ONLY_EXACT_TIMESTAMP"
 
 
 def _anchors(tables, bridge: DataFrame, robots: DataFrame) -> dict[str, object]:
-    """Newest reading of every source in scope, fetched as one row."""
+    """Newest reading of every source in scope, fetched as one row.
+
+    Tables stored by day are read from the newest day backwards.
+    """
     ids = robots.select(F.col("master_robot_id").alias("amr_id"))
 
     def newest(name: str, df: DataFrame, time: str, ref: DataFrame | None = bridge) -> DataFrame:
-        return scope.anchor(df, time, ref).select(F.col("anchor").alias(name))
+        kept = (lambda part: scope.in_scope(part, ref)) if ref is not None else None
+        return scope.anchor(recent.newest_part(df, time, kept), time, ref).select(F.col("anchor").alias(name))
 
     def newest_by_id(name: str, table: str, time: str) -> DataFrame:
-        per_robot = tables[table].groupBy("amr_id").agg(F.max(time).alias(time))
+        facts = recent.newest_part(tables[table], time, lambda part: joins.lookup(part, ids, ["amr_id"], "left_semi"))
+        per_robot = facts.groupBy("amr_id").agg(F.max(time).alias(time))
         return joins.lookup(per_robot, ids, ["amr_id"], "left_semi").agg(F.max(time).alias(name))
 
     return joins.one_row(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import is_active_flag
 from ..functions.time import clamp_days, clamp_hours, in_trailing, lit_ts
 from ..operators import joins, rssi, scope, work
+from ..operators.recent import newest_part
 
 Report = dict[str, DataFrame]
 SIGNAL_HOURS = 24  # samples are read for so long unless asked otherwise
@@ -50,12 +51,15 @@ def robot_profile(
     if not robot.take(1):
         raise RobotError("ROBOT_NOT_FOUND", "no active robot has this id")
     active = scope.robot_scope(master).select(F.col("master_robot_id").alias("amr_id"))
-    per_robot = tables["wifi_source"].groupBy("amr_id").agg(F.max("pc_timestamp").alias("t"))
+    signals_of = newest_part(
+        tables["wifi_source"], "pc_timestamp", lambda part: joins.lookup(part, active, ["amr_id"], "left_semi")
+    )
+    per_robot = signals_of.groupBy("amr_id").agg(F.max("pc_timestamp").alias("t"))
     anchors = joins.one_row(
-        tables["battery_hourly"].agg(F.max("stat_hour").alias("battery_anchor_time")),
-        tables["status_hourly"].agg(F.max("stat_hour").alias("status_anchor_time")),
+        newest_part(tables["battery_hourly"], "stat_hour").agg(F.max("stat_hour").alias("battery_anchor_time")),
+        newest_part(tables["status_hourly"], "stat_hour").agg(F.max("stat_hour").alias("status_anchor_time")),
         joins.lookup(per_robot, active, ["amr_id"], "left_semi").agg(F.max("t").alias("wifi_anchor_time")),
-        tables["job_daily"].agg(F.max("stat_date").alias("job_anchor_date")),
+        newest_part(tables["job_daily"], "stat_date").agg(F.max("stat_date").alias("job_anchor_date")),
     )
     found = anchors.first().asDict()
 

@@ -12,6 +12,7 @@ from ..functions.time import (
     TASK_WINDOW, TREND_WINDOW, WindowSpec, describe_grain, in_window, lit_ts, parse_window, snap_to_hours,
 )
 from ..operators import intervals, scope, tasks
+from ..operators.recent import newest_part
 
 Report = dict[str, DataFrame]
 ROLLUP_GRAIN = 60
@@ -19,7 +20,7 @@ ROLLUP_GRAIN = 60
 
 def latest_end(task_hourly: DataFrame) -> datetime | None:
     """End of the newest hour the rollup holds."""
-    newest = task_hourly.agg(F.max("stat_hour")).first()[0]
+    newest = newest_part(task_hourly, "stat_hour").agg(F.max("stat_hour")).first()[0]
     return newest + timedelta(hours=1) if newest else None
 
 

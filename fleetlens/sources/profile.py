@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.scalar import count_if, percent
-from ..functions.time import days_before, hours_before
+from ..functions.time import in_trailing
 from ..operators.joins import attach_dim, current_sources, lookup, one_row
+from ..operators.recent import newest_part, newest_time
 
 HEALTH_TABLES = ("status_hourly", "battery_hourly", "wifi_hourly")
 
@@ -62,8 +63,7 @@ def coverage_profile(
     df: DataFrame, conditions: Mapping[str, Column], time_col: str, days: int = 7, row_count: str = "row_count"
 ) -> DataFrame:
     """Rows meeting each condition, and the time span, over the trailing days of the source."""
-    newest = df.agg(F.max(time_col).alias("anchor")).scalar()
-    recent = df.filter((F.col(time_col) >= days_before(newest, days)) & (F.col(time_col) <= newest))
+    recent = in_trailing(df, time_col, newest_time(df, time_col), days, "DAYS", "both")
     return recent.agg(
         F.count(F.lit(1)).alias(row_count), *[count_if(condition).alias(name) for name, condition in conditions.items()],
         F.min(time_col).alias("first_time"), F.max(time_col).alias("last_time"),
@@ -85,8 +85,7 @@ def sample_share(
     samples: DataFrame, scope: DataFrame, hours: int = 24, above: int = V.BATTERY_SHARE_LEVEL
 ) -> DataFrame:
     """Share of battery samples above a level, by count, over the trailing hours."""
-    newest = samples.agg(F.max("pc_timestamp").alias("anchor")).scalar()
-    recent = samples.filter((F.col("pc_timestamp") >= hours_before(newest, hours)) & (F.col("pc_timestamp") <= newest))
+    recent = in_trailing(samples, "pc_timestamp", newest_time(samples, "pc_timestamp"), hours, "HOURS", "both")
     per_robot = recent.groupBy("amr_id").agg(
         F.count(F.lit(1)).alias("sample_count"), count_if(F.col("batt_level") > above).alias(f"above_{above}_sample_count"),
         F.min("pc_timestamp").alias("first_sample_time"), F.max("pc_timestamp").alias("last_sample_time"),
@@ -146,9 +145,8 @@ def watermark_anchors(sources: Mapping[str, DataFrame]) -> DataFrame:
 def readiness(tables, scope: DataFrame, days: int = 7) -> DataFrame:
     """One row of counts telling which analyses the sources can support."""
     queue = in_scope_by_code_or_id(tables["queue_fact"], scope)
-    newest = queue.agg(F.max("event_time").alias("queue_history_anchor_time"))
-    recent = (F.col("event_time") >= days_before(newest.scalar(), days)) & (F.col("event_time") <= newest.scalar())
-    queue_counts = queue.filter(recent).agg(
+    newest = newest_part(queue, "event_time").agg(F.max("event_time").alias("queue_history_anchor_time"))
+    queue_counts = in_trailing(queue, "event_time", newest.scalar(), days, "DAYS", "both").agg(
         F.count(F.lit(1)).alias("queue_row_count"), F.count("duration_seconds").alias("queue_duration_row_count")
     )
     subjobs = in_scope_by_code_or_id(tables["subjob_fact"], scope).agg(F.count(F.lit(1)).alias("subjob_row_count"))
