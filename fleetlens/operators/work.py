@@ -230,14 +230,20 @@ def _named(per_robot: DataFrame, scope: DataFrame, how: str = "inner") -> DataFr
     )
 
 
-def queue_wait(runs: DataFrame, queue_source: DataFrame, scope: DataFrame, over_s: int = V.LONG_QUEUE_SECONDS) -> DataFrame:
-    """Time from enqueueing to the linked execution start, per robot."""
+def queue_wait(
+    runs: DataFrame, queue_source: DataFrame, scope: DataFrame, over_s: int = V.LONG_QUEUE_SECONDS, co_located: bool = False
+) -> DataFrame:
+    """Time from enqueueing to the linked execution start, per robot.
+
+    ``co_located`` states that both facts lie in the same buckets of queue
+    records: they are joined bucket by bucket, without a shuffle.
+    """
     linked = lookup(
         runs.filter(F.col("queue_id").isNotNull() & F.col("start_time").isNotNull()).select(
             "amr_id", "queue_id", "start_time"
         ),
         queue_source.filter(F.col("enqueued_at").isNotNull()).select(F.col("id").alias("queue_id"), "enqueued_at"),
-        ["queue_id"], "inner",
+        ["queue_id"], "inner", balanced=co_located,
     ).filter(F.col("start_time") >= F.col("enqueued_at"))
     seconds = seconds_between("enqueued_at", "start_time")
     per_robot = linked.groupBy("amr_id").agg(

@@ -17,6 +17,7 @@ from ..functions.time import (
 from ..operators import fleet, intervals, joins, recent, rssi, rules, scope, work
 from ..session import cut
 from ..sources import profile
+from ..sources.tables import co_located
 
 Report = dict[str, DataFrame]
 RECENT_BATCHES = 10
@@ -181,7 +182,9 @@ def dashboard(
     coverage = keep(fleet.status_coverage(robots, bridge, in_hours("status_hourly", "status")))
     runs, truncated = task_runs(tables, robots, anchors["task"], days, task_sample_limit)
     timing = keep(work.task_timing(runs, tables["duration_limit"], robots, window_truncated=truncated))
-    waits = keep(work.queue_wait(runs, tables["queue_source"], robots))
+    waits = keep(work.queue_wait(
+        runs, tables["queue_source"], robots, co_located=co_located(tables, "task_run", "queue_source")
+    ))
     segments = keep(work.segment_durations(runs, tables["subjob"], tables["subjob_type"], robots))
     battery = keep(battery_share(tables, robots, anchors["battery_sample"], hours))
     ready = keep(profile.readiness(tables, robots, days))

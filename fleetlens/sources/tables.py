@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,6 +134,9 @@ PARTITION_TIME = {
     "status_hourly": "stat_hour", "battery_hourly": "stat_hour", "wifi_hourly": "stat_hour", "task_hourly": "stat_hour",
 }
 
+# Facts that are joined or grouped by one queue record, and the column that names it.
+BUCKET_KEY = {"task_run": "queue_id", "queue_source": "id", "task_run_raw": "queue_id"}
+
 Tables = Mapping[str, DataFrame]
 
 
@@ -162,9 +166,13 @@ def to_model(df: DataFrame, name: str) -> DataFrame:
 class WarehouseTables(dict):
     """Tables by model name, opened on first use."""
 
-    def __init__(self, opener, names: Iterable[str]):
+    def __init__(self, opener, names: Iterable[str], buckets=None):
         super().__init__()
-        self._opener, self.names = opener, tuple(names)
+        self._opener, self.names, self._buckets = opener, tuple(names), buckets
+
+    def buckets(self, name: str) -> tuple[str, int] | None:
+        """Column and number of the table's buckets, if it is stored in buckets by one column."""
+        return self._buckets(name) if self._buckets and name in self.names else None
 
     def __missing__(self, name: str) -> DataFrame:
         if name not in self.names:
@@ -184,7 +192,20 @@ def load_parquet(spark: SparkSession, base: str, names: Iterable[str] = tuple(SC
 def load_catalog(spark: SparkSession, database: str | None = None, names: Iterable[str] = tuple(SCHEMAS)) -> WarehouseTables:
     """Model tables registered in the session catalog."""
     prefix = f"{database}." if database else ""
-    return WarehouseTables(lambda name: to_model(spark.table(prefix + name), name), names)
+
+    def buckets(name: str) -> tuple[str, int] | None:
+        told = {row["col_name"]: row["data_type"] for row in spark.sql(f"DESCRIBE EXTENDED {prefix}{name}").collect()}
+        columns = re.findall(r"`([^`]+)`", told.get("Bucket Columns", ""))
+        return (columns[0], int(told["Num Buckets"])) if len(columns) == 1 else None
+
+    return WarehouseTables(lambda name: to_model(spark.table(prefix + name), name), names, buckets)
+
+
+def co_located(tables: Tables, one: str, other: str) -> bool:
+    """Whether two facts lie in equally many buckets of the same queue records, so that a join shuffles neither."""
+    spec = getattr(tables, "buckets", lambda name: None)
+    found = [spec(name) for name in (one, other)]
+    return all(found) and found[0][1] == found[1][1] and all(b[0] == BUCKET_KEY.get(n) for b, n in zip(found, (one, other)))
 
 
 def jdbc_options(
@@ -230,3 +251,18 @@ def write_model(df: DataFrame, base: str, name: str, key: str | None = None) ->
     order = [DAY_COLUMN, *([key] if key else []), time]
     dated = df.withColumn(DAY_COLUMN, F.to_date(time)).repartitionByRange(*order).sortWithinPartitions(*order)
     dated.write.mode("overwrite").partitionBy(DAY_COLUMN).parquet(path)
+
+
+def write_buckets(df: DataFrame, base: str, name: str, buckets: int, database: str | None = None) -> None:
+    """Store a fact by day and in buckets of its queue record, as a catalog table under ``base``.
+
+    Facts written with the same number of buckets are joined and grouped by
+    queue record without a shuffle.  Choose it so that a day's bucket makes a
+    file of some 128 MB; a day has one file for each bucket.
+    """
+    key, time = BUCKET_KEY[name], PARTITION_TIME.get(name)
+    dealt = df.withColumn(DAY_COLUMN, F.to_date(time)) if time else df
+    writer = dealt.repartition(buckets, key).write.mode("overwrite").option("path", f"{base.rstrip('/')}/{name}")
+    if time:
+        writer = writer.partitionBy(DAY_COLUMN)
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(f"{database}.{name}" if database else name)
