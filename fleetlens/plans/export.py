@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import vocab as V
 from ..functions.scalar import count_if, percent
-from ..operators import joins, scope
+from ..functions.time import lit_ts
+from ..operators import joins, rules, scope
 
 # Export column -> source column, in export order.
 STATUS_DISTRIBUTION = {"Status": "status_name", "Robot_Count": "robot_count"}
@@ -114,6 +116,7 @@ MAP = {
     "Alarm_Reason": "error_message", "Current_Position": "station_code", "Target_Position": "target_station_code",
     "Data_Time": "source_event_time",
 }
+IDENTITY_RULE = "Robots are named through the robot id of their queue records; robot codes of the records are not shown"
 NO_QUEUE_CAUSE = "Not captured by the source queue table"
 NO_JOB_CAUSE = "Not captured by the source job history table"
 
@@ -180,13 +183,21 @@ def _job_trend(report: Report) -> DataFrame:
     return _renamed(report["job_trend"], JOB_TREND, percent("completed_status_count", finished).alias("Success_Rate_Percent"))
 
 
+def _moment(at: datetime | None) -> Column:
+    return lit_ts(at) if at else S.typed_null("timestamp")
+
+
 @_export("analysis")
-def _analysis(report: Report) -> DataFrame:
-    return _renamed(report["diagnostics"], DIAGNOSTICS, F.lit(V.RULE_VERSION).alias("Rule_Version"))
+def _analysis(report: Report, generated_at: datetime | None = None) -> DataFrame:
+    return _renamed(
+        report["diagnostics"], DIAGNOSTICS, F.lit(V.RULE_VERSION).alias("Rule_Version"), _moment(generated_at).alias("Analysis_Generated_At")
+    )
 
 
 @_export("project-analytics")
-def _project(report: Report, projects: object = None, jobs: object = None, display_robots: object = None) -> DataFrame:
+def _project(
+    report: Report, projects: object = None, jobs: object = None, display_robots: object = None, identity_rule: str = IDENTITY_RULE
+) -> DataFrame:
     def listed(values: object, otherwise: str) -> Column:
         return F.lit(",".join(scope.parse_list(values)) or otherwise)
 
@@ -196,7 +207,7 @@ def _project(report: Report, projects: object = None, jobs: object = None, displ
         bounds["analysis_end"].alias("Analysis_End"), listed(projects, "ALL").alias("Selected_Projects"),
         listed(jobs, "ALL").alias("Selected_Jobs"), listed(display_robots, "ALL_DERIVED").alias("Display_Robots"),
         F.lit("Project -> Task -> Robot").alias("Navigation_Axis"),
-        F.lit("DERIVED_FROM_SELECTED_WORK").alias("Robot_Scope"),
+        F.lit("DERIVED_FROM_SELECTED_WORK").alias("Robot_Scope"), F.lit(identity_rule).alias("Identity_Rule"),
     )
 
 
@@ -290,9 +301,10 @@ def _overview_robots(report: Report) -> DataFrame:
 
 @_export("overview")
 def _overview(
-    report: Report, window_label: str = "", robot_type: str = V.ALL_ROBOT_TYPES, ids_in_cell: int = 500
+    report: Report, window_label: str = "", robot_type: str = V.ALL_ROBOT_TYPES, ids_in_cell: int | None = None,
+    generated_at: datetime | None = None,
 ) -> DataFrame:
-    """One row; a cell shows the first ``ids_in_cell`` names, ``overview-robots`` has them all."""
+    """One row; a cell lists all names, or the first ``ids_in_cell``; ``overview-robots`` has them as rows."""
     jobs = report["job_trend"].agg(
         F.coalesce(F.sum("completed_status_count"), F.lit(0)).alias("Completed_Task_States"),
         F.coalesce(F.sum("failed_status_count"), F.lit(0)).alias("Failed_Task_States"),
@@ -302,9 +314,13 @@ def _overview(
         percent("Completed_Task_States", F.col("Completed_Task_States") + F.col("Failed_Task_States")),
     )
     robots = _listed_robots(report)
+
+    def shown(named: DataFrame) -> DataFrame:
+        return named if ids_in_cell is None else named.orderBy("_name").limit(ids_in_cell)
+
     alerts = robots.agg(count_if(F.col("_alert")).alias("Alert_Robots"))
     lists = [
-        robots.filter(condition).orderBy("_name").limit(ids_in_cell).agg(F.array_join(F.array_sort(F.collect_list("_name")), ", ").alias(name))
+        shown(robots.filter(condition)).agg(F.array_join(F.array_sort(F.collect_list("_name")), ", ").alias(name))
         for name, condition in _id_lists().items()
     ]
     names = {
@@ -318,7 +334,7 @@ def _overview(
     label = "All Robots" if robot_type == V.ALL_ROBOT_TYPES else robot_type
     row = joins.one_row(_renamed(report["summary"], names), alerts, *lists, jobs)
     return row.select(
-        F.lit(label).alias("Robot_Type_Filter"), F.lit(window_label).alias("Analysis_Window"), *[row[c] for c in row.columns]
+        F.lit(label).alias("Robot_Type_Filter"), F.lit(window_label).alias("Analysis_Window"), _moment(generated_at).alias("Dashboard_Generated_At"), *[row[c] for c in row.columns]
     )
 
 

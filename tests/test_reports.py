@@ -199,6 +199,47 @@ def test_json_keeps_nulls_and_lists(spark, tmp_path):
         assert json.loads(handle.read()) == {"t": "x", "gap": None, "l": ["a"]}
 
 
+def test_csv_file_in_one_piece(spark, tmp_path):
+    data = [(i, 'say "hi", twice\r\nbye' if i % 3 else None, ["a", "b"]) for i in range(500)]
+    df = spark.createDataFrame(data, "`N, o` int, Text string, List array<string>").repartition(7).orderBy("`N, o`")
+    path = tmp_path / "out.csv"
+    sinks.write_csv_file(df, str(path))
+    raw = path.read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbf\"N, o\",Text,List\r\n") and raw.endswith(b"\r\n")
+    with open(path, newline="", encoding="utf-8-sig") as handle:
+        assert list(csv.reader(handle)) == [["N, o", "Text", "List"]] + [[str(n), text or "", "a; b"] for n, text, _ in data]
+    sinks.write_csv_file(df.limit(0), str(path), byte_order_mark=False, line_end="\n")
+    assert path.read_bytes() == b'"N, o",Text,List\n' and [p.name for p in tmp_path.iterdir() if "parts" in p.name] == []
+
+
+def test_document_with_its_envelope(spark, tmp_path):
+    df = spark.createDataFrame([(i, None, ["a"]) for i in range(300)], "n int, gap string, l array<string>").repartition(5).orderBy("n")
+    report = {"summary": spark.createDataFrame([(1, None)], "a int, b string"), "rows": df, "none": df.limit(0), "status": df.limit(0)}
+    path = tmp_path / "report.json"
+    head = sinks.report_head(AS_OF, "AMR", {"key": "24h", "label": "24 hours"}, 'quoted "note"')
+    sinks.write_document(report, str(path), head, single=("summary", "status"))
+    found = json.loads(path.read_text())
+    assert list(found) == ["exportedAt", "selectedRobotType", "selectedWindow", "sourceNote", "dashboard"]
+    assert found["selectedWindow"] == {"key": "24h", "label": "24 hours"} and found["exportedAt"] == AS_OF.isoformat()
+    assert found["dashboard"] == {
+        "summary": {"a": 1, "b": None}, "rows": [{"n": i, "gap": None, "l": ["a"]} for i in range(300)], "none": [], "status": None,
+    }
+
+
+def test_a_document_that_fails_leaves_nothing(spark, tmp_path):
+    broken = spark.range(3).select(sinks.F.raise_error(sinks.F.lit("broken")).cast("string").alias("x"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_document({"rows": broken}, str(tmp_path / "report.json"), {})
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == []
+
+
+def test_exports_say_when_they_were_made(board, project):
+    made = datetime(2026, 7, 1, 8)
+    assert {r["Analysis_Generated_At"] for r in rows(export_dataset(board, "analysis", generated_at=made))} <= {made}
+    assert one(export_dataset(board, "overview", generated_at=made))["Dashboard_Generated_At"] == made
+    assert "Identity_Rule" in export_dataset(project, "project-analytics").columns
+
+
 def test_model_tables_roundtrip(spark, tables, tmp_path):
     base = str(tmp_path / "model")
     written = {name: tables[name] for name in ("robot_dim", "operation_event", "battery_fact")}
