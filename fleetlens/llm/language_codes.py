@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm import textblocks as B
+from fleetlens.llm.samples import one_of_each
 
 GRAM_BUCKETS = 4096
 ROWS_PER_LANGUAGE = 1000  # labelled rows that the classifiers are fitted on
@@ -125,7 +126,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
-    """Fit on a bounded number of labelled documents of every language, picked by a hash of their id."""
+    """Fit on a bounded number of labelled documents of every language, picked by a hash of their id, one row of each."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # The model holds a codeword for each language, so their counts are small.
     sizes = usable.groupBy(F.col("lang").cast("string").alias("lang")).count().collect()
@@ -136,13 +137,13 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Langua
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
     picked = (
         usable.where(place < F.try_element_at(bound, F.col("lang").cast("string"))).where(F.col("text").rlike(r"\p{L}"))
-        .select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), place.alias("place"))
+        .select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), place.alias("place")).distinct()
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows_per_language).select("doc_id", "lang")
     )
     chosen = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string")).join(
-        F.broadcast(picked.distinct()), ["doc_id", "lang"]
+        F.broadcast(picked), ["doc_id", "lang"]
     )
-    found = chosen.where(F.col("text").rlike(r"\p{L}")).mapInArrow(_profiles, "doc_id bigint, lang string, profile binary").toPandas().sort_values(["doc_id", "lang", "profile"])
+    found = one_of_each(chosen.where(F.col("text").rlike(r"\p{L}")), "doc_id", "lang").mapInArrow(_profiles, "doc_id bigint, lang string, profile binary").toPandas().sort_values(["doc_id", "lang", "profile"])
     profiles = np.frombuffer(b"".join(found["profile"]), np.float16).reshape(-1, GRAM_BUCKETS).astype(np.float32)
     return fit(profiles, found["lang"].to_numpy(str) if len(found) else np.zeros(0, str))
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm import textblocks as B
+from fleetlens.llm.samples import one_of_each
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
@@ -100,13 +101,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """doc_id, text and toxic of a bounded sample by hash; an id labelled both ways counts as toxic."""
+    """doc_id, text and toxic of ``rows`` rows at most, by a hash of the id, one row of each.
+
+    An id labelled both ways counts as toxic.
+    """
     picked = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
     )
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
+    chosen = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
+    return one_of_each(chosen, "doc_id")
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
