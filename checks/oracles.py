@@ -5,9 +5,11 @@ from __future__ import annotations
 from .sql_tables import with_tables
 
 ORACLES: dict[str, str] = {}
+BODIES: dict[str, str] = {}
 
 
 def oracle(name: str, sql: str, **ctes: str) -> None:
+    BODIES[name] = sql
     ORACLES[name] = with_tables(sql, ctes)
 
 
@@ -1138,3 +1140,35 @@ oracle("daily_totals_as_is", f"""
     ('job_count', 'distinct_job_count', 'completed_status_count', 'failed_status_count'))}
     FROM job_daily GROUP BY 1""")
 oracle("recent_tasks", "SELECT id, amr_id, start_time, end_time FROM task_run ORDER BY id DESC LIMIT 20")
+
+# Results of the project report: the statements of its operators over the window and the chosen projects.
+REPORT_DAYS = ("TIMESTAMP '1997-03-01 00:00:00'", "TIMESTAMP '1997-05-15 00:00:00'")
+REPORT_ALL = {
+    "exe": PROJECT["exe"].replace("FROM task_run", f"FROM task_run WHERE start_time >= {REPORT_DAYS[0]} AND start_time < {REPORT_DAYS[1]}"),
+    "sq": PROJECT["sq"] + f" WHERE q.event_time >= {REPORT_DAYS[0]} AND q.event_time < {REPORT_DAYS[1]}",
+}
+REPORT_CHOSEN = {"exe": REPORT_ALL["exe"], "every": REPORT_ALL["sq"], "sq": "SELECT * FROM every WHERE project_id IN (1, 2, 3)"}
+oracle("project_report_projects", BODIES["project_list"], **REPORT_ALL)
+for result, body in (
+    ("tasks", "task_list"), ("robots", "robot_breakdown"), ("trend", "project_trend"), ("outcomes", "outcome_breakdown"),
+    ("recent", "recent_evidence"), ("displayed_totals", "completion_totals"),
+):
+    oracle(f"project_report_{result}", BODIES[body], **REPORT_CHOSEN)
+oracle("project_report_export", f"""
+    SELECT project_name AS "Project", task_name AS "Task", queue_count AS "Task_Records", 'ALL' AS "Selected_Jobs", '1,2,3' AS "Selected_Projects",
+           execution_seconds AS "Execution_Seconds", latest_event_time AS "Latest_Record", {REPORT_DAYS[0]} AS "Analysis_Start",
+           {REPORT_DAYS[1]} AS "Analysis_End" FROM ({BODIES["task_list"]})""", **REPORT_CHOSEN)
+
+# Results of the task report over whole days of the hourly rollup.
+IN_REPORT = "stat_hour >= TIMESTAMP '2024-01-05 00:00:00' AND stat_hour < TIMESTAMP '2024-01-25 00:00:00'"
+oracle("task_report_state_trend", f"""
+    SELECT time_bucket(INTERVAL '1 day', stat_hour) AS stat_hour, robot_code, {SUMS} FROM task_hourly WHERE {IN_REPORT} GROUP BY 1, 2""")
+oracle("task_report_usage", f"""
+    SELECT time_bucket(INTERVAL '1 day', stat_hour) AS stat_hour, robot_code AS series,
+           CAST(sum(executing_seconds) AS DOUBLE) / 60 AS executing_minutes
+    FROM task_hourly WHERE {IN_REPORT} AND robot_code IN ('3', '5', '8') GROUP BY 1, 2""")
+oracle("task_report_coverage", BODIES["state_coverage_quality"], summ=SUMMARY["summ"].replace("FROM task_hourly", f"FROM task_hourly WHERE {IN_REPORT}").replace(
+    "FROM assigned_task_hourly", f"FROM assigned_task_hourly WHERE {IN_REPORT}"))
+oracle("profile_status_hours", """
+    SELECT stat_hour, sample_count, online_sample_count, error_sample_count, first_status_time, last_status_time FROM status_hourly
+    WHERE robot_code = '7' AND stat_hour >= (SELECT max(stat_hour) FROM status_hourly) - INTERVAL 719 HOUR""")

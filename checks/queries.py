@@ -14,7 +14,7 @@ from fleetlens.functions import scalar as S
 from fleetlens.functions import vocab as V
 from fleetlens.functions.time import WindowSpec, hours_before, trailing
 from fleetlens.operators import fleet, intervals, joins, rssi, rules, scan, scope, tasks, timeline, work
-from fleetlens.plans import dashboard, project_analytics, robot_profile
+from fleetlens.plans import dashboard, export, project_analytics, robot_profile, task_analytics
 from fleetlens.sources import profile
 from fleetlens.session import checkpoint_dir
 from fleetlens.sources.driver_tables import DriverTables
@@ -936,3 +936,52 @@ def daily_totals_as_is(t):
 def recent_tasks(t):
     """Newest task runs of the readiness report."""
     return profile.latest_rows(t["task_run"], ["id"], 20).select("id", "amr_id", "start_time", "end_time")
+
+
+def _project_report(t: DriverTables):
+    return project_analytics.project_analytics(
+        t, "1997-03-01T00:00", "1997-05-15T00:00", projects="1,2,3", as_of=AS_OF, materialize=None
+    )
+
+
+def _report_result(result: str) -> None:
+    def read(t: DriverTables) -> DataFrame:
+        return _project_report(t)[result]
+
+    QUERIES[f"project_report_{result}"] = read
+
+
+for _result in ("projects", "tasks", "robots", "trend", "outcomes", "recent", "displayed_totals"):
+    _report_result(_result)
+
+
+@query
+def project_report_export(t):
+    rows = export.export_dataset(_project_report(t), "project-analytics", projects="1,2,3")
+    return rows.select(
+        "Project", "Task", "Task_Records", "Selected_Jobs", "Selected_Projects", "Execution_Seconds", "Latest_Record", "Analysis_Start", "Analysis_End"
+    )
+
+
+def _task_report(t: DriverTables, robots=None):
+    return task_analytics.task_analytics(t, "2024-01-05T00:00", "2024-01-25T00:00", robots, per_robot=True)
+
+
+@query
+def task_report_state_trend(t):
+    return _task_report(t)["state_trend"]
+
+
+@query
+def task_report_usage(t):
+    return _task_report(t, "3,5,8")["usage_trend"]
+
+
+@query
+def task_report_coverage(t):
+    return _task_report(t)["coverage_quality"]
+
+
+@query
+def profile_status_hours(t):
+    return robot_profile.robot_profile(t, 7, AS_OF, hours=720, days=90)["status_trend"].drop("avg_speed_mps", "max_speed_mps")

@@ -39,14 +39,15 @@ def project_analytics(
         tables["queue_fact"], tables["task_run_raw"], tables["project"], tables["task_dim"], tables["robot_master"],
         window, case_insensitive=case_insensitive,
     )
-    if materialize:
-        scoped = materialize(scoped)
+    # The records are as many as the facts; what all other results read is one row per combination.
     cells = work.queue_cells(scoped)
+    if materialize:
+        cells = materialize(cells)
     selected = work.select_work(cells, wanted_projects, wanted_jobs)
     evidence = work.select_work(scoped, wanted_projects, wanted_jobs)
     robot_rows = work.robot_breakdown(selected)
     hours = snap_to_hours(window)
-    idle = work.idle_causes(in_window(tables["task_hourly"], "stat_hour", hours), evidence)
+    idle = work.idle_causes(in_window(tables["task_hourly"], "stat_hour", hours), selected)
     shown_rows = scope.in_or_all(robot_rows, "robot_name", shown)
     summary = work.project_summary(selected).select(
         lit_ts(window.start).alias("analysis_start"), lit_ts(window.end).alias("analysis_end"),
