@@ -523,16 +523,18 @@ ASSESSMENT = {name: ASSESSMENT[name] for name in sorted(
     ASSESSMENT, key=lambda name: (name in ("workload", "grp"), name == "grp"))}
 oracle("fleet_assessment", f"""
     SELECT CASE WHEN crit > 0 THEN 'CRITICAL' WHEN n > 0 OR conc > 0 THEN 'WARNING' ELSE 'HEALTHY' END AS severity,
-           CASE WHEN cov < total THEN 'LIMITED' ELSE 'SUPPORTED' END AS confidence,
-           CASE WHEN cov = total THEN 'HEALTHY' ELSE 'WARNING' END AS data_quality_severity,
+           CASE WHEN cov < total OR unresolved > 0 THEN 'LIMITED' ELSE 'SUPPORTED' END AS confidence,
+           CASE WHEN cov = total AND unmeasured = 0 THEN 'HEALTHY' ELSE 'WARNING' END AS data_quality_severity,
            {percent('cov', 'total', 1)} AS status_coverage_percent, n AS diagnostic_count, crit AS critical_count,
-           CAST(0 AS BIGINT) AS rssi_measurement_unavailable_robot_count,
-           CAST(0 AS BIGINT) AS unresolved_disconnect_count, cov AS status_coverage_robot_count,
+           unmeasured AS rssi_measurement_unavailable_robot_count, unresolved AS unresolved_disconnect_count, cov AS status_coverage_robot_count,
            total AS total_robot_count, nm AS not_measurable_count,
            CASE WHEN conc > 0 THEN 'WARNING' WHEN z > 0 THEN 'WATCH' ELSE 'HEALTHY' END AS workload_severity,
            CASE WHEN conc = 0 THEN 'NO_SEVERE_CONCENTRATION' WHEN z > 0 THEN 'CAPACITY_EVIDENCE_LIMITED'
                 ELSE 'UNRESOLVED' END AS cause_status
     FROM (SELECT (SELECT count(*) FROM rated) AS n, (SELECT count(*) FROM rated WHERE severity = 'CRITICAL') AS crit,
+                 (SELECT count(*) FROM rated WHERE rule_id = 'WIFI_RSSI_MEASUREMENT_UNAVAILABLE') AS unmeasured,
+                 (SELECT count(*) FROM rated WHERE rule_id IN ('DISCONNECT_EVIDENCE_STALE', 'SOURCE_TELEMETRY_ALL_TOPICS_STOPPED'))
+                   AS unresolved,
                  (SELECT c FROM covered) AS cov, (SELECT count(*) FROM scope) AS total,
                  (SELECT count(*) FROM grp WHERE total_assigned_tasks > 0 AND top_robot_share_percent >= 60
                     AND robot_count >= 3) AS conc,
@@ -1071,7 +1073,7 @@ oracle("atomic_segments", """
 # -- rules over states derived from every event ---------------------------------
 
 STATES = {
-    "ev": "SELECT event_id AS i, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k, event_id % 19 = 0 AS stopped, event_id % 23 = 0 AS unmetered FROM events",
+    "varied": "SELECT event_id AS i, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k, event_id % 19 = 0 AS stopped, event_id % 23 = 0 AS unmetered FROM events",
     "sv": """
         SELECT i, i % 3 = 0 AS off,
                CASE WHEN stopped OR i % 13 > 3 THEN 'CURRENT'
@@ -1081,7 +1083,7 @@ STATES = {
                CASE WHEN stopped THEN -60 WHEN NOT unmetered THEN [0, -60, -80, NULL, NULL][i % 5 + 1] END AS lvl,
                50 + i % 3 * 60 AS n, i % 2 = 0 AS even, i % 7 = 0 OR i % 2 = 0 AS associated, i % 7 <> 1 AS wi_current,
                (k * 7 + i) % 101 <= 20 AS low, i % 4 = 0 AS charging, i % 17 = 0 AS err
-        FROM ev""",
+        FROM varied""",
     "judged": """
         SELECT *, off OR st_age > 60 AS gone, wi_age <= 60 AND lvl = 0 AS w0, wi_age <= 60 AND lvl < 0 AS wok,
                lvl IS NULL AND associated AND n >= 100 AND even AS unmeasured
@@ -1112,6 +1114,28 @@ oracle("alert_causes_every_kind", """
     UNION ALL SELECT 'R' || i, 'LOW_BATTERY', 'low-battery' FROM judged WHERE low
     UNION ALL SELECT 'R' || i, 'NO_SIGNAL', 'no-signal' FROM judged WHERE lvl = 0 AND (off OR st_age > 60)
     UNION ALL SELECT 'R' || i, 'RSSI_MEASUREMENT_UNAVAILABLE', 'data-quality' FROM judged WHERE wi_current AND unmeasured""", **STATES)
+oracle("fleet_assessment_every_rule", BODIES["fleet_assessment"].replace("FROM rated", "FROM stated"), **ASSESSMENT, **STATES, stated=BODIES["robot_diagnosis_every_rule"])
+VARIED = {
+    "robot": """
+        SELECT event_id AS i, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k, event_id % 5 <> 0 AND event_id % 7 <> 0 AS seen,
+               event_id % 4 = 0 AS charging, event_id % 17 = 0 AS err, ['AMR', 'AMB', 'OTHER'][event_id % 3 + 1] AS robot_type
+        FROM events""",
+    "load": """
+        SELECT *, CAST(CASE WHEN robot_type = 'AMR' THEN CASE WHEN i % 2 = 0 THEN 0 ELSE 10 + k END WHEN i = 1 THEN 1000000000
+                            WHEN robot_type = 'AMB' THEN i % 2 ELSE 0 END AS BIGINT) AS n FROM robot""",
+    "kinds": "SELECT robot_type, sum(n) AS total, max(n) AS most, count(*) AS robots FROM load GROUP BY 1",
+}
+oracle("workload_every_class", """
+    SELECT 'R' || i AS robot_id, robot_type, n AS assigned_task_count,
+           CASE WHEN total = 0 THEN 'NO_DATA' WHEN n = 0 AND NOT seen THEN 'TELEMETRY_UNAVAILABLE'
+                WHEN n = 0 AND charging THEN 'CURRENTLY_CHARGING_NO_TASK' WHEN n = 0 AND err THEN 'CURRENT_ERROR_NO_TASK'
+                WHEN n = 0 THEN 'OBSERVED_IDLE_OR_INELIGIBLE'
+                WHEN 100 * most >= 60 * total AND robots >= 3 AND n = most THEN 'CONCENTRATED' ELSE 'BALANCED' END AS classification
+    FROM load JOIN kinds USING (robot_type)""", **VARIED)
+oracle("exception_every_type", """
+    SELECT event_id, CASE WHEN event_id % 2 <> 0 THEN 'PARTIAL_STATE_COVERAGE_GAP' WHEN event_id % 3 <> 0 THEN 'FULL_STATE_COVERAGE_GAP_UNRESOLVED'
+                          WHEN event_id % 5 = 0 THEN 'FULL_NO_BATTERY_OR_TASK_EVIDENCE' ELSE 'FULL_TASK_EVENT_WITHOUT_BATTERY_EVIDENCE' END
+               AS exception_type FROM events""")
 oracle("asof_before_null_keys", """
     SELECT event_id, key, ts, seen AS prior FROM (
         SELECT l.event_id, l.key, l.ts, r.seen, row_number() OVER (PARTITION BY l.event_id ORDER BY r.seen_at DESC NULLS LAST) AS n

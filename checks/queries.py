@@ -892,6 +892,46 @@ def alert_causes_every_kind(t):
     return rules.alert_causes(_states(t), AS_OF, RULE_LIMIT).select("robot_id", "code", "type")
 
 
+@query
+def fleet_assessment_every_rule(t):
+    """The fleet's assessment where every robot rule has fired."""
+    robots, states = _fleet(t), _states(t)
+    gaps = rules.measurement_gaps(profile.readiness(t, _scope(t), 90), operational_metrics(t))
+    coverage = fleet.status_coverage(_scope(t), _bridge(t), _in_hours(t, "status_hourly"))
+    workload = rules.workload_assessment(rules.workload_groups(_work(t), robots))
+    found = rules.fleet_assessment(rules.diagnose(states, AS_OF, RULE_LIMIT), robots, coverage, workload, gaps)
+    return found.drop("headline", "title", "rule_version")
+
+
+def _varied_work(t: DriverTables) -> tuple[DataFrame, DataFrame]:
+    """Workload and states of a robot per event: one type with a busiest robot, one without, one without any task."""
+    i = F.col("event_id")
+    kind = F.when(i % 3 == 0, "AMR").when(i % 3 == 1, "AMB").otherwise(V.OTHER_ROBOT_TYPE)
+    assigned = F.when(i % 3 == 0, F.when(i % 2 == 0, 0).otherwise(10 + F.col("k"))).when(i == 1, 1_000_000_000).when(i % 3 == 1, i % 2).otherwise(0)
+    work_rows = t._events.select(
+        i.cast("int").alias("master_robot_id"), F.concat(F.lit("R"), i.cast("string")).alias("robot_code"), kind.alias("robot_type"),
+        assigned.cast("bigint").alias("assigned_task_count"),
+    )
+    states = t._events.select(
+        i.cast("int").alias("master_robot_id"), F.when(i % 5 == 0, "OFFLINE").otherwise("ONLINE").alias("online_status"),
+        (i % 7 != 0).alias("current_task_supported"), F.when(i % 4 == 0, "charging").otherwise("").alias("charging_status"),
+        F.when(i % 17 == 0, "E7").otherwise("0").alias("error_code"),
+    )
+    return work_rows, states
+
+
+@query
+def workload_every_class(t):
+    return rules.classify_workload(*_varied_work(t)).select("robot_id", "robot_type", "assigned_task_count", "classification")
+
+
+@query
+def exception_every_type(t):
+    i = F.col("event_id")
+    hours = t._events.select("event_id", F.when(i % 2 == 0, 3600).otherwise(60).alias("gap"), (i % 3).alias("battery"), (i % 5).alias("task"))
+    return hours.select("event_id", tasks.exception_type("gap", "battery", "task").alias("exception_type"))
+
+
 @query
 def asof_before_null_keys(t):
     """As-of join where keys and values are NULL on both sides."""

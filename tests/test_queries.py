@@ -1,9 +1,4 @@
-"""Registered queries against their SQL counterparts.
-
-A selection runs here; ``FLEETLENS_ALL_QUERIES=1`` runs all of them.
-"""
-
-import os
+"""Registered queries against their SQL counterparts."""
 
 import pytest
 
@@ -12,13 +7,7 @@ from checks import oracles as registry_sql
 from checks import queries as registry
 from checks.compare import compare, open_tables
 
-SELECTION = (
-    "freshness_gate", "weighted_hourly_trend", "unsuccessful_outcomes", "task_timing", "battery_time_share", "asof_before",
-    "robot_diagnosis_every_rule", "alert_causes_every_kind", "asof_before_null_keys", "offline_ids", "state_exceptions",
-    "label_trend_distinct", "task_list", "wifi_minimum_witness", "wifi_weak_diagnosis", "merge_intervals",
-    "atomic_segments", "state_trend_day",
-)
-NAMES = sorted(registry.QUERIES) if os.environ.get("FLEETLENS_ALL_QUERIES") else SELECTION
+NAMES = sorted(registry.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +31,15 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_every_rule_and_alert_kind_occurs(spark, data_dir):
-    found = entry.queries()["robot_diagnosis_every_rule"](spark, data_dir.replace("0.001", "0.01"))
-    assert found.select("rule_id").distinct().count() == 12
-    assert entry.queries()["alert_causes_every_kind"](spark, data_dir).select("type").distinct().count() == 5
+@pytest.mark.parametrize("name, column, kinds", [
+    ("robot_diagnosis_every_rule", "rule_id", 12), ("alert_causes_every_kind", "type", 5), ("workload_every_class", "classification", 7),
+    ("exception_every_type", "exception_type", 4),
+])
+def test_every_kind_occurs(spark, data_dir, name, column, kinds):
+    found = entry.queries()[name](spark, data_dir.replace("0.001", "0.01"))
+    assert found.select(column).distinct().count() == kinds
+
+
+def test_no_column_of_the_assessment_is_always_zero(spark, data_dir):
+    row = entry.queries()["fleet_assessment_every_rule"](spark, data_dir.replace("0.001", "0.01")).first()
+    assert row["rssi_measurement_unavailable_robot_count"] > 0 and row["unresolved_disconnect_count"] > 0
