@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections import Counter
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,18 +223,61 @@ def jdbc_options(
     return options
 
 
+def split_points(df: DataFrame, column: str, parts: int) -> list:
+    """Values that divide the rows of a stored copy into ``parts`` of about the same size.
+
+    They are quantiles, not steps from the smallest to the largest value; one
+    that holds more rows than a part stands there several times.
+    """
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    found = df.agg(F.percentile_approx(column, shares, max(10_000, 100 * parts)).alias("points")).first()["points"]
+    return list(found or [])
+
+
+def split_predicates(column: str, points: Sequence, hot_by: str | None = None, quotes: str = "[]") -> list[str]:
+    """Conditions of which every row meets exactly one, NULLs the first.
+
+    Rows of a value that repeats among the points are divided by the remainder
+    of ``hot_by``, a whole-number column, if one is named.
+    """
+    def named(name: str) -> str:
+        return quotes[0] + name + quotes[-1]
+
+    col, times = named(column), Counter(points)
+    found, lower = [], None
+    for value in sorted(times):
+        shown = repr(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
+        below = f"{col} < {shown}"
+        found.append(f"{lower} AND {below}" if lower else f"({below} OR {col} IS NULL)")
+        lower = f"{col} >= {shown}"
+        if times[value] > 1:
+            ways = times[value] if hot_by else 1
+            for i in range(ways):
+                rest = f"ABS({named(hot_by)} % {ways}) = {i}" if hot_by else "1 = 1"
+                found.append(f"{col} = {shown} AND " + (f"({rest} OR {named(hot_by)} IS NULL)" if hot_by and not i else rest))
+            lower = f"{col} > {shown}"
+    return [*found, lower] if lower else ["1 = 1"]
+
+
 def load_jdbc(
-    spark: SparkSession, url: str, properties: Mapping[str, str], splits: Mapping[str, tuple] | None = None,
+    spark: SparkSession, url: str, properties: Mapping[str, str], splits: Mapping[str, tuple | list[str]] | None = None,
     names: Iterable[str] = tuple(SCHEMAS),
 ) -> WarehouseTables:
     """Model tables read from the warehouse; filters and columns are pushed to the database.
 
-    ``splits`` gives (column, lower, upper, parts) for tables that should be
-    read by several tasks.
+    ``splits`` names how tables are read by several tasks: by a list of
+    conditions, see ``split_predicates``, or evenly by value from (column,
+    lower, upper, parts).
     """
     def opened(name: str) -> DataFrame:
-        options = jdbc_options(name, url, properties, (splits or {}).get(name))
-        return to_model(spark.read.format("jdbc").options(**options).load(), name)
+        split = (splits or {}).get(name)
+        if isinstance(split, list):
+            options = jdbc_options(name, url, properties)
+            rest = {key: value for key, value in options.items() if key not in ("url", "dbtable")}
+            return to_model(spark.read.jdbc(url, options["dbtable"], predicates=split, properties=rest), name)
+        return to_model(spark.read.format("jdbc").options(**jdbc_options(name, url, properties, split)).load(), name)
 
     return WarehouseTables(opened, names)
 

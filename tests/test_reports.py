@@ -7,7 +7,7 @@ import json
 import pytest
 
 from fleetlens.functions.time import WindowError, WindowSpec
-from fleetlens.operators import intervals
+from fleetlens.operators import intervals, joins
 from fleetlens.operators.scope import ScopeError
 from fleetlens.plans.dashboard import dashboard
 from fleetlens.plans.export import EXPORTS, export_dataset
@@ -271,6 +271,34 @@ def test_jdbc_options():
     assert "partitionColumn" not in model.jdbc_options("project", "jdbc:x", {})
 
 
+@pytest.mark.parametrize("hot_by", ["n", None])
+def test_splits_of_a_skewed_key_are_even(spark, hot_by):
+    # Ids bunch at one end, one value holds half of all rows, some are NULL.
+    ids = [7] * 5000 + [10**9 + i for i in range(3000)] + [i * i for i in range(1990)] + [None] * 10
+    df = spark.createDataFrame([(v, i - 300 if i % 9 else None) for i, v in enumerate(ids)], "id bigint, n int")
+    points = model.split_points(df, "id", 10)
+    found = model.split_predicates("id", points, hot_by, quotes="`")
+    counts = df.agg(*[joins.F.count_if(joins.F.expr(p)).alias(str(i)) for i, p in enumerate(found)]).first()
+    met = sum(joins.F.when(joins.F.expr(p), 1).otherwise(0) for p in found)
+    assert sum(counts) == len(ids) and df.select(met.alias("m")).distinct().collect() == [(1,)]
+    assert max(counts) <= (1700 if hot_by else 5000)
+    even = model.jdbc_options("task_run", "u", {}, ("id", 0, 10**9 + 3000, 10))
+    assert even["lowerBound"] == "0"  # by value alone, nearly all rows would be in two of ten parts
+
+
+def test_splits_of_nothing_and_of_texts(spark):
+    empty = spark.createDataFrame([], "id bigint")
+    assert model.split_points(empty, "id", 8) == [] and model.split_predicates("id", []) == ["1 = 1"]
+    assert model.split_points(empty, "id", 1) == []
+    assert model.split_predicates("id", [5, 5, 9], "n") == [
+        "([id] < 5 OR [id] IS NULL)", "[id] = 5 AND (ABS([n] % 2) = 0 OR [n] IS NULL)", "[id] = 5 AND ABS([n] % 2) = 1",
+        "[id] > 5 AND [id] < 9", "[id] >= 9",
+    ]
+    assert model.split_predicates("d", [datetime(2026, 7, 1)], quotes='"') == [
+        "(\"d\" < '2026-07-01 00:00:00' OR \"d\" IS NULL)", "\"d\" >= '2026-07-01 00:00:00'",
+    ]
+
+
 def test_cut_writes_to_the_checkpoint_folder(spark):
     folder = session.checkpoint_dir(spark)
     df = session.cut(spark.range(5).withColumnRenamed("id", "n"))
