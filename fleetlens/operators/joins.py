@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
@@ -136,11 +136,17 @@ def strict_time_join(
 ) -> DataFrame:
     """Newest left row and newest right row with exactly equal keys.
 
-    Both sides are reduced to one row per key first, so the join is one to one.
+    Keys are nearly unique, so reducing rows before the shuffle would sort them
+    for nothing: each side is dealt out by its keys once, ranked there, and
+    joined where it lies, one to one.
     """
-    newest_left = latest_per_key(left, keys, [row_id], list(left_columns))
-    newest_right = latest_per_key(right, keys, [row_id], list(right_columns))
-    return newest_left.join(newest_right, list(keys), "inner")
+    def newest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        wanted = [name for name in columns if name not in keys]
+        ordered = Window.partitionBy(*keys).orderBy(F.col("_id").desc_nulls_last())
+        placed = df.select(*keys, F.col(row_id).alias("_id"), *wanted).repartition(*keys)
+        return placed.withColumn("_rank", F.row_number().over(ordered)).filter(F.col("_rank") == 1).drop("_id", "_rank")
+
+    return newest(left, left_columns).join(newest(right, right_columns), list(keys), "inner")
 
 
 def overlay(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
