@@ -16,6 +16,7 @@ equal rows each.  Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,11 +111,14 @@ def own_license(label: str, template: np.ndarray, span: np.ndarray) -> bool:
 
 def strongest(found: list[dict]) -> list[int]:
     """Templates left when spans that overlap compete: most words matched, then fewest others."""
-    kept: list[dict] = []
+    kept, lows, highs = set(), [], []  # spans that were kept do not overlap
     for s in sorted(found, key=lambda s: (-s["matched"], s["others"], s["template"], s["low"])):
-        if all(s["high"] <= k["low"] or k["high"] <= s["low"] for k in kept):
-            kept.append(s)
-    return sorted({s["template"] for s in kept})
+        i = bisect_left(lows, s["low"])
+        if (i == len(lows) or s["high"] <= lows[i]) and (i == 0 or highs[i - 1] <= s["low"]):
+            lows.insert(i, s["low"])
+            highs.insert(i, s["high"])
+            kept.add(s["template"])
+    return sorted(kept)
 
 
 def _scanner(templates, phrases, k: int):
@@ -210,16 +214,23 @@ def verified(found: DataFrame, scanned: DataFrame, templates=TEMPLATES) -> DataF
     names = ["doc_id", "version", "template", "low", "high"]
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, bytes], tuple[int, bool]] = {}  # a notice that is repeated is compared once
         for batch in batches:
-            low, high, first = (batch.column(c).to_pylist() for c in ("low", "high", "first"))
+            low, high, codes = batch.column("low").to_pylist(), batch.column("high").to_pylist(), batch.column("codes")
+            bounds, values = codes.offsets.to_numpy(), codes.values.to_numpy()
             matched, others, share, own = [], [], [], []
-            for t, a, b, f, codes in zip(batch.column("template").to_pylist(), low, high, first, batch.column("codes").to_pylist()):
-                span = np.array(codes[max(a - NEIGHBOURS, f) - f : b + NEIGHBOURS - f], np.int64)
-                common = common_in_order(words[t], span)
+            for i, (t, a, b) in enumerate(zip(batch.column("template").to_pylist(), low, high)):
+                span = values[bounds[i] : bounds[i + 1]]
+                key = t, span.tobytes()
+                if key not in known:
+                    if len(known) >= 4096:
+                        known.clear()
+                    known[key] = common_in_order(words[t], span), own_license(templates[t][0], words[t], span)
+                common, mine = known[key]
                 matched.append(common)
                 others.append(len(words[t]) - common + max(0, b - a - common))
                 share.append(common / len(words[t]))
-                own.append(own_license(templates[t][0], words[t], span))
+                own.append(mine)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(matched, pa.int64()), pa.array(others, pa.int64()), pa.array(share, pa.float64()), pa.array(own, pa.bool_())],
                 [*names, "matched", "others", "share", "own"],
@@ -227,7 +238,10 @@ def verified(found: DataFrame, scanned: DataFrame, templates=TEMPLATES) -> DataF
 
     regions = scanned.select(F.col("doc_id").alias("r_id"), F.col("version").alias("r_version"), F.explode("regions").alias("r")).distinct()
     same = found["doc_id"].eqNullSafe(regions["r_id"]) & (found["version"] == regions["r_version"]) & (found["region"] == F.col("r.region"))
-    both = found.join(regions, same).select("doc_id", "version", "template", "low", "high", F.col("r.first").alias("first"), F.col("r.codes").alias("codes"))
+    # Only the span's own words go on, however long the region around it is.
+    start = F.greatest(F.col("low") - NEIGHBOURS, F.col("r.first")) - F.col("r.first")
+    words_of_span = F.slice(F.col("r.codes"), (start + 1).cast("int"), (F.col("high") + NEIGHBOURS - F.col("r.first") - start).cast("int"))
+    both = found.join(regions, same).select("doc_id", "version", "template", "low", "high", words_of_span.alias("codes"))
     return both.mapInArrow(shares, "doc_id bigint, version bigint, template int, low bigint, high bigint, matched bigint, others bigint, share double, own boolean")
 
 

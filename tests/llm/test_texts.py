@@ -1,6 +1,7 @@
 """Scans, scores and tokens against brute force, the public library, and held-out rows."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -252,3 +253,14 @@ def test_licenses_are_told_apart(spark):
     rows = [(i, text, "en") for i, (text, _) in enumerate(notices)]
     found = {r["doc_id"]: r["labels"] for r in license_votes.license_labels(frame(spark, rows)).collect()}
     assert [(text, found[i]) for i, (text, _) in enumerate(notices)] == notices
+
+
+def test_a_very_long_text_of_one_notice(spark):
+    """Time grows with the text, not with its square."""
+    notice = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+    rows = [(1, notice * 8000, "en"), (2, notice, "en"), (3, notice * 2 + "and other words " * 60 + notice, "en")]
+    started = time.monotonic()
+    found = {r["doc_id"]: r for r in license_votes.license_labels(frame(spark, rows)).collect()}
+    assert found[1]["labels"] == found[2]["labels"] == found[3]["labels"] == "apache-2"
+    assert found[1]["n_words"] == 8000 * found[2]["n_words"]
+    assert time.monotonic() - started < 120
