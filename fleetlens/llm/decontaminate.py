@@ -24,6 +24,7 @@ from fleetlens.session import cut
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # all of ASCII but digits and letters
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
+PART = 128  # words of a document that travel together, with a window's length on either side
 BROADCAST_ROWS = 200_000  # rows of windows or shingles up to which they are broadcast; a row has some 300 bytes
 
 
@@ -97,7 +98,21 @@ def _verified(words: Column) -> Column:
     return F.when(inside, there == F.col("window_words")).otherwise(False)
 
 
-def occurrences(docs: DataFrame, rare: DataFrame, rows: int, singles: bool) -> DataFrame:
+def parts_of(read: DataFrame, size: int) -> DataFrame:
+    """Documents in parts of ``PART`` words: ``first`` is the place of a part's first word, ``own`` that of the first it answers for.
+
+    A row for every word would carry the words of its document; of a part it
+    carries a bounded number, so the work grows with the text and not its square.
+    """
+    def part(own: Column) -> Column:
+        first = F.greatest(own - size, F.lit(0))
+        return F.struct(first.alias("first"), own.alias("own"), F.slice("words", first + 1, own - first + PART + size).alias("words"))
+
+    owns = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(PART))
+    return read.select("doc_id", "version", F.explode(F.transform(owns, part)).alias("p")).select("doc_id", "version", "p.*")
+
+
+def occurrences(docs: DataFrame, rare: DataFrame, rows: int, singles: bool, size: int = WINDOW) -> DataFrame:
     """doc_id, version, window, start and n of every place where a window stands.
 
     ``rare`` are the windows by rarest shingle, ``rows`` their number, and
@@ -110,8 +125,11 @@ def occurrences(docs: DataFrame, rare: DataFrame, rows: int, singles: bool) -> D
     def meet(tokens: Column, some: DataFrame) -> DataFrame:
         start = (F.col("at") - F.col("offset")).alias("start")
         if rows <= BROADCAST_ROWS:
-            met = read.select("doc_id", "version", "words", F.posexplode(tokens).alias("at", "shingle")).join(F.broadcast(some), "shingle")
-            return met.select("doc_id", "version", "words", "window", "window_words", "n", start).where(_verified(F.col("words"))).select(columns)
+            told = parts_of(read, size).select("doc_id", "version", "first", "own", "words", F.posexplode(tokens).alias("at", "shingle"))
+            place = F.col("first") + F.col("at")
+            met = told.where((place >= F.col("own")) & (place < F.col("own") + PART)).join(F.broadcast(some), "shingle")
+            near = met.select("doc_id", "version", "first", "words", "window", "window_words", "n", start).where(_verified(F.col("words")))
+            return near.withColumn("start", F.col("first") + F.col("start")).select(columns)
         # Too many windows to send to every task: meet on shuffled shingles, then verify beside the words.
         met = read.select("doc_id", "version", F.posexplode(tokens).alias("at", "shingle")).join(some, "shingle")
         candidates = met.select("doc_id", "version", F.struct("window", "window_words", "n", start).alias("candidate"))
@@ -139,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, one
     rare = cut(rarest_shingles(docs, windows))
     rows = rare.count()
     singles = bool(rare.where(F.col("n") == 1).take(1))
-    found = cut(occurrences(docs, rare, rows, singles))
+    found = cut(occurrences(docs, rare, rows, singles, size))
     hit = (
         found.select("doc_id", "version", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at")).distinct()
         .groupBy("doc_id", "version").agg(F.count("*").alias("n_hit"))
@@ -166,7 +184,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, o
     columns = docs.columns
     plain = _versioned(docs)
     rare = cut(rarest_shingles(plain, item_windows(benchmark, size)))
-    found = occurrences(plain, rare, rare.count(), bool(rare.where(F.col("n") == 1).take(1)))
+    found = occurrences(plain, rare, rare.count(), bool(rare.where(F.col("n") == 1).take(1)), size)
     hit = (
         found.select("doc_id", "version", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at")).distinct()
         .groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).agg(F.count("*").alias("__hit"))

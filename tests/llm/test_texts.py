@@ -264,3 +264,21 @@ def test_a_very_long_text_of_one_notice(spark):
     assert found[1]["labels"] == found[2]["labels"] == found[3]["labels"] == "apache-2"
     assert found[1]["n_words"] == 8000 * found[2]["n_words"]
     assert time.monotonic() - started < 120
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    """Passages are found wherever they stand, in time that grows with the text and not its square."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    item, short = [rng.choice(words) for _ in range(40)], ["Only", "twó"]
+    text = [rng.choice(words) for _ in range(300_000)]
+    spots = sorted({0, 127 - 12, 128, 128 * 50 - 20, 299_960, *(rng.randrange(0, 299_900) for _ in range(40))})
+    for at in spots:
+        text[at : at + 40] = item
+    text[150_000:150_002] = short
+    rows = [(1, " ".join(text), "en"), (2, " ".join(text[:129] + item[:13]), "en"), (3, " ".join(item[1:13]), "en")]
+    items = [("long", " ".join(item)), ("short", " ".join(short).upper())]
+    started = time.monotonic()
+    found = decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id string, text string"))
+    assert Counter(tuple(r) for r in found.collect()) == Counter(brute.contamination([(d, t) for d, t, _ in rows], items))
+    assert time.monotonic() - started < 120
