@@ -10,15 +10,22 @@ its white space.
 Hidden are the head, scripts, styles and other elements that show no text,
 elements with ``hidden`` or ``display:none``, closed dialogs and the content of
 closed details; ``visibility`` is inherited and can be turned on again below.
-
-Null and empty pages give an empty text.  Levels below ``DEPTH`` are flattened
-into the level above, so no depth of nesting fails.  Repeated rows give equal
-rows; other columns than page_id and html are not read.
+Both properties are read from style attributes and from the page's style
+elements, there from rules by tag, class and id; rules with other selectors and
+at-rules (media queries) have no effect.  Formulas show their text, drawings
+what their text elements hold.
+
+Null and empty pages give an empty text.  As in browsers, elements nested deeper
+than ``DEPTH`` stand beside each other, so no depth of nesting fails.  Cells of
+more than ``PAD`` columns are wrapped, so that later ones still align.  Repeated
+rows give equal rows; other columns than page_id and html are not read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 from unicodedata import east_asian_width
@@ -27,14 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 150
-PAD = 60  # a cell wider than this does not widen its column
+DEPTH = 512  # elements nested deeper stand beside each other, as in browsers
+PAD = 60  # the text of a cell is wrapped to so many columns; longer words stand out
 SPANS = 1000  # columns that one cell may span
+FRAMES = 12 * DEPTH  # nested calls that the deepest page takes
 
 # What HTML says of its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title annotation annotation-xml".split())
+# Of a drawing only these show text.
+DRAWN_TEXT = frozenset(("text", "foreignobject"))
+UNDRAWN = frozenset("defs symbol desc metadata clippath mask pattern marker lineargradient radialgradient filter".split())
 BLANK = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre xmp figure hr fieldset".split())
 LINE = frozenset(
     "address article aside body center dd details dialog div dt figcaption footer form header html legend li main nav optgroup option "
@@ -57,13 +68,21 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)\s*(=?)\s*")
 UNQUOTED = re.compile(r"[^\s>]*")
 WHITE = re.compile(r"[ \t\n\r\f]+")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.IGNORECASE)
+SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+PART_OF_SELECTOR = re.compile(r"[.#][\w-]+")
+BRACE = re.compile(r"[{}]")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    """An element; ``visible`` is None where it is as its parent is."""
+
+    __slots__ = ("tag", "attrs", "children", "hidden", "visible")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.hidden, self.visible = False, None
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -113,6 +132,8 @@ def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                     bare = UNQUOTED.match(html, at)
                     value, at = bare.group(), bare.end()
             attrs.setdefault(found.group(1).lower(), unescape(value))
+        if html[at - 1 : at] == "/":
+            attrs["/"] = ""  # counts in drawings and formulas only
         at += 1
         yield ("end" if closing else "start"), tag, attrs
         if not closing and tag in RAW:
@@ -127,20 +148,25 @@ def tree(html: str) -> Node:
     """The page's elements, tags that may be left out supplied."""
     root = Node("body", {})
     stack = [root]
+    opened: Counter = Counter()  # never less than the elements of that name on the stack
 
     def close(tags: frozenset, borders: frozenset) -> None:
+        if not any(opened[tag] for tag in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in borders:
                 return
             if stack[i].tag in tags:
+                opened.subtract(node.tag for node in stack[i:])
                 del stack[i:]
                 # Go on: a row start ends the cell and then the row.
                 close(tags, borders)
                 return
 
     def close_paragraph() -> None:
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1 if opened["p"] else 0, 0, -1):
             if stack[i].tag == "p":
+                opened.subtract(node.tag for node in stack[i:])
                 del stack[i:]
                 return
             if stack[i].tag in ("table", "td", "th", "button", "caption", "object", "template"):
@@ -167,11 +193,15 @@ def tree(html: str) -> Node:
         if kind == "text":
             if value.strip(" \t\n\r\f") or stack[-1].tag not in ("table", "tr", *ROWS):
                 parent_of("#text").children.append(unescape(value))
+        elif kind == "raw":
+            if stack[-1].tag == "style":
+                stack[-1].children.append(value)
         elif kind == "plain":  # shown as it stands, without character references
             stack[-1].children.append(value)
         elif kind == "start":
             if value in ("html", "body", "head"):
                 if value == "head":
+                    opened["head"] += 1
                     stack.append(Node("head", attrs))
                     stack[-2].children.append(stack[-1])
                 else:
@@ -187,20 +217,25 @@ def tree(html: str) -> Node:
             if value in CELLS and stack[-1].tag in ROWS | {"table"}:
                 row = Node("tr", {})
                 stack[-1].children.append(row)
+                opened["tr"] += 1
                 stack.append(row)
             node = Node(value, attrs)
-            parent_of(value).children.append(node)
+            (parent_of(value) if len(stack) < DEPTH else stack[DEPTH - 1]).children.append(node)
             if value == "form" and stack[-1].tag in ROWS | {"table", "tr"}:
                 continue  # between cells a form holds nothing
-            if value not in VOID and len(stack) < DEPTH:
+            if value not in VOID and not ("/" in attrs and (opened["svg"] or opened["math"])):
+                opened[value] += 1
                 stack.append(node)
         elif kind == "end":
             if value == "br":
                 stack[-1].children.append(Node("br", {}))
             elif value not in ("html", "body"):
+                if not opened[value]:
+                    continue
                 border = frozenset(("table",)) if value not in ROWS | CELLS | {"table", "tr", "caption"} else frozenset()
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == value:
+                        opened.subtract(node.tag for node in stack[i:])
                         del stack[i:]
                         break
                     if stack[i].tag in border:
@@ -208,6 +243,78 @@ def tree(html: str) -> Node:
     return root
 
 
+def declared(text: str) -> dict[str, tuple[bool, str]]:
+    """display and visibility of a list of declarations, and whether they are marked as important."""
+    found: dict[str, tuple[bool, str]] = {}
+    for name, value, important in DECLARED.findall(text):
+        if not important and found.get(name.lower(), (False, ""))[0]:
+            continue
+        found[name.lower()] = bool(important), value.lower()
+    return found
+
+
+def sheet_rules(sheet: str) -> Iterator[tuple[str, frozenset[str], str, dict[str, tuple[bool, str]]]]:
+    """Tag, classes, id and declarations of the rules whose selectors have no more than these; at-rules are left out."""
+    sheet = COMMENT.sub(" ", sheet)
+    at = 0
+    while (start := sheet.find("{", at)) >= 0:
+        selectors = sheet[at:start].rpartition(";")[2].strip()
+        if selectors.startswith("@"):
+            depth, at = 1, start + 1
+            for brace in BRACE.finditer(sheet, at):
+                depth += 1 if brace.group() == "{" else -1
+                at = brace.end()
+                if not depth:
+                    break
+            else:
+                return
+            continue
+        end = sheet.find("}", start)
+        end = len(sheet) if end < 0 else end
+        at = end + 1
+        if found := declared(sheet[start + 1 : end]):
+            for selector in selectors.split(","):
+                if selector.strip() and (simple := SIMPLE.fullmatch(selector.strip())):
+                    names = PART_OF_SELECTOR.findall(simple.group(2))
+                    ids = [name[1:] for name in names if name[0] == "#"]
+                    if len(set(ids)) < 2:
+                        yield (simple.group(1) or "*").lower(), frozenset(name[1:] for name in names if name[0] == "."), "".join(ids[:1]), found
+
+
+def apply_styles(root: Node) -> None:
+    """Tell of every element whether it is left out, and whether its text shows.
+
+    Style attributes count, and rules of the page's style elements by tag, class
+    and id; of several the important, the more specific, the later one.
+    """
+    nodes, sheets = [root], []
+    for node in nodes:
+        if node.tag == "style":
+            sheets += [child for child in node.children if isinstance(child, str)]
+        nodes += [child for child in node.children if isinstance(child, Node)]
+    rules: dict[str, list[tuple]] = defaultdict(list)
+    for order, (tag, classes, name, found) in enumerate(rule for sheet in sheets for rule in sheet_rules(sheet)):
+        key = "#" + name if name else "." + min(classes) if classes else tag
+        rules[key].append(((len(name) > 0, len(classes), tag != "*", order), tag, classes, name, found))
+    for node in nodes:
+        style = {name: (important, (2, 0, 0, 0), value) for name, (important, value) in declared(node.attrs.get("style", "")).items()}
+        if rules:
+            classes = frozenset(node.attrs.get("class", "").split())
+            for key in ("*", node.tag, *("." + c for c in classes), "#" + node.attrs.get("id", "")):
+                for weight, tag, wanted, name, found in rules.get(key, ()):
+                    if tag in ("*", node.tag) and wanted <= classes and (not name or name == node.attrs.get("id")):
+                        for what, (important, value) in found.items():
+                            style[what] = max(style.get(what, (False, (-1,), "")), (important, weight, value))
+        display = style.get("display", (False, (), ""))[2]
+        left_out = "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs)
+        node.hidden = node.tag in HIDDEN or (display == "none" if display else left_out)
+        node.visible = {"visible": True, "initial": True, "hidden": False, "collapse": False}.get(style.get("visibility", (False, (), ""))[2])
+
+
+def shows(node: Node, visible: bool) -> bool:
+    return visible if node.visible is None else node.visible
+
+
 def width(text: str) -> int:
     """Columns that a line takes; wide characters take two."""
     return len(text) if text.isascii() else sum(2 if east_asian_width(c) in "WF" else 1 for c in text)
@@ -298,12 +405,12 @@ def render(node: Node, flow: Flow, visible: bool = True, pre: bool = False, dept
 
 def element(node: Node, flow: Flow, visible: bool, pre: bool, depth: int) -> None:
     tag, attrs = node.tag, node.attrs
-    style = attrs.get("style", "").lower().replace(" ", "")
-    if tag in HIDDEN or "hidden" in attrs or "display:none" in style or (tag == "dialog" and "open" not in attrs):
+    if node.hidden:
         return
-    if "visibility:" in style:
-        visible = "visibility:hidden" not in style and "visibility:collapse" not in style
-    if tag == "br":
+    visible = shows(node, visible)
+    if tag == "svg":
+        drawing(node, flow, visible, depth)
+    elif tag == "br":
         if visible:
             flow.line_break()
     elif tag == "hr":
@@ -343,6 +450,18 @@ def element(node: Node, flow: Flow, visible: bool, pre: bool, depth: int) -> Non
             flow.block(gap)
 
 
+def drawing(node: Node, flow: Flow, visible: bool, depth: int) -> None:
+    """The texts of a drawing, each on lines of its own."""
+    for child in node.children:
+        if isinstance(child, Node) and not child.hidden and child.tag not in UNDRAWN:
+            if child.tag in DRAWN_TEXT:
+                flow.block(1)
+                render(child, flow, shows(child, visible), False, depth)
+                flow.block(1)
+            else:
+                drawing(child, flow, shows(child, visible), depth)
+
+
 def item(marker: str, node: Node, visible: bool, depth: int) -> list[str]:
     inner = Flow()
     render(node, inner, visible, False, depth + 1)
@@ -356,10 +475,9 @@ def listed(node: Node, visible: bool, depth: int) -> list[str]:
     number = _whole(node.attrs.get("start"), 1, 10**9)
     for child in node.children:
         if isinstance(child, Node) and child.tag == "li":
-            style = child.attrs.get("style", "").lower().replace(" ", "")
-            if "hidden" in child.attrs or "display:none" in style:
+            if child.hidden:
                 continue
-            shown = visible if "visibility:" not in style else "visibility:visible" in style
+            shown = shows(child, visible)
             number = _whole(child.attrs.get("value"), number, 10**9)
             out.put(item(f"{number}. " if node.tag == "ol" else "- ", child, shown, depth), 1)
             number += 1
@@ -370,6 +488,25 @@ def listed(node: Node, visible: bool, depth: int) -> list[str]:
     return out.finish()
 
 
+def wrapped(lines: list[str], most: int) -> list[str]:
+    """Lines of ``most`` columns or one longer word."""
+    out = []
+    for line in lines:
+        if width(line) <= most:
+            out.append(line)
+            continue
+        part, used = [], 0
+        for word in line.split(" "):
+            size = width(word)
+            if part and used + 1 + size > most:
+                out.append(" ".join(part))
+                part, used = [], 0
+            used += size + (1 if part else 0)
+            part.append(word)
+        out.append(" ".join(part))
+    return out
+
+
 def table(node: Node, visible: bool, depth: int) -> list[str]:
     """Caption, then rows with cells padded to columns; header, body and footer rows in this order."""
     caption, rows = Flow(), {"thead": [], "tbody": [], "tfoot": []}
@@ -378,10 +515,9 @@ def table(node: Node, visible: bool, depth: int) -> list[str]:
         for child in parent.children:
             if not isinstance(child, Node):
                 continue
-            style = child.attrs.get("style", "").lower().replace(" ", "")
-            if "hidden" in child.attrs or "display:none" in style:
+            if child.hidden:
                 continue
-            seen = shown if "visibility:" not in style else "visibility:visible" in style
+            seen = shows(child, shown)
             if child.tag == "tr":
                 rows[part].append((child, seen))
             elif child.tag in ROWS:
@@ -397,14 +533,12 @@ def table(node: Node, visible: bool, depth: int) -> list[str]:
         for cell in row.children:
             if not isinstance(cell, Node) or cell.tag not in CELLS:
                 continue
-            style = cell.attrs.get("style", "").lower().replace(" ", "")
-            if "hidden" in cell.attrs or "display:none" in style:
+            if cell.hidden:
                 continue
             while open_spans.get(column, 0) > 0:
                 column += 1
-            seen = shown if "visibility:" not in style else "visibility:visible" in style
             inner = Flow()
-            render(cell, inner, seen, False, 0)
+            render(cell, inner, shows(cell, shown), False, 0)
             span = max(1, _whole(cell.attrs.get("colspan"), 1, SPANS))
             cells.append((column, span, inner.finish()))
             down = _whole(cell.attrs.get("rowspan"), 1, 65534)
@@ -413,17 +547,20 @@ def table(node: Node, visible: bool, depth: int) -> list[str]:
             column += span
         open_spans = {c: left - 1 for c, left in open_spans.items() if left > 1}
         grid.append(cells)
+    if max((column + span for cells in grid for column, span, _ in cells), default=0) > 1:
+        grid = [[(column, span, wrapped(lines, PAD * span)) for column, span, lines in cells] for cells in grid]
     widths: dict[int, int] = {}
     for cells in grid:
         for column, span, lines in cells:
             size = max((width(line) for line in lines), default=0)
-            if span == 1 and size <= PAD:
-                widths[column] = max(widths.get(column, 0), size)
+            if span == 1:
+                widths[column] = max(widths.get(column, 0), min(size, PAD))
     for cells in grid:
         for column, span, lines in cells:
             size = max((width(line) for line in lines), default=0)
             have = sum(widths[c] + 2 for c in range(column, column + span) if widths.get(c)) - 2
-            if 1 < span and have < size <= PAD:
+            size = min(size, PAD * span)
+            if 1 < span and have < size:
                 last = column + span - 1
                 widths[last] = size - have + widths[last] if widths.get(last) else size - have - 2 if have > 0 else size
     starts, total = {}, 0
@@ -450,6 +587,9 @@ def visible_text(html: str | None) -> str:
     flow = Flow()
     body = Node("#page", {})
     body.children = [tree(html)]
+    apply_styles(body)
+    if sys.getrecursionlimit() < FRAMES:
+        sys.setrecursionlimit(FRAMES)
     render(body, flow)
     return "\n".join(flow.finish())
 

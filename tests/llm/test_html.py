@@ -32,6 +32,28 @@ CASES = [
 ]
 
 
+CASES += [
+    ("<table><tr><td style='visibility:inherit'>a<td style='content-visibility:auto'>b</table>", "a  b"),
+    ("<ul><li style='visibility: inherit'>a<li style='visibility:unset'>b<li style='visibility:hidden'>no</ul>", "- a\n- b"),
+    ("<div style='visibility:collapse'>no<table><tr style='visibility:visible'><td>yes</table></div>", "yes"),
+    ("x <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>no</annotation></math>", "x a+b"),
+    ("a<svg><title>no</title><defs><text>no</text></defs><rect/><g>no<text x=1>two <tspan>words</tspan></text></g></svg>b", "a\ntwo words\nb"),
+    ("a<svg><path d=x /></svg>b<br/>c", "ab\nc"),
+    ("<style>.x{display:none} #y , b.z {visibility:hidden}</style><p class='w x'>no<p id=y>no<p>a <b class=z>no</b><i class=z>b</i>", "a b"),
+    ("<style>p{display:none} p.on{display:block}</style><p>no<p class=on>yes", "yes"),
+    ("<style>/* .x{ */ .x{display:none!important} .x{display:block}</style><p class=x style='display:block'>no</p>yes", "yes"),
+    ("<style>@media print { p { display:none } } @import 'x'; .q{display:none} div p{display:none}</style><div><p>yes<p class=q>no</div>", "yes"),
+    ("<style>.x{display:none}</style><p class=x style='display:inline'>yes<p hidden style='display:block'>too", "yes\n\ntoo"),
+    ("<style>.x{display:none", ""), ("<style>@media x {.x{</style><p class=x>yes", "yes"),
+    ("<div>" * 200 + "<p style='display:none'>no</p><table><tr><td>c1<td>c2</table>" + "</div>" * 200, "c1  c2"),
+    ("<div>" * 2000 + "<p style='display:none'>no</p>yes", "yes"), ("<b>" * 50_000 + "</i>" * 50_000 + "<li>" * 2000 + "deep", None),
+    ("<table><tr><td>" + "long words " * 10 + "<td>x<tr><td>a<td>y</table>",
+     "long words long words long words long words long words long  x\nwords long words long words long words long words\na" + " " * 60 + "y"),
+    ("<table><tr><td>" + "long words " * 10 + "</table>", " ".join(["long words"] * 10)),
+    ("<table><tr><td>" + "w" * 100 + "<td>x<tr><td>a<td>y</table>", "w" * 100 + "  x\na" + " " * 61 + "y"),
+]
+
+
 @pytest.mark.parametrize("html, text", CASES)
 def test_layout(html, text):
     found = visible_text(html)
