@@ -326,12 +326,12 @@ def encode(docs: DataFrame, vocabulary_file: str, digest: bool = False) -> DataF
         v = Vocabulary.of(content.value)
         def rows():
             for batch in batches:
-                keys = zip(batch.column("doc_id").to_pylist(), batch.column("version").to_pylist(), B.texts(batch.column("text")))
-                for doc_id, version, data in keys:
+                keys = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "copies")), B.texts(batch.column("text")))
+                for doc_id, version, copies, data in keys:
                     for seq, (kind, number, piece) in enumerate(v.pieces(data.tobytes().decode())):
-                        yield doc_id, version, seq, kind, number, piece
-        names = ["doc_id", "version", "seq", "kind", "number", "piece"]
-        return B.rows_in_batches(rows(), names, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()], 64)
+                        yield doc_id, version, copies, seq, kind, number, piece
+        names = ["doc_id", "version", "copies", "seq", "kind", "number", "piece"]
+        return B.rows_in_batches(rows(), names, [*[pa.int64()] * 3, pa.int32(), pa.int32(), pa.int32(), pa.binary()], 64)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary.of(content.value)
@@ -342,19 +342,18 @@ def encode(docs: DataFrame, vocabulary_file: str, digest: bool = False) -> DataF
     def joined(group: pa.Table) -> pa.Table:
         v = Vocabulary.of(content.value)
         rows = sorted(group.select(["seq", "kind", "number", "piece"]).to_pylist(), key=lambda r: r["seq"])
-        copies = sum(r["seq"] == 0 for r in rows)
-        pieces = [(r["kind"], r["number"], r["piece"]) for r in {r["seq"]: r for r in rows}.values()]
-        packed = v.join_pieces(pieces)
-        return pa.Table.from_batches([result(v, [group.column("doc_id")[0].as_py()] * copies, [packed] * copies)])
+        packed = v.join_pieces([(r["kind"], r["number"], r["piece"]) for r in rows])
+        return pa.Table.from_batches([result(v, [group.column("doc_id")[0].as_py()], [packed])]).append_column("copies", group.column("copies").slice(0, 1))
 
     chosen = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     is_long = F.coalesce(F.octet_length("text") > CHUNK, F.lit(False))
-    pieces = (
-        chosen.where(is_long).withColumn("version", F.xxhash64("text"))
-        .mapInArrow(cut, "doc_id bigint, version bigint, seq int, kind int, number int, piece binary")
-        .repartition("doc_id", "seq").mapInArrow(encoded, "doc_id bigint, version bigint, seq int, kind int, number int, piece binary")
-    )
-    return chosen.where(~is_long).mapInArrow(short, schema).unionByName(pieces.groupBy("doc_id", "version").applyInArrow(joined, schema))
+    # Repeated rows of a long text are encoded once.
+    long = chosen.where(is_long).groupBy("doc_id", F.xxhash64("text").alias("version")).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    piece = "doc_id bigint, version bigint, copies bigint, seq int, kind int, number int, piece binary"
+    pieces = long.mapInArrow(cut, piece).repartition("doc_id", "version", "seq").mapInArrow(encoded, piece)
+    whole = pieces.groupBy("doc_id", "version").applyInArrow(joined, schema + ", copies bigint")
+    again = whole.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copies", "col")
+    return chosen.where(~is_long).mapInArrow(short, schema).unionByName(again)
 
 
 def decode(encoded: DataFrame, vocabulary_file: str) -> DataFrame:

@@ -282,3 +282,13 @@ def test_decontamination_of_a_very_long_text(spark):
     found = decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id string, text string"))
     assert Counter(tuple(r) for r in found.collect()) == Counter(brute.contamination([(d, t) for d, t, _ in rows], items))
     assert time.monotonic() - started < 120
+
+
+def test_repeated_long_texts_are_encoded_once(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh  ") for _ in range(bpe.CHUNK * 2 + i)) for i in range(3)]
+    rows = [(None, texts[i % 3], "en") for i in range(60)] + [(7, texts[0], "en"), (7, texts[1], "en"), (7, texts[1], "en"), (8, texts[2], "en")]
+    found = bpe.encode(frame(spark, rows), VOCABULARY)
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    ids = {t: bpe.pack(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts}
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in found.collect()) == Counter((d, ids[t]) for d, t, _ in rows)
