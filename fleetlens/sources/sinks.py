@@ -39,7 +39,7 @@ def write_json(report: Mapping[str, DataFrame], folder: str, mode: str = "overwr
 # one file for a whole result
 # --------------------------------------------------------------------------
 
-BYTE_ORDER_MARK = "﻿"
+BYTE_ORDER_MARK = "\ufeff"
 
 
 class _Merged:
