@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import scalar as S
 from fleetlens.operators import joins, scan, scope
+from fleetlens.session import prepare
 from fleetlens.sources.tables import to_model
 from helpers import at, rows
 
@@ -178,3 +179,42 @@ def test_sessions_in_other_zones_are_refused(spark):
             to_model(spark.range(1), "etl_batch")
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.fixture(scope="module")
+def many_robots(spark, tmp_path_factory):
+    """A master of some MB whose rows, with two references each, hold tens of MB."""
+    path = str(tmp_path_factory.mktemp("many") / "master")
+    robots = spark.range(600_000).select(
+        F.col("id").cast("int").alias("id"), F.concat(F.lit("AMR_"), F.col("id").cast("string")).alias("name"),
+        F.lit(" y ").alias("is_active"),
+    )
+    robots.coalesce(1).write.parquet(path)
+    return prepare(spark).read.parquet(path)
+
+
+def test_a_file_of_some_mb_is_not_broadcast(spark, many_robots):
+    robots = scope.robot_scope(many_robots)
+    facts = spark.range(10).select(F.col("id").cast("string").alias("robot_code"), F.col("id").alias("t"))
+    plans = [
+        scope.in_scope(facts, scope.reference_bridge(robots)),
+        joins.attach_by_reference(facts, scope.reference_bridge(robots), "robot_code"),
+        joins.attach_dim(facts, robots, {"t": "master_robot_id"}, {"robot_type": "robot_type"}),
+    ]
+    assert [len(rows(plan)) for plan in plans] == [10, 10, 10]
+    for plan in plans:
+        assert "rightHint=(strategy=broadcast)" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_aggregates_by_reference_are_joined_plainly(spark, skewed):
+    facts, dim = skewed
+    spark.conf.set(joins.BROADCAST_BYTES_CONF, "0")
+    spark.conf.set(joins.SALTED_BYTES_CONF, HUGE)
+    try:
+        counted = facts.groupBy("k").agg(F.sum("v").alias("v"))
+        found = [joins.attach_dim(counted, dim, {"k": "k"}, {"name": "name"}, balanced=True), joins.overlay(counted, dim, "k")]
+        plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in found]
+    finally:
+        spark.conf.unset(joins.BROADCAST_BYTES_CONF)
+        spark.conf.unset(joins.SALTED_BYTES_CONF)
+    assert not [plan for plan in plans if "_salt" in plan or "strategy=broadcast" in plan]
