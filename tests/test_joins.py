@@ -218,3 +218,15 @@ def test_aggregates_by_reference_are_joined_plainly(spark, skewed):
         spark.conf.unset(joins.BROADCAST_BYTES_CONF)
         spark.conf.unset(joins.SALTED_BYTES_CONF)
     assert not [plan for plan in plans if "_salt" in plan or "strategy=broadcast" in plan]
+
+
+def test_a_larger_side_is_not_copied(spark, many_robots):
+    records = many_robots.select("id", F.col("name").alias("label"))
+    facts = spark.range(10).select(F.col("id").cast("int").alias("id"))
+    spark.conf.set(joins.BROADCAST_BYTES_CONF, "0")
+    try:
+        found = joins.lookup(facts, records, ["id"], "inner")
+    finally:
+        spark.conf.unset(joins.BROADCAST_BYTES_CONF)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan and len(rows(found)) == 10
