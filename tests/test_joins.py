@@ -1,8 +1,10 @@
 from datetime import timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import registered
 from fleetlens.functions import scalar as S
 from fleetlens.operators import joins, scan, scope
 from fleetlens.session import prepare
@@ -230,3 +232,41 @@ def test_a_larger_side_is_not_copied(spark, many_robots):
         spark.conf.unset(joins.BROADCAST_BYTES_CONF)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" not in plan and len(rows(found)) == 10
+
+
+@pytest.mark.parametrize("text, found", [("10485760b", 10 << 20), ("256k", 256 << 10), ("1MB", 1 << 20), ("2g", 2 << 30), ("-1", -1)])
+def test_lookup_broadcasts_no_more_than_the_session_may(spark, skewed, text, found):
+    facts, dim = skewed[0], spark.range(8).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
+    try:
+        assert joins.broadcast_limit(spark) == min(found, joins.DEFAULT_BROADCAST_BYTES)
+        plan = joins.lookup(facts, dim, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+        spark.conf.set(joins.BROADCAST_BYTES_CONF, "7")
+        assert joins.broadcast_limit(spark) == 7
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset(joins.BROADCAST_BYTES_CONF)
+    assert ("strategy=broadcast" in plan) == (found > 0)
+
+
+ROBOT_QUERIES = (
+    "alert_groups", "battery_share_ranking", "dashboard_diagnostics", "diagnostic_groups", "fleet_assessment",
+    "fleet_assessment_every_rule", "fleet_kpis", "freshness_distribution", "freshness_donut", "freshness_gate",
+    "latest_per_key", "measurement_gaps", "offline_ids", "on_time_ranking", "operational_metrics", "overlay_robots",
+    "project_robot_scope", "queue_wait_ranking", "robot_diagnosis", "status_coverage", "wifi_robot_rows",
+    "workload_assessment",
+)
+
+
+@pytest.mark.parametrize("name", ROBOT_QUERIES)
+def test_queries_by_robot_send_no_table_beyond_the_limit(spark, data_dir, monkeypatch, name):
+    """Broadcasts are built on the driver: what a query asks for stays within the session's limit."""
+    sent, plain = [], joins.F
+    recorder = SimpleNamespace(**{**vars(plain), "broadcast": lambda df: sent.append(joins.plan_bytes(df)) or plain.broadcast(df)})
+    monkeypatch.setattr(joins, "F", recorder)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        registered(name)(spark, data_dir)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(sent, default=0) <= 1024
