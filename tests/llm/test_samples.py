@@ -1,5 +1,6 @@
 """Samples that models learn from are bounded by rows, whatever shares an id."""
 
+import numpy as np
 import pytest
 from conftest import frame
 from pyspark.sql import functions as F
@@ -50,3 +51,20 @@ def test_quality_and_language_samples(crowded, labels, monkeypatch):
     quality_forest.train(crowded, labels, rows=50)
     language_codes.train(crowded, 20)
     assert max(held["quality"]) <= 50 and max(held["language"]) <= 20
+
+
+def test_quality_learns_from_all_labelled_rows(spark):
+    """More rows than any sample had: middle, limits and threshold are those of all of them."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), 12 + F.col("id") % 17), lambda i: F.repeat(F.lit("a"), (1 + F.xxhash64("id", i) % 7 + 7).cast("int"))), " ")
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 == 0, F.concat(words, F.lit(" ### $$$"))).otherwise(words).alias("text"))
+    labels = spark.range(24_000).select(F.col("id").alias("doc_id"), (F.col("id") % 9 != 0).cast("int").alias("quality"))
+    model = quality_forest.train(docs, labels)
+    found = quality_forest.rule_statistics(docs).join(labels, "doc_id").toPandas()
+    found = found[~quality_forest.base_failed(found["n_words"], found["n_repeat_words"])]
+    x, n, good = found[list(quality_forest.FEATURES)].to_numpy(), found["n_words"].to_numpy(), found["quality"].to_numpy() == 1
+    assert np.allclose(model.middle, np.median(x[good], 0), rtol=1e-12, atol=0)
+    shrunk = (x * n[:, None] + 20 * model.middle) / (n[:, None] + 20)
+    reached = np.quantile(shrunk[good], 0.998, axis=0)
+    assert np.allclose(model.high, model.middle + 1.5 * (reached - model.middle), rtol=1e-9, atol=1e-12)
+    score = model.score(n, x)
+    assert (score[good] < model.threshold).mean() >= 0.998 > 0.5 > (score[~good] < model.threshold).mean()
