@@ -73,6 +73,7 @@ class Vocabulary:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.ids_of = {token: i for i, token in self.token_bytes.items() if i not in self.special.values()}
         self.longest = max(map(len, self.ids_of), default=1)
         self.fits: dict[tuple[int, int], bool] = {}
@@ -203,10 +204,11 @@ class Vocabulary:
     def _remember(self, part: str) -> bytes:
         found = self.cache.get(part)
         if found is None:
-            found = pack(self.encode_part(part.encode()))
+            if len(self.cache) >= CACHED:
+                # What was used since the last time is asked for here again and stays.
+                self.cache, self.older = {}, self.cache
+            found = self.older.get(part) or pack(self.encode_part(part.encode()))
             if len(part) <= 32:
-                if len(self.cache) >= CACHED:
-                    self.cache.clear()
                 self.cache[part] = found
         return found
 

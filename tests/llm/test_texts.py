@@ -292,3 +292,15 @@ def test_repeated_long_texts_are_encoded_once(spark):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     ids = {t: bpe.pack(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts}
     assert Counter((r["doc_id"], bytes(r["ids"])) for r in found.collect()) == Counter((d, ids[t]) for d, t, _ in rows)
+
+
+def test_frequent_parts_outlive_a_full_cache(monkeypatch):
+    """A word that keeps coming is encoded once, however many others come in between."""
+    monkeypatch.setattr(bpe, "CACHED", 50)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        vocabulary = bpe.Vocabulary(f.read())
+    seen, encode_part = [], vocabulary.encode_part
+    monkeypatch.setattr(vocabulary, "encode_part", lambda data: seen.append(data) or encode_part(data))
+    found = {vocabulary.encode(f"frequent word{'abcdefghij'[i % 10]}{'x' * (i // 10 + 1)}") for i in range(200)}
+    assert seen.count(b"frequent") == 1 and len(found) == 200
+    assert len(vocabulary.cache) <= 50 and len(vocabulary.older) <= 50
