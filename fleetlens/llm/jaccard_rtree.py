@@ -51,6 +51,7 @@ BLOCK = 2048
 SPREAD = 8  # tasks that verify one set's pairs
 LINK_SETS, LINK_SHINGLES = 512, 1 << 20  # sets and shingles of a block when links are counted
 WIDE = 8192  # shingles counted at once
+BITS = 1 << 23  # marks of wanted rows, 64 of them in a row
 
 
 def shingle_set(data: np.ndarray | None, k: int = WORDS) -> np.ndarray:
@@ -377,6 +378,32 @@ def candidates(points: DataFrame, best: int | None, percent: int = PERCENT) -> D
     return in_order.mapInArrow(searched, "list bigint, a bigint, b bigint")
 
 
+def likely(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """Rows that may have a key of ``wanted``: all that do, and few others, so that a join need not move the rest.
+
+    Keys are marked among ``BITS`` bits, which are broadcast: at most ``BITS / 64`` rows
+    however many keys there are.  With very many, more rows stay; none is lost.
+    """
+    place = F.xxhash64(*key)
+    word = F.shiftrightunsigned(place, 6).bitwiseAND(F.lit(BITS // 64 - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    marks = wanted.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = (word == marks["__word"]) & (marks["__bits"].bitwiseAND(bit) != 0)
+    return rows.join(F.broadcast(marks), marked, "left_semi")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """set of every end of a pair."""
+    return pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+
+
+def texts_of(sets: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """set and text of the first document of every class in ``sets``."""
+    wanted = A.stored(sets.join(classes.select("set", "first"), "set").select("set", "first.*"))
+    some = likely(docs, wanted, A.KEY)
+    return some.join(wanted, A.same_key(some, wanted)).select("set", "text")
+
+
 def finely_bounded(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs whose bound also survives in the finer groups, where both sets have them."""
     fine = classes.select("set", "n", "fine")
@@ -545,16 +572,18 @@ def grouped_documents(docs: DataFrame, percent: int = PERCENT, count_links: bool
     points = A.stored(members.join(classes.select("set", "n", "point"), "set"))
     found = A.stored(candidates(points.withColumns({"component": F.lit(None).cast("bigint"), "fine": F.lit(None).cast("binary")}), 1, percent))
     first = found.where(F.col("b").isNotNull()).select("a", "b").distinct()
-    wanted = first.select(F.col("a").alias("set")).union(first.select("b")).distinct().join(classes, "set").select("set", "first.*")
-    texts = A.stored(plain.join(wanted, A.same_key(plain, wanted)).select("set", "text"))
-    links = A.stored(verified(A.stored(finely_bounded(first, classes, percent)), texts, percent))
+    # From here on only classes with pairs count, and texts are read for pairs that no bound excludes.
+    paired = A.stored(ends(first))
+    met = A.stored(likely(classes, paired, ["set"]).join(paired, "set"))
+    bounded = A.stored(finely_bounded(first, met, percent))
+    links = A.stored(verified(bounded, texts_of(ends(bounded), met, plain), percent))
     known = components(links, "a", "b")
     # Sets with pairs that were held back come again, now with their finer points.
     more = found.where(F.col("b").isNull()).select("list", F.col("a").alias("set"))
-    again = more.join(classes.select("set", "n", "point", "fine"), "set").join(known.withColumnRenamed("node", "set"), "set", "left")
+    again = more.join(met.select("set", "n", "point", "fine"), "set").join(known.withColumnRenamed("node", "set"), "set", "left")
     rest = candidates(again, None, percent).select("a", "b").distinct()
     rest = A.stored(rest.join(first, ["a", "b"], "left_anti"))
-    links = A.stored(links.union(verified(rest, texts, percent)))
+    links = A.stored(links.union(verified(rest, texts_of(ends(rest), met, plain), percent)))
     grouped = A.stored(components(links, "a", "b").withColumnRenamed("node", "set"))
     named = classes.select("set", "smallest").join(grouped, "set", "left").withColumn("component", F.coalesce("component", "set"))
     smallest = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
@@ -563,7 +592,7 @@ def grouped_documents(docs: DataFrame, percent: int = PERCENT, count_links: bool
     if count_links:
         several = described.where(F.col("n") > 0).select("set", "version").distinct().groupBy("set").agg(F.count("*").alias("n_texts"))
         several = A.stored(several.where(F.col("n_texts") > 1))
-        degree = link_counts(grouped, classes, several, texts, percent)
+        degree = link_counts(grouped, classes, several, texts_of(grouped.select("set"), met, plain), percent)
         labelled = labelled.join(degree, "set", "left").join(several, "set", "left")
         # Texts of its own set link too; the empty set links with nothing.
         n_links = [(F.coalesce("n_links", F.lit(0)) + F.coalesce("n_texts", F.lit(1)) - 1).alias("n_links")]

@@ -146,6 +146,41 @@ def test_long_lists_are_split_without_losing_links(spark, monkeypatch):
     assert got == Counter(brute.jaccard(pairs(rows)))
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 23])
+def test_only_texts_of_bounded_pairs_are_moved(spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard_rtree, "BITS", bits)
+    moved = []
+
+    def watched(pairs, texts, *rest, real=jaccard_rtree.verified):
+        moved.append(({s for p in pairs.collect() for s in p}, {r[0] for r in texts.select("set").collect()}))
+        return real(pairs, texts, *rest)
+
+    monkeypatch.setattr(jaccard_rtree, "verified", watched)
+    passage = [f"w{i}" for i in range(180)]
+    # Half a passage in common: met in a list, excluded by the finer points alone.
+    rows = [(i, " ".join(passage + [f"own{i}x{j}" for j in range(120)]), "en") for i in range(8)]
+    near = [f"v{i}" for i in range(300)]
+    rows += [(None, " ".join(near), "en"), (20, " ".join(near[:-3]), "en"), (21, " ".join(near[5:]), "en"), (21, None, "en")]
+    got = jaccard_rtree.jaccard_components(frame(spark, rows))
+    assert collected(got, "doc_id", "n_shingles", "component_id") == Counter(brute.jaccard(pairs(rows)))
+    assert moved and all(ends == texts for ends, texts in moved)
+    assert max(len(texts) for _, texts in moved) <= 3
+
+
+def test_marks_keep_every_wanted_row_and_few_others(spark, monkeypatch):
+    rows = [(i if i % 7 else None, i) for i in range(3000)] + [(None, -1), (None, 0), (-1, 0)]
+    table = spark.createDataFrame(rows, "doc_id bigint, version bigint")
+    wanted = [r for i, r in enumerate(rows) if i % 50 == 0 or r[0] == -1]
+    kept = jaccard_rtree.likely(table, spark.createDataFrame(wanted, table.schema), ["doc_id", "version"])
+    assert kept.columns == table.columns
+    found = {tuple(r) for r in kept.collect()}
+    assert set(wanted) <= found and len(found) <= len(wanted) + 5
+    monkeypatch.setattr(jaccard_rtree, "BITS", 64)
+    kept = jaccard_rtree.likely(table, spark.createDataFrame(wanted, table.schema), ["doc_id", "version"])
+    assert set(wanted) <= {tuple(r) for r in kept.collect()}
+    assert not jaccard_rtree.likely(table, table.limit(0), ["doc_id", "version"]).count()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (300, 301), (301, 300)]
     found = dict(components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect())
