@@ -2,8 +2,10 @@
 
 A document's set are the hashes of its 5-word runs.  Equal sets are one class
 from the start.  Classes that can be 80 % alike share one of the first shingles
-in hash order (a fifth of the larger set, a ninth of the smaller), so classes
-meet in the lists of those shingles; equal lists are kept once.
+in any one order (a fifth of the larger set, a ninth of the smaller), so classes
+meet in the lists of those shingles; equal lists are kept once.  The order is
+that of hashes with frequent shingles last, so that a line that many texts share
+makes no list of all of them.
 
 Each class is also a point: its shingles are hashed into 64 groups and
 counted.  The overlap of two sets is at most the sum of the smaller counts by
@@ -52,6 +54,8 @@ SPREAD = 8  # tasks that verify one set's pairs
 LINK_SETS, LINK_SHINGLES = 512, 1 << 20  # sets and shingles of a block when links are counted
 WIDE = 8192  # shingles counted at once
 BITS = 1 << 23  # marks of wanted rows, 64 of them in a row
+PART = 1 << 21  # shingles of different sets that are counted together
+FREQUENT, MOST_FREQUENT = 16, 1 << 17  # times a frequent shingle was met beside itself; how many of them are put in order
 
 
 def shingle_set(data: np.ndarray | None, k: int = WORDS) -> np.ndarray:
@@ -95,25 +99,35 @@ def prefix_sizes(n: int, percent: int = PERCENT) -> tuple[int, int]:
 class RTree:
     """Points packed into leaves by size and position; leaves under nodes of ``LEAF`` leaves."""
 
-    def __init__(self, sizes: np.ndarray, points: np.ndarray) -> None:
+    def __init__(self, sizes: np.ndarray, points: np.ndarray, groups: np.ndarray | None = None) -> None:
+        """Points of one of the ``groups`` need not meet."""
+        groups = np.arange(len(sizes)) if groups is None else groups
         if len(sizes) <= LEAF:
-            self.order, self.sizes, self.points = np.arange(len(sizes)), sizes, points
+            self.order, self.sizes, self.points, self.groups = np.arange(len(sizes)), sizes, points, groups
             return
         slab = np.arange(len(sizes)) // (LEAF * LEAF)  # the caller sorts by size
-        self.order = np.lexsort((points[:, points.var(0).argmax()], slab))
-        self.sizes, self.points = sizes[self.order], points[self.order]
-        self.leaves = self._boxes(np.arange(0, len(sizes), LEAF), self.sizes, self.sizes, self.points)
+        of_several = np.where(np.bincount(groups) > 1, np.arange(groups.max() + 1), -1)[groups]
+        self.order = np.lexsort((points[:, points.var(0).argmax()], of_several, slab))
+        self.sizes, self.points, self.groups = sizes[self.order], points[self.order], groups[self.order]
+        self.leaves = self._boxes(np.arange(0, len(sizes), LEAF), *self._points(slice(None)))
         self.nodes = self._boxes(np.arange(0, len(self.leaves[0]), LEAF), *self.leaves)
 
+    def _points(self, s: slice):
+        return self.sizes[s], self.sizes[s], self.points[s], self.groups[s], self.groups[s]
+
     @staticmethod
-    def _boxes(starts, low, high, top):
-        return np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(top, starts, axis=0)
+    def _boxes(starts, low, high, top, first, last):
+        return (
+            np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(top, starts, axis=0),
+            np.minimum.reduceat(first, starts), np.maximum.reduceat(last, starts),
+        )
 
     @staticmethod
     def _meet(a, b, percent: int) -> np.ndarray:
-        """Which boxes of ``a`` and ``b`` may hold pairs that link."""
-        (low_a, high_a, top_a), (low_b, high_b, top_b) = a, b
+        """Which boxes of ``a`` and ``b`` may hold pairs that link, those of one group aside."""
+        (low_a, high_a, top_a, first_a, last_a), (low_b, high_b, top_b, first_b, last_b) = a, b
         sized = (100 * high_a[:, None] >= percent * low_b[None]) & (100 * high_b[None] >= percent * low_a[:, None])
+        sized &= (first_a != last_a)[:, None] | (first_b != last_b)[None] | (first_a[:, None] != first_b[None])
         i, j = np.nonzero(sized)
         out = np.zeros(sized.shape, bool)
         for at in range(0, len(i), 4096):
@@ -125,7 +139,7 @@ class RTree:
     def pairs(self, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of points (numbers as given) that survive, and by how much the bound exceeds the demand."""
         if len(self.sizes) <= LEAF:  # a single leaf
-            x, y = np.nonzero(np.triu(self._meet((self.sizes, self.sizes, self.points), (self.sizes, self.sizes, self.points), percent), 1))
+            x, y = np.nonzero(np.triu(self._meet(self._points(slice(None)), self._points(slice(None)), percent), 1))
             return x, y, np.minimum(self.points[x], self.points[y]).sum(1) / demanded(self.sizes[x], self.sizes[y], percent)
         found = []
         leaf = lambda at: slice(at * LEAF, (at + 1) * LEAF)
@@ -137,10 +151,7 @@ class RTree:
                 a, b = a + p * LEAF, b + q * LEAF
                 if b < a:
                     continue
-                left, right = leaf(a), leaf(b)
-                one = (self.sizes[left], self.sizes[left], self.points[left])
-                two = (self.sizes[right], self.sizes[right], self.points[right])
-                ok = self._meet(one, two, percent)
+                ok = self._meet(self._points(leaf(a)), self._points(leaf(b)), percent)
                 if a == b:
                     ok = np.triu(ok, 1)
                 x, y = np.nonzero(ok)
@@ -154,22 +165,72 @@ class RTree:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, version, n, set (digest), point and, for larger sets, finer point of every document."""
+    """doc_id, version, n, set (digest), point and, for larger sets, finer point of every document.
+
+    Some rows also have ``shared``: shingles that several different sets up to this row have, and how many do.
+    """
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(data) for data in B.texts(batch.column("text"))]
+            names = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("version"), pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([digest(s) for s in sets], pa.int64()), pa.array([packed(counts(s)) for s in sets], pa.binary()),
-                pa.array([packed(counts(s, FINE_GROUPS)) if len(s) >= FINE_FROM else None for s in sets], pa.binary()),
-            ], ["doc_id", "version", "n", "set", "point", "fine"])
+                pa.array(names, pa.int64()), pa.array([packed(counts(s)) for s in sets], pa.binary()),
+                pa.array([packed(counts(s, FINE_GROUPS)) if len(s) >= FINE_FROM else None for s in sets], pa.binary()), shared(sets, names),
+            ], ["doc_id", "version", "n", "set", "point", "fine", "shared"])
+
+    def shared(sets: list[np.ndarray], names: list[int]) -> pa.Array:
+        seen, held, found, lengths = set(), [], [np.zeros((2, 0), np.int64)], np.zeros(len(sets) + 1, np.int32)
+        for i, (shingles, name) in enumerate(zip(sets, names)):
+            if name not in seen:
+                seen.add(name)
+                held.append(shingles)
+            if i == len(sets) - 1 or i % 64 == 63 and sum(map(len, held)) >= PART:
+                shingle, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+                found.append(np.stack([shingle[times > 1].view(np.int64), times[times > 1]]))
+                lengths[i + 1] = found[-1].shape[1]
+                held = []
+        shingle, times = np.concatenate(found, 1)
+        both = pa.StructArray.from_arrays([pa.array(shingle), pa.array(times)], ["shingle", "times"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), both)
+
+    schema = "doc_id bigint, version bigint, n int, set bigint, point binary, fine binary, shared array<struct<shingle:bigint,times:bigint>>"
+    return docs.mapInArrow(described, schema)
 
-    return docs.mapInArrow(described, "doc_id bigint, version bigint, n int, set bigint, point binary, fine binary")
 
+def frequent_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of very many sets, sorted, and their level, the higher the more sets have one.
 
-def prefix_shingles(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    Only what ``shared`` counts is known: a shingle that is rare in all places where it occurs
+    is no frequent one.  The levels decide about an order, and no result depends on that.
+    """
+    found = described.where(F.size("shared") > 0).select(F.inline("shared")).groupBy("shingle").agg(F.sum("times").alias("times"))
+    found = A.stored(found.where(F.col("times") >= FREQUENT).select("shingle", F.floor(4 * F.log2("times")).cast("int").alias("level")))
+    lowest, total = 1 << 30, 0
+    for level, rows in sorted(((r["level"], r["count"]) for r in found.groupBy("level").count().collect()), reverse=True):
+        total += rows
+        if total > MOST_FREQUENT:
+            break
+        lowest = level
+    kept = found.where(F.col("level") >= lowest).toArrow()
+    shingle, level = kept.column("shingle").to_numpy().view(np.uint64), kept.column("level").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], level[order]
+
+
+def rare_first(shingles: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Shingles sorted by hash, with the frequent ones last, by level."""
+    if not len(frequent):
+        return shingles
+    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+    known = frequent[at] == shingles
+    return shingles[np.argsort(np.where(known, level[at], 0), kind="stable")] if known.any() else shingles
+
+
+def prefix_shingles(docs: DataFrame, percent: int = PERCENT, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """shingle, set, n and whether larger sets are found by it; copies within a task once."""
+    last = docs.sparkSession.sparkContext.broadcast(frequent or (np.zeros(0, np.uint64), np.zeros(0, np.int32)))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -186,7 +247,8 @@ def prefix_shingles(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     seen.clear()
                 seen.add(name)
                 probe, index = prefix_sizes(len(shingles), percent)
-                held.append((shingles[:probe], np.full(probe, name), np.full(probe, len(shingles)), np.arange(probe) < index))
+                first = rare_first(shingles, *last.value)[:probe]
+                held.append((first, np.full(probe, name), np.full(probe, len(shingles)), np.arange(probe) < index))
                 rows += probe
                 if rows >= A.OUT_ROWS:
                     yield out(held)
@@ -327,7 +389,7 @@ def candidates(points: DataFrame, best: int | None, percent: int = PERCENT) -> D
         for s, e in zip(start[size > 2].tolist(), (start + size)[size > 2].tolist()):
             if not alone[s:e].any() and (component[s:e] == component[s]).all():
                 continue
-            a, b, slack = RTree(n[s:e], points[s:e]).pairs(percent)
+            a, b, slack = RTree(n[s:e], points[s:e], groups(component[s:e], alone[s:e])).pairs(percent)
             a, b = a + s, b + s
             if best is not None and len(a) > best:
                 # The partner with the most and closest partners of its own: dense groups become stars.
@@ -358,6 +420,11 @@ def candidates(points: DataFrame, best: int | None, percent: int = PERCENT) -> D
         columns = list(zip(*out)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["list", "a", "b"])
 
+    def groups(component: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """Numbers of the components; sets without one are groups of their own."""
+        number = np.unique(component, return_inverse=True)[1]
+        return np.where(alone, len(component) + np.arange(len(component)), number)
+
     def finely(a: np.ndarray, b: np.ndarray, n: np.ndarray, fine: list[bytes | None]) -> np.ndarray:
         """Which pairs survive in the finer groups, where both have them."""
         keep = np.ones(len(a), bool)
@@ -456,7 +523,8 @@ def linked(one: list[np.ndarray], two: list[np.ndarray], percent: int = PERCENT)
     """Which sets of ``one`` link with which of ``two``."""
     n, m = (np.array([len(s) for s in side], np.int64) for side in (one, two))
     x, y = (np.array([counts(s) for s in side]) for side in (one, two))
-    may = RTree._meet((n, n, x), (m, m, y), percent)
+    one_by_one, others = np.arange(len(n)), len(n) + np.arange(len(m))
+    may = RTree._meet((n, n, x, one_by_one, one_by_one), (m, m, y, others, others), percent)
     rows, columns = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
     if not len(rows):
         return may
@@ -567,7 +635,7 @@ def grouped_documents(docs: DataFrame, percent: int = PERCENT, count_links: bool
         F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"), F.min(F.struct("doc_id", "version")).alias("first"), F.min("doc_id").alias("smallest")
     )
     classes = A.stored(classes)
-    lists = shared_lists(prefix_shingles(plain, percent), percent)
+    lists = shared_lists(prefix_shingles(plain, percent, frequent_shingles(described)), percent)
     members = lists.select("list", F.explode("sets").alias("set"))
     points = A.stored(members.join(classes.select("set", "n", "point"), "set"))
     found = A.stored(candidates(points.withColumns({"component": F.lit(None).cast("bigint"), "fine": F.lit(None).cast("binary")}), 1, percent))

@@ -146,6 +146,59 @@ def test_long_lists_are_split_without_losing_links(spark, monkeypatch):
     assert got == Counter(brute.jaccard(pairs(rows)))
 
 
+def test_a_common_line_makes_no_list(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_rtree, "FREQUENT", 12, raising=False)
+    line = " ".join(f"w{i}" for i in range(40))
+    own = [" ".join(f"own{i}x{j}" for j in range(40)) for i in range(60)]
+    rows = [(i, f"{line} {text}", "en") for i, text in enumerate(own)] + [(60 + i, f"{line} {own[i]} more", "en") for i in range(0, 20, 2)]
+    rows += [(None, line, "en"), (90, line + " other", "en"), (90, line + " other words", "en"), (91, None, "en"), (92, "", "en")]
+    made = []
+
+    def watched(prefixes, *rest, real=jaccard_rtree.shared_lists):
+        lists = real(prefixes, *rest)
+        made.extend(len(r["sets"]) for r in lists.collect())
+        return lists
+
+    monkeypatch.setattr(jaccard_rtree, "shared_lists", watched)
+    got = jaccard_rtree.jaccard_components(frame(spark, rows).repartition(2))
+    assert collected(got, "doc_id", "n_shingles", "component_id") == Counter(brute.jaccard(pairs(rows)))
+    assert max(made) <= 3
+
+
+def test_any_order_of_shingles_finds_the_same(docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_rtree, "FREQUENT", 2)
+    monkeypatch.setattr(jaccard_rtree, "PART", 500)
+    for most in (0, 40, 1 << 17):
+        monkeypatch.setattr(jaccard_rtree, "MOST_FREQUENT", most)
+        frequent, level = jaccard_rtree.frequent_shingles(jaccard_rtree.document_sets(anchors.versioned(docs)))
+        assert len(frequent) <= most and (np.diff(frequent.view(np.int64).view(np.uint64)) > 0).all() and (level >= 4).all()
+        assert len(frequent) or not most
+        got = collected(jaccard_rtree.jaccard_components(docs), "doc_id", "n_shingles", "component_id")
+        assert got == Counter(brute.jaccard(pairs(rows)))
+
+
+def test_tree_leaves_out_pairs_of_one_group_alone():
+    rng = np.random.default_rng(3)
+    sizes = np.sort(rng.integers(90, 110, 2500))
+    points = np.array([rng.multinomial(n, np.ones(64) / 64) for n in sizes]).astype(np.int32)
+    groups = np.where(rng.random(2500) < 0.9, 0, np.arange(2500))
+    met = []
+
+    def watched(a, b, percent, real=jaccard_rtree.RTree._meet):
+        met.append(len(a[0]) * len(b[0]))
+        return real(a, b, percent)
+
+    found = []
+    for given in (None, groups):
+        tree = jaccard_rtree.RTree(sizes, points, given)
+        tree._meet = watched
+        met.clear()
+        found.append(({tuple(sorted(p)) for p in zip(*(x.tolist() for x in tree.pairs(45)[:2]))}, sum(met)))
+    (every, all_met), (apart, some_met) = found
+    assert apart == {(i, j) for i, j in every if groups[i] != groups[j]} and 0 < len(apart) < len(every)
+    assert some_met < all_met / 2
+
+
 @pytest.mark.parametrize("bits", [64, 1 << 23])
 def test_only_texts_of_bounded_pairs_are_moved(spark, monkeypatch, bits):
     monkeypatch.setattr(jaccard_rtree, "BITS", bits)
