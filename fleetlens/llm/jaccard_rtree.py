@@ -15,9 +15,10 @@ point against point, all pairs go whose bound stays below the overlap that
 their sizes demand.  What survives is verified on the shingles themselves.
 
 To keep dense groups from becoming all pairs, a first round verifies for every
-point its most central partner in each list, and a second one only the pairs
-that are not in one component yet.  No pair is left out of the components: each
-is verified, bounded away, or already connected.
+point its most central partner in each list (in a long list the most central
+ones of some of its points), and a second one only the pairs that are not in one
+component yet.  No pair is left out of the components: each is verified, bounded
+away, or already connected.
 
 Links lie within components, so where they are to be counted, a component is dealt
 out in pairs of blocks of sets, and every pair of sets in them is bounded by the
@@ -50,6 +51,7 @@ FINE_GROUPS, FINE_FROM = 1024, 128  # sets of so many shingles are also counted
 LEAF = 32  # points of a leaf
 LIST = 4096  # longer lists are split into blocks by size
 BLOCK = 2048
+NEAR = 512  # points among which a longer list's central ones are found
 SPREAD = 8  # tasks that verify one set's pairs
 LINK_SETS, LINK_SHINGLES = 512, 1 << 20  # sets and shingles of a block when links are counted
 WIDE = 8192  # shingles counted at once
@@ -349,8 +351,8 @@ def candidates(points: DataFrame, best: int | None, percent: int = PERCENT) -> D
     those with its most central partners.
 
     ``points`` has list, set, n, point, fine and component; pairs within one
-    component (not null) are left out.  A set of which pairs in a list were held
-    back gets a row without b.
+    component (not null) are left out.  A set of which pairs in a list were, or
+    may have been, held back gets a row without b.
     """
     in_order = points.repartition("list").sortWithinPartitions("list", "n", "set")
 
@@ -384,42 +386,68 @@ def candidates(points: DataFrame, best: int | None, percent: int = PERCENT) -> D
         if len(two):
             slack = np.minimum(points[two], points[two + 1]).sum(1) / demanded(n[two], n[two + 1], percent)
             ok = (slack >= 1) & (100 * n[two] >= percent * n[two + 1])
-            found.append((two[ok], two[ok] + 1, slack[ok]))
+            found.append((two[ok], two[ok] + 1))
         held = []
         for s, e in zip(start[size > 2].tolist(), (start + size)[size > 2].tolist()):
             if not alone[s:e].any() and (component[s:e] == component[s]).all():
                 continue
-            a, b, slack = RTree(n[s:e], points[s:e], groups(component[s:e], alone[s:e])).pairs(percent)
-            a, b = a + s, b + s
-            if best is not None and len(a) > best:
-                # The partner with the most and closest partners of its own: dense groups become stars.
-                ends, other = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-                central = np.bincount(ends - s, np.tile(slack, 2))
-                order = np.lexsort((-central[np.concatenate([b, a]) - s], ends))
-                ends = ends[order]
-                rank = np.arange(len(ends)) - np.searchsorted(ends, ends)
-                chosen = np.zeros(len(a), bool)
-                chosen[other[order][rank < best]] = True
-                held.append(np.unique(np.concatenate([a[~chosen], b[~chosen]])))
-                a, b, slack = a[chosen], b[chosen], slack[chosen]
-            found.append((a, b, slack))
-        a, b, _ = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            if best is None:
+                a, b, _ = RTree(n[s:e], points[s:e], groups(component[s:e], alone[s:e])).pairs(percent)
+            elif e - s <= NEAR:
+                a, b, left, _ = closest(n[s:e], points[s:e])
+                held.append(left + s)
+            else:
+                a, b = around_central(names[s:e], n[s:e], points[s:e])
+                held.append(np.arange(s, e))
+            found.append((a + s, b + s))
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         apart = alone[a] | alone[b] | (component[a] != component[b])
         a, b = a[apart], b[apart]
-        a, b = (x[finely(a, b, n, fine)] for x in (a, b))
-        out = []
-        for x, y, z in zip(names[a].tolist(), names[b].tolist(), lists[a].tolist()):
+        new = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(names[a].tolist(), names[b].tolist())):
             pair = (x, y) if x < y else (y, x)
             if pair not in seen:
                 if len(seen) >= 1 << 20:
                     seen.clear()
                 seen.add(pair)
-                out.append((z, *pair))
+                new[i] = True
+        a, b = a[new], b[new]
+        a, b = (x[finely(a, b, n, fine)] for x in (a, b))
+        out = [(z, min(x, y), max(x, y)) for x, y, z in zip(names[a].tolist(), names[b].tolist(), lists[a].tolist())]
         rows = np.concatenate(held) if held else np.zeros(0, np.int64)
         out += [(z, x, None) for z, x in zip(lists[rows].tolist(), names[rows].tolist())]
         columns = list(zip(*out)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["list", "a", "b"])
 
+    def closest(n: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of every point with its most central partners, points of which pairs are left, and how central each is."""
+        a, b, slack = RTree(n, points).pairs(percent)
+        # The partner with the most and closest partners of its own: dense groups become stars.
+        ends, other = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+        central = np.bincount(ends, np.tile(slack, 2), len(n))
+        order = np.lexsort((-central[np.concatenate([b, a])], ends))
+        ends = ends[order]
+        rank = np.arange(len(ends)) - np.searchsorted(ends, ends)
+        chosen = np.zeros(len(a), bool)
+        chosen[other[order][rank < best]] = True
+        return a[chosen], b[chosen], np.unique(np.concatenate([a[~chosen], b[~chosen]])), central
+
+    def around_central(names: np.ndarray, n: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a long list: the closest of ``NEAR`` points, and every other point with the most central of them it can link with."""
+        by_hash = np.argsort(B.mix(names.view(np.uint64)))  # like lists have like ones
+        some, rest = np.sort(by_hash[:NEAR]), np.sort(by_hash[NEAR:])
+        a, b, _, central = closest(n[some], points[some])
+        hubs = np.unique(np.where(central[a] >= central[b], a, b))
+        hubs = some[hubs[np.argsort(-central[hubs], kind="stable")]]
+        one, two = [some[a]], [some[b]]
+        for at in range(0, len(rest), BLOCK):
+            left = rest[at : at + BLOCK]
+            ok = RTree._meet((n[left], n[left], points[left], left, left), (n[hubs], n[hubs], points[hubs], hubs, hubs), percent)
+            x, y = np.nonzero(ok & (np.cumsum(ok, 1) <= best))
+            one.append(left[x])
+            two.append(hubs[y])
+        return np.concatenate(one), np.concatenate(two)
+
     def groups(component: np.ndarray, alone: np.ndarray) -> np.ndarray:
         """Numbers of the components; sets without one are groups of their own."""
         number = np.unique(component, return_inverse=True)[1]
@@ -641,7 +669,7 @@ def grouped_documents(docs: DataFrame, percent: int = PERCENT, count_links: bool
     found = A.stored(candidates(points.withColumns({"component": F.lit(None).cast("bigint"), "fine": F.lit(None).cast("binary")}), 1, percent))
     first = found.where(F.col("b").isNotNull()).select("a", "b").distinct()
     # From here on only classes with pairs count, and texts are read for pairs that no bound excludes.
-    paired = A.stored(ends(first))
+    paired = A.stored(ends(first).union(found.where(F.col("b").isNull()).select("a")).distinct())
     met = A.stored(likely(classes, paired, ["set"]).join(paired, "set"))
     bounded = A.stored(finely_bounded(first, met, percent))
     links = A.stored(verified(bounded, texts_of(ends(bounded), met, plain), percent))

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import frame
 
@@ -177,6 +178,58 @@ def test_any_order_of_shingles_finds_the_same(docs, rows, monkeypatch):
         assert got == Counter(brute.jaccard(pairs(rows)))
 
 
+@pytest.mark.parametrize("near", [3, 20])
+def test_long_lists_are_stars_first_without_losing_links(spark, monkeypatch, near):
+    monkeypatch.setattr(jaccard_rtree, "NEAR", near)
+    rng = random.Random(12)
+    rows = []
+    for group in range(3):
+        words = [f"w{i}" for i in range(30)] + [f"g{group}w{i}" for i in range(90)]
+        for i in range(50):
+            w = words[: rng.randint(95, 120)]
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(30, len(w))] = f"other{i}"
+            rows.append((100 * group + i, " ".join(w), "en"))
+    points = {}
+
+    def watched(points_of, best, *rest, real=jaccard_rtree.candidates):
+        found = real(points_of, best, *rest)
+        points[best] = (points_of.count(), found.where("b IS NOT NULL").count())
+        return found
+
+    monkeypatch.setattr(jaccard_rtree, "candidates", watched)
+    got = collected(jaccard_rtree.jaccard_components(frame(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert got == Counter(brute.jaccard(pairs(rows)))
+    assert points[1][1] <= points[1][0]
+
+
+def test_long_lists_meet_few_points_at_first(spark, monkeypatch):
+    met = []
+
+    def watched(self, *rest, real=jaccard_rtree.RTree.pairs):
+        met.append(len(self.sizes))
+        return real(self, *rest)
+
+    monkeypatch.setattr(jaccard_rtree.RTree, "pairs", watched)
+    monkeypatch.setattr(jaccard_rtree, "NEAR", 32)
+    rng = np.random.default_rng(5)
+    rows = [(1, i, 100, jaccard_rtree.packed(rng.multinomial(100, np.ones(64) / 64).astype(np.int32)), None, None) for i in range(300)]
+    names = ["list", "set", "n", "point", "fine", "component"]
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()])], names)
+
+    class Plain:  # the work of one task, here
+        repartition = sortWithinPartitions = lambda self, *by: self
+
+        def mapInArrow(self, work, schema):
+            return list(work(iter(table.to_batches())))
+
+    found = pa.Table.from_batches(jaccard_rtree.candidates(Plain(), 1, 30)).to_pylist()
+    assert met == [32]
+    assert {r["a"] for r in found if r["b"] is None} == set(range(300))
+    assert {x for r in found if r["b"] is not None for x in (r["a"], r["b"])} == set(range(300))
+    assert {r["list"] for r in found} == {1} and len(found) <= 600
+
+
 def test_tree_leaves_out_pairs_of_one_group_alone():
     rng = np.random.default_rng(3)
     sizes = np.sort(rng.integers(90, 110, 2500))
